@@ -28,6 +28,7 @@ FEATURES = 256
 MOST_FITTED = 200_000
 FIT_TASKS = 8
 FOLDS = 4
+PIECE = 4096
 RIDGE = 1e-3
 GRID = 2000
 THRESHOLD = 0.3
@@ -113,8 +114,9 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), N_STATS)
 
 
-def _summed(rows: DataFrame, of) -> list[np.ndarray]:
-    """Element-wise sums over all rows of of(stats, y, fold): a task sends one array of fixed size, and there are FIT_TASKS tasks."""
+def _summed(rows: DataFrame, of) -> np.ndarray | None:
+    """Element-wise sums over all rows of of(stats, y, fold). Each task sends one array in pieces, pieces are added up
+    piece by piece, and one array reaches the driver, however many tasks there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -123,10 +125,16 @@ def _summed(rows: DataFrame, of) -> list[np.ndarray]:
                 part = of(_stack(batch.column("stats")), np.asarray(batch.column("y"), np.float64), np.asarray(batch.column("fold"), np.int64))
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.record_batch({"total": pa.array([total.tobytes()], pa.binary())})
+            pieces = np.array_split(total, -(-len(total) // PIECE))
+            yield pa.record_batch({"piece": pa.array(range(len(pieces)), pa.int32()), "total": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
-    found = [np.frombuffer(r.total, np.float64) for r in rows.mapInArrow(run, "total binary").collect()]
-    return sum(found) if found else None
+    def add(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.float64) for x in table.column("total").to_pylist()]
+        return pa.table({"piece": table.column("piece")[:1], "total": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+
+    schema = "piece int, total binary"
+    found = rows.mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect()
+    return np.concatenate([np.frombuffer(r.total, np.float64) for r in sorted(found, key=lambda r: r.piece)]) if found else None
 
 
 def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -147,7 +155,7 @@ def fit(stats: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "q
     rows = stats.join(known, id).select("stats", "y", F.pmod(F.xxhash64(F.col(id), F.lit(1)), F.lit(FOLDS)).alias("fold"), F.pmod(F.xxhash64(F.col(id), F.lit(2)), F.lit(1_000_000)).alias("draw"))
     rows = cut(rows, "labelled")
     share = min(1.0, most / max(1, rows.count()))
-    rows = rows.where(F.col("draw") < share * 1_000_000).repartition(FIT_TASKS, "draw")
+    rows = rows.where(F.col("draw") < share * 1_000_000).repartition(FIT_TASKS)
     moments = _summed(rows, lambda x, y, fold: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
     if moments is None:
         return Quality(np.zeros(N_STATS), np.ones(N_STATS), None, np.zeros(1), np.zeros(1))

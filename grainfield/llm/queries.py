@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, quality, sharding, simhash, topk
+from . import decontaminate, langid, linededup, lm, pieces, quality, secrets, sharding, simhash, topk
 from .shared import crc_mod
 
 
@@ -20,6 +20,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "stats"), model)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, by way of a new ledger."""
+    found = secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.spans(F.col("found"))
+    counts = [secrets.count(F.col("found"), k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.RULES)]
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), base.alias("spans"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents; held-out documents are not learned from."""
     docs = _read(spark, sf_dir, "documents")
@@ -39,6 +47,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that have an earlier similar line."""
+    found = linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,6 +64,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_pieces", "piece_ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents; held-out documents are not learned from."""
+    return lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 7) != 2)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     placed = sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
@@ -57,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_language, op4_topk, op5_decontaminate, op7_simhash, op8_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality, op2_secrets, op3_language, op4_topk, op5_decontaminate, op6_linededup, op7_simhash, op8_sentencepiece, op9_lm, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
