@@ -29,7 +29,7 @@ BUCKETS = 1 << 20
 SALTS = 16
 PLACE = ["id", "th", "line_no"]
 ENTRY = ["h", "n", "sig"]
-_WORDS = "array_remove(split(translate(lower({0}), '\\t\\r\\u000b\\f', '    '), ' '), '')"
+_WORDS = "array_remove(split(translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), ' '), '')"
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: for each bucket of word hashes the class (0 to 127) of its number of occurrences."""
     spark = texts.sparkSession
-    words = texts.select(F.explode(F.split(F.expr("translate(lower(text), '\\n\\t\\r\\u000b\\f', '     ')"), " ")).alias("w"))
+    words = texts.select(F.explode(F.split(F.expr("translate(lower(text), '\\n\\t\\r\\u000b\\u000c', '     ')"), " ")).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     dense = spark.range(buckets).join(counts, "id", "left").select("id", F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("c", F.lit(1))))).cast("int").alias("c"))
     one = dense.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all"))  # `buckets` entries, whatever the corpus
