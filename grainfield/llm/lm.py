@@ -16,6 +16,7 @@ as they occur; with no training text all words are unknown.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .shared import LOWER, slices, texts_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_KEYS = 2_000_000
 PRIOR = 200.0
 #: Hashes of the end token and of the start history, which are no words.
@@ -95,6 +96,23 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys as their differences, high bytes of all first, so that what is zero stands together and compresses."""
+    return np.diff(keys, prepend=_U(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u8").tobytes(), 1)
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<u8").astype(np.int64)
+
+
 def _ask(buckets: int):
     """A block's keys with its counts over training texts, by bucket."""
 
@@ -107,7 +125,7 @@ def _ask(buckets: int):
         one = np.bincount(e.flat[token][taught], minlength=len(e.hashes))
         one[1] = learn.sum()
         keys, order = _asked(e, distinct)
-        counts = np.concatenate([one, np.bincount(which[taught], minlength=len(distinct))])[order].astype(np.uint32)
+        counts = np.concatenate([one, np.bincount(which[taught], minlength=len(distinct))])[order]
         b = _bucket(keys, buckets)
         starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         ends = [*starts[1:], len(b)]
@@ -115,8 +133,8 @@ def _ask(buckets: int):
             {
                 "bucket": pa.array(b[starts], pa.int32()),
                 "block": pa.array([block] * len(starts), pa.int32()),
-                "keys": pa.array([keys[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
-                "counts": pa.array([counts[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary()),
+                "keys": pa.array([packed_keys(keys[x:y]) for x, y in zip(starts, ends, strict=True)], pa.binary()),
+                "counts": pa.array([packed_counts(counts[x:y]) for x, y in zip(starts, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -125,13 +143,13 @@ def _ask(buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """A bucket's totals for each block, in the order asked."""
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
+    counts = [unpacked_counts(x) for x in table.column("counts").to_pylist()]
     sizes = [len(x) for x in keys]
     _, which = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(which, weights=np.concatenate(counts)).astype(np.int64)[which]
     ends = np.cumsum(sizes)
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([total[e - n : e].astype(np.uint64).tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array([packed_counts(total[e - n : e]) for n, e in zip(sizes, ends, strict=True)], pa.binary())})
 
 
 class Automaton:
@@ -170,7 +188,7 @@ def _score(totals: tuple[int, int, int], prior: float, kept: list[str]):
         _, order = _asked(e, distinct)
         parts = [x for _, x in sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))]
         counts = np.empty(len(order), np.int64)
-        counts[order] = np.frombuffer(b"".join(parts), np.uint64).astype(np.int64)
+        counts[order] = np.concatenate([unpacked_counts(x) for x in parts])
         one, two = counts[: len(e.hashes)], counts[len(e.hashes) :]
         logs = Automaton(len(e.hashes), distinct, one, two, totals, prior).read(e.flat)
         c = one[e.flat[token]]

@@ -127,13 +127,13 @@ def components(pairs: DataFrame, name: str = "edges") -> DataFrame:
 
 
 def cluster(rows: DataFrame, id: str = "doc_id", most: int = 2, hot: int = HOT) -> DataFrame:
-    """rows (with fp) and component_id: the smallest id that a row reaches."""
+    """rows (with fp), root (the component's smallest fingerprint) and component_id: the smallest id that a row reaches."""
     smallest = cut(rows.groupBy("fp").agg(F.min(id).alias("least")), "fingerprints")
     found = components(links(smallest.select("fp"), most, hot))
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     of = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = cut(of.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    table = cut(of.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "components")
     return rows.join(table, "fp")
 
 
@@ -150,7 +150,7 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     rows = cut(with_fingerprints(hashed, text, [id, "__text_hash"]), "fingerprinted")
     first = F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("__text_hash").alias("h"))).alias("c")
     clusters = cluster(rows, id)
-    chosen = clusters.groupBy("component_id").agg(first).select(F.col("c.i").alias("__i"), F.col("c.h").alias("__h"))
+    chosen = clusters.groupBy("root").agg(first).select(F.col("c.i").alias("__i"), F.col("c.h").alias("__h"))
     chosen = cut(chosen, "representatives")
     kept = hashed.join(chosen, (F.col("__text_hash") == F.col("__h")) & F.col(id).eqNullSafe(F.col("__i")), "left_semi")
     if not rows.groupBy(id, "__text_hash").count().where("count > 1").isEmpty():
