@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .shared import LOWER, cut, slices, texts_of
 
 SHINGLE = 3
@@ -108,24 +109,6 @@ def links(fps: DataFrame, most: int = 2, hot: int = HOT) -> DataFrame:
     return few.unionByName(_pairs(dense.select("fp", _midpoints().alias("key")), most)).distinct()
 
 
-def components(pairs: DataFrame, name: str = "edges") -> DataFrame:
-    """(node, root): the smallest node that each node of pairs (a, b) reaches. Large-star and small-star, alternating, until
-    every edge is a star's; each round is written, and only a count reaches the driver."""
-    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        new = cut(small, name)
-        roots = new.select(F.col("v").alias("u")).distinct()
-        stars = new.groupBy("u").count().where("count > 1").isEmpty() and new.join(roots, "u", "left_semi").isEmpty()
-        edges = new
-        if stars:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def cluster(rows: DataFrame, id: str = "doc_id", most: int = 2, hot: int = HOT) -> DataFrame:
     """rows (with fp), root (the component's smallest fingerprint) and component_id: the smallest id that a row reaches."""
     smallest = cut(rows.groupBy("fp").agg(F.min(id).alias("least")), "fingerprints")
