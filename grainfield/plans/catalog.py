@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coloc, graph, identity, objects, pixel, qc, spatial, tracks
+from ..operators import coloc, graph, identity, objects, pixel, planes, qc, spatial, tracks
 from ..sources.views import SIDE, Relations, with_relations
 
 _QUERIES: dict[str, Callable[[Relations], DataFrame]] = {}
@@ -504,3 +504,25 @@ query(
         ["condition"],
     ).select("c_custkey", "condition")
 )
+
+# ---- kernels on planes, tracks and series: no SQL
+
+
+def _detections(r: Relations) -> DataFrame:
+    return r.tracks.select(F.lit("field").alias("img"), "frame", F.col("track_id").alias("object_id"), "y_um", "x_um", "area_um2")
+
+
+for _name in planes.FILTERS:
+    query(f"plane_{_name}")(lambda r, name=_name: planes.filtered(r.channel("v1"), name))
+query("plane_thresholds")(lambda r: planes.thresholds(r.channel("v1")))
+query("plane_segment")(lambda r: planes.segmented(planes.filtered(r.channel("v1"), "gaussian", sigma=1.5)))
+query("plane_blobs")(lambda r: planes.blobs(r.channel("v1")))
+query("plane_spots")(lambda r: planes.spots(planes.filtered(r.channel("v1"), "dog"), 1.0, 60.0))
+query("plane_spectra")(lambda r: planes.spectra(r.channel("v1")))
+query("plane_drifts")(lambda r: planes.drifts(r.stack))
+query("coloc_block_shuffle_test")(lambda r: planes.block_shuffle_test(r.pixels))
+query("trk_link_greedy")(lambda r: planes.link_greedy(_detections(r), 5.0))
+query("trk_link_optimal")(lambda r: planes.link_optimal(_detections(r).where("object_id % 5 = 0"), 5.0))
+query("ser_fit_recovery")(lambda r: planes.fitted(r.series, "recovery"))
+query("ser_fit_decay")(lambda r: planes.fitted(r.series, "decay"))
+query("obj_compare_conditions")(lambda r: planes.compared(r.objects.groupBy(F.lit("area").alias("measurement"), "condition", "replicate").agg(F.avg("area").alias("value")), ["measurement"], "condition"))
