@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, lm, pieces, quality, secrets, sharding, simhash, topk
+from . import decontaminate, langid, linededup, lm, oracles, pieces, quality, secrets, sharding, simhash, topk
 from .shared import crc_mod
 
 
@@ -80,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
