@@ -52,16 +52,19 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Lines with words, as sets: h, n and sig name the set; low and high are its extreme hashes, prefix its rarest words."""
-    hashed = lines.select(*PLACE, F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("hashes"), classes.scalar().alias("classes"))
+    filled = lines.where(F.col("line").rlike("[^ \\t\\r\\x0b\\x0c]"))
+    hashed = filled.select(*PLACE, F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("hashes"))
     order = F.expr(f"sort_array(transform(hashes, x -> shiftleft(cast(classes[pmod(x, {buckets}L)] as bigint), 56) | (x & 72057594037927935L)))")
-    ranked = hashed.select(*PLACE, order.alias("words"), F.array_min("hashes").alias("low"), F.array_max("hashes").alias("high")).where(F.size("words") > 0)
+    # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
+    ranked = hashed.withColumn("classes", classes.scalar()).select(*PLACE, order.alias("words"))
+    plain = "transform(words, x -> x & 72057594037927935L)"
     return ranked.select(
         *PLACE,
         F.xxhash64("words").alias("h"),
         F.size("words").alias("n"),
         F.expr("aggregate(words, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-        "low",
-        "high",
+        F.expr(f"array_min({plain})").alias("low"),
+        F.expr(f"array_max({plain})").alias("high"),
         F.expr("transform(slice(words, 1, size(words) - cast(ceil(0.8D * size(words) - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
 
@@ -127,23 +130,38 @@ def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
     """Round two: pairs that share a prefix word and pass all filters, with an unsettled later entry."""
     same = F.col("e.id").eqNullSafe(F.col("s.id")) & (F.col("e.th") == F.col("s.th")) & (F.col("e.line_no") == F.col("s.line_no"))
     flagged = entries.alias("e").join(settled.withColumn("done", F.lit(True)).alias("s"), same, "left").select("e.*", F.coalesce("s.done", F.lit(False)).alias("done"))
-    posted = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("pos", "word"))
+    # both sides read the same columns, so one exchange serves both; place and flag share a number
+    posted = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("pos", "word")).select(*PLACE, "n", "sig", (F.col("pos") * 2 + F.col("done").cast("int")).alias("at"), "word")
 
     def side(s: str) -> DataFrame:
-        return posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in [*PLACE, "n", "sig", "done", "pos"]))
+        return posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in [*PLACE, "n", "sig", "at"]))
 
-    n1, n2, p1, p2 = (F.col(x) for x in ("a_n", "b_n", "a_pos", "b_pos"))
+    n1, n2 = F.col("a_n"), F.col("b_n")
+    p1, p2 = F.shiftright("a_at", 1), F.shiftright("b_at", 1)
     least = F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
     short = lambda n: n - F.ceil(F.lit(8) * n / 9 - 1e-9) + 1  # noqa: E731  prefix of the smaller set
     near = (
-        ~F.col("b_done")
+        (F.col("b_at") % 2 == 0)
         & _before("a_", "b_")
         & _possible(n1, F.col("a_sig"), n2, F.col("b_sig"))
         & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= least)
         & F.when(n1 <= n2, p1 < short(n1)).otherwise(p2 < short(n2))
     )
     a, b = side("a"), side("b")
-    return a.join(b, (a.word == b.word) & near).select(*(f"a_{x}" for x in PLACE), *(f"b_{x}" for x in PLACE))
+    apart = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))).alias("apart")
+    return a.join(b, (a.word == b.word) & near).select(*(f"a_{x}" for x in PLACE), *(f"b_{x}" for x in PLACE), apart).distinct()
+
+
+def _settled_by(pairs: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
+    """Later entries of similar pairs. Of each entry the candidate with the most alike signature is verified first; all
+    others only for entries that this did not settle."""
+    pairs = cut(pairs, "pairs")
+    later = [f"b_{x}" for x in PLACE]
+    first = pairs.groupBy(*later).agg(F.min(F.struct("apart", *(f"a_{x}" for x in PLACE))).alias("f")).select(*(F.col(f"f.a_{x}").alias(f"a_{x}") for x in PLACE), *later)
+    done = cut(verified(first, texts, buckets), "first")
+    same = F.col("p.b_id").eqNullSafe(F.col("d.id")) & (F.col("p.b_th") == F.col("d.th")) & (F.col("p.b_line_no") == F.col("d.line_no"))
+    rest = pairs.drop("apart").alias("p").join(done.alias("d"), same, "left_anti")
+    return done.unionByName(verified(rest, texts, buckets))
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -153,7 +171,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     first = F.min(F.struct(*PLACE, "low", "high", "prefix")).alias("f")
     entries = cut(lines.groupBy(*ENTRY).agg(first).select(*ENTRY, "f.*"), "entries")
     settled = cut(verified(_neighbours(entries), texts, buckets), "settled")
-    later = cut(verified(_joined(entries, settled), texts, buckets).unionByName(settled), "similar")
+    later = cut(_settled_by(_joined(entries, settled), texts, buckets).unionByName(settled), "similar")
     # lines of an entry beyond its first place go, and first places that are similar to an earlier entry's
     same = (F.col("l.h") == F.col("e.h")) & (F.col("l.n") == F.col("e.n")) & (F.col("l.sig") == F.col("e.sig"))
     own = F.col("l.id").eqNullSafe(F.col("e.id")) & (F.col("l.th") == F.col("e.th")) & (F.col("l.line_no") == F.col("e.line_no"))
