@@ -123,3 +123,25 @@ def test_plane_source(spark, tmp_path):
     assert df.count() == 6
     one = raw_planes.pixels(df.where("t = 2 and c = 1")).collect()
     assert len(one) == 72 and all(stack[2, 1, 0, r.y, r.x] == r.v for r in one)
+
+
+def test_replay_and_goals(spark):
+    from grainfield.plans import replay
+
+    y, x = np.indices((32, 32))
+    a = 50 + 200.0 * ((np.hypot(y - 9, x - 9) < 5) | (np.hypot(y - 22, x - 21) < 6))
+    px = spark.createDataFrame([("a", int(i), int(j), float(a[i, j])) for i in range(32) for j in range(32)], "img string, y int, x int, v double")
+    steps = '[{"op": "gaussian", "params": {"sigma": 1.0}}, {"op": "segment"}, {"op": "regions"}, {"op": "flag_sizes", "params": {"k": 3.0}}, {"op": "melt"}]'
+    have, results = replay.replay(steps, {"pixels": px})
+    assert [r.status for r in results] == ["ok"] * 5 and have["objects"].count() == 2
+    direct = objects.region_statistics(planes.segmented(planes.filtered(px, "gaussian", sigma=1.0)), planes.filtered(px, "gaussian", sigma=1.0))
+    assert sorted(r.area for r in direct.collect()) == sorted(r.area for r in have["objects"].collect())
+    assert {r.measurement for r in have["long"].collect()} >= {"area", "mean", "eccentricity"}
+    _, results = replay.replay([{"op": "segment", "params": {"nothing": 1}}, {"op": "regions"}, {"op": "unheard"}], {"pixels": px})
+    assert [r.status for r in results] == ["error", "skipped", "error"] and results[0].error is not None
+    assert replay.plan_for("objects", {"pixels"}) == ["segment", "regions"]
+    with pytest.raises(ValueError):
+        replay.plan_for("objects", {"tracks"})
+    with pytest.raises(ValueError):
+        replay.register("segment", ("pixels",), "labels")(None)
+    assert replay.operations(spark).count() == len(replay.REGISTRY)
