@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coloc, graph, identity, objects, pixel, planes, qc, spatial, tracks
+from ..operators import coloc, graph, identity, metadata, objects, pixel, planes, qc, spatial, tracks
 from ..sources.views import SIDE, Relations, with_relations
 
 _QUERIES: dict[str, Callable[[Relations], DataFrame]] = {}
@@ -526,3 +526,33 @@ query("trk_link_optimal")(lambda r: planes.link_optimal(_detections(r).where("ob
 query("ser_fit_recovery")(lambda r: planes.fitted(r.series, "recovery"))
 query("ser_fit_decay")(lambda r: planes.fitted(r.series, "decay"))
 query("obj_compare_conditions")(lambda r: planes.compared(r.objects.groupBy(F.lit("area").alias("measurement"), "condition", "replicate").agg(F.avg("area").alias("value")), ["measurement"], "condition"))
+
+# ---- metadata
+
+query("meta_template", r"SELECT page_id, nullif(regexp_extract(url, '^(https?)://([^/]+)/?([^?]*)', 1), '') scheme, nullif(regexp_extract(url, '^(https?)://([^/]+)/?([^?]*)', 2), '') host, nullif(regexp_extract(url, '^(https?)://([^/]+)/?([^?]*)', 3), '') path FROM pages")(
+    lambda r: r.table("pages").select("page_id", *metadata.template_fields(F.col("url"), r"^(https?)://([^/]+)/?([^?]*)", ["scheme", "host", "path"]))
+)
+query("meta_key_values", "SELECT event_id, CAST(value AS INT) AS a, event_type b FROM (SELECT event_id, CAST(floor(value) AS INT) value, event_type FROM events)")(
+    lambda r: r.table("events").select("event_id", metadata.key_values(F.concat(F.lit("a="), F.floor("value").cast("string"), F.lit("&b="), F.col("event_type"))).alias("m")).select("event_id", F.col("m")["a"].cast("int").alias("a"), F.col("m")["b"].alias("b"))
+)
+query("meta_elapsed", "WITH m AS (SELECT user_id, min(ts) t FROM events GROUP BY 1) SELECT event_id, R((epoch_us(ts) - epoch_us(t)) / 1e6) elapsed_s FROM events e JOIN m ON e.user_id = m.user_id")(lambda r: metadata.elapsed_seconds(r.table("events"), ["user_id"], "ts").select("event_id", "elapsed_s"))
+query("meta_nearest_key", "SELECT track_id, frame, arg_min(k, abs(frame - k) * 1000 + k) AS key_frame FROM (SELECT t.track_id, t.frame, u.frame k FROM tracks t JOIN tracks u ON t.track_id = u.track_id AND u.frame % 10 = 0) GROUP BY 1, 2")(
+    lambda r: metadata.nearest_key(r.tracks.select("track_id", "frame"), r.tracks.where("frame % 10 = 0").select("track_id", "frame"), "track_id", "frame")
+)
+query("meta_carried_forward", "SELECT track_id, frame, R(last_value(CASE WHEN frame % 5 = 0 THEN x_um END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) v FROM tracks")(
+    lambda r: metadata.carried_forward(r.tracks.select("track_id", "frame", F.when(F.col("frame") % 5 == 0, F.col("x_um")).alias("v")), "track_id", "frame", "v")
+)
+query("meta_contradictions", "SELECT p_partkey, 2 severity, 'large and cheap' AS rule FROM part WHERE p_size > 40 AND p_retailprice < 1000 UNION ALL SELECT p_partkey, 1, 'small' FROM part WHERE p_size < 5")(
+    lambda r: metadata.contradictions(r.table("part"), [("large and cheap", 2, (F.col("p_size") > 40) & (F.col("p_retailprice") < 1000)), ("small", 1, F.col("p_size") < 5)], "p_partkey")
+)
+query("meta_layers", "SELECT p_partkey, 'ambiguous' state FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size = 7 AND (SELECT count(*) FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size = 7) > 1 UNION ALL SELECT p_partkey, 'certain' FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size = 7 AND (SELECT count(*) FROM part WHERE p_brand IN (SELECT min(p_brand) FROM part) AND p_size = 7) = 1")(
+    lambda r: metadata.matching_layers(r.table("part").select("p_partkey", F.create_map(F.lit("brand"), F.when(F.col("p_brand") == r.table("part").agg(F.min("p_brand")).scalar(), "first").otherwise("other"), F.lit("size"), F.col("p_size").cast("string")).alias("tags")), {"brand": ["first"], "size": ["7"]}).select("p_partkey", "state")
+)
+query("meta_controls", "SELECT p_partkey, coalesce(abs(p_size - 20) <= 0.5 * greatest(p_size, 20), true) AS comparable FROM part")(
+    lambda r: metadata.controls_comparable(r.table("part").select("p_partkey", F.col("p_size").alias("pos_gain"), F.lit(20).alias("neg_gain"), F.lit(None).cast("double").alias("pos_exposure"), F.lit(1.0).alias("neg_exposure")), ["gain", "exposure"], 0.5).select("p_partkey", "comparable")
+)
+query(
+    "meta_stability",
+    """WITH s AS (SELECT l_orderkey, max(l_quantity) - min(l_quantity) s, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) b FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, s / nullif(abs(b), 0) r FROM s)
+SELECT l_orderkey, R(r) relative_range, CASE WHEN r <= 0.1 THEN 'stable' WHEN r <= 0.3 THEN 'sensitive' WHEN r IS NOT NULL THEN 'unstable' END verdict FROM r""",
+)(lambda r: metadata.stability(r.table("lineitem"), ["l_orderkey"], "l_linenumber", "l_quantity", 1.0))
