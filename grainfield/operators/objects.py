@@ -255,3 +255,51 @@ def global_labels(df: DataFrame, keys: list[str], label: str = "label") -> DataF
 def best_setting(results: DataFrame, positives: str, rate: str, most: float, score: Column, name: str) -> DataFrame:
     """Among settings with positives and a false-positive rate within the limit, the one with the highest score."""
     return results.where((F.col(positives) > 0) & (F.col(rate) <= most)).agg(F.max_by(name, score).alias(name))
+
+
+def expand_labels(labels: DataFrame, distance: int, height: int, width: int) -> DataFrame:
+    """Labels grown to a distance without merging: each free pixel takes the nearest label, of equal ones the smaller."""
+    from .pixel import footprint
+
+    shape = F.explode(F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(y * y + x * x).alias("d")) for y, x in footprint("disk", distance))))
+    near = labels.select("img", "label", "y", "x", shape.alias("o")).select("img", "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("o.d").alias("d"))
+    near = near.where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < height) & (F.col("x") < width))
+    return near.groupBy(*KEY).agg(F.min(F.struct("d", "label")).alias("n")).select(*KEY, F.col("n.label").alias("label"))
+
+
+def transfected(labels: DataFrame, px: DataFrame, least: float = 3.0) -> DataFrame:
+    """Cells with (mean - p25 of the frame) / deviation of the background of at least `least`, and each frame's efficiency."""
+    on = px.select(*KEY, "v").join(labels.select(*KEY, "label"), KEY, "left")
+    frame = on.groupBy("img").agg(F.percentile("v", F.lit(0.25)).alias("p25"), F.stddev_pop(F.when(F.col("label").isNull(), F.col("v"))).alias("noise"))
+    cells = on.where("label is not null").groupBy("img", "label").agg(F.avg("v").alias("m")).join(frame, "img")
+    scored = cells.select("img", "label", ratio(F.col("m") - F.col("p25"), F.col("noise")).alias("score")).withColumn("kept", F.coalesce(F.col("score") >= least, F.lit(False)))
+    return with_group(scored, ["img"], efficiency=F.avg(F.col("kept").cast("double")))
+
+
+def relabel_by_track(labels: DataFrame, linked: DataFrame) -> DataFrame:
+    """label = track + 1 by frame and object; unmatched objects become 0."""
+    of = linked.select("img", F.col("frame").alias("t"), F.col("object_id").alias("label"), "track_id")
+    return labels.join(of, ["img", "t", "label"], "left").select("img", "t", "y", "x", F.coalesce(F.col("track_id") + 1, F.lit(0)).alias("label"))
+
+
+def field_trajectories(labels: DataFrame, stack: DataFrame, microns: float = 1.0) -> DataFrame:
+    """Per frame: objects, mean and median radius, area fraction, dense and dilute means."""
+    field = stack.join(labels.select("img", "t", "y", "x", F.lit(1).alias("in")), ["img", "t", "y", "x"], "left").groupBy("img", "t").agg(
+        F.avg(F.when(F.col("in") == 1, F.col("v"))).alias("dense"), F.avg(F.when(F.col("in").isNull(), F.col("v"))).alias("dilute"), (F.count("in") / F.count(F.lit(1))).alias("area_fraction")
+    )
+    radii = labels.groupBy("img", "t", "label").agg(F.sqrt(F.count(F.lit(1)) * microns * microns / F.pi()).alias("r"))
+    r = radii.groupBy("img", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_radius"), F.median("r").alias("median_radius"))
+    return field.join(r, ["img", "t"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def volumes(labels: DataFrame, microns: float, step: float) -> DataFrame:
+    """Volume, slices and extent of 3-D labels; without a step there is no volume."""
+    s = labels.groupBy("img", "label").agg(F.count(F.lit(1)).alias("voxels"), F.countDistinct("t").alias("slices"), ((F.max("t") - F.min("t") + 1) * step).alias("height_um"))
+    return s.withColumn("volume_um3", F.when(F.lit(step > 0), F.col("voxels") * microns * microns * step))
+
+
+def texture(labels: DataFrame, px: DataFrame) -> DataFrame:
+    """Coefficient of variation, roughness (deviation after min-max) and contrast of each label."""
+    on = labels.join(px.select(*KEY, "v"), KEY).groupBy("img", "label")
+    s = on.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return s.select("img", "label", ratio(F.col("s"), F.col("m")).alias("cov"), ratio(F.col("s"), F.col("hi") - F.col("lo")).alias("roughness"), ratio(F.col("hi") - F.col("lo"), F.col("hi") + F.col("lo")).alias("contrast"))

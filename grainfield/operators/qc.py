@@ -114,3 +114,29 @@ def reliability(df: DataFrame, factors: list[str], core: list[str], hard: str) -
         lacking = lacking | F.col(f).isNull()
     grade = F.when(F.col(hard), "unreliable").when(F.col("score") >= 0.8, F.when(lacking, "moderate").otherwise("high")).when(F.col("score") >= 0.5, "moderate").otherwise("low")
     return out.withColumn("grade", grade).withColumn("missing", F.concat_ws(",", *(F.when(F.col(f).isNull(), F.lit(f)) for f in factors)))
+
+
+def edge_width(px: DataFrame) -> DataFrame:
+    """(p99.5 - p0.5) of intensity over p99.9 of the central-difference gradient, over sqrt(2 pi)."""
+    at = lambda dy, dx, name: px.select("img", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v").alias(name))
+    on = px
+    for dy, dx, name in ((1, 0, "s"), (-1, 0, "n"), (0, 1, "e"), (0, -1, "w")):
+        on = on.join(at(dy, dx, name), ["img", "y", "x"])
+    g = on.groupBy("img").agg(F.percentile(F.hypot((F.col("s") - F.col("n")) / 2, (F.col("e") - F.col("w")) / 2), F.lit(0.999)).alias("g"))
+    spread = px.groupBy("img").agg((F.percentile("v", F.lit(0.995)) - F.percentile("v", F.lit(0.005))).alias("d"))
+    return spread.join(g, "img").select("img", ratio(F.col("d"), F.col("g") * F.sqrt(2 * F.pi())).alias("edge_width_px"))
+
+
+def vignetting(px: DataFrame, height: int, width: int, bins: int = 24) -> DataFrame:
+    """Outer over inner mean of radial bins of the background."""
+    r = F.hypot(F.col("y") - (height - 1) / 2, F.col("x") - (width - 1) / 2) / F.hypot(F.lit((height - 1) / 2), F.lit((width - 1) / 2))
+    b = px.groupBy("img", F.least(F.lit(bins - 1), F.floor(r * bins)).cast("int").alias("bin")).agg(F.avg("v").alias("m"))
+    s = b.groupBy("img").agg(F.max_by("m", "bin").alias("edge"), F.min_by("m", "bin").alias("centre"))
+    return s.select("img", ratio(F.col("edge"), F.col("centre")).alias("ratio")).withColumn("verdict", verdict(F.col("ratio"), 0.9, 0.7, low_is_good=False))
+
+
+def frame_adequacy(stack: DataFrame) -> DataFrame:
+    """Frames of each image and how well a temporal variance can be had from them; relative error sqrt(2 / (T - 1))."""
+    s = stack.groupBy("img").agg(F.countDistinct("t").alias("frames"))
+    level = F.when(F.col("frames") < 4, "none").when(F.col("frames") < 16, "unreliable").when(F.col("frames") < 64, "usable").when(F.col("frames") < 256, "recommended").otherwise("well sampled")
+    return s.select("img", "frames", F.when(F.col("frames") > 1, F.sqrt(2 / (F.col("frames") - 1))).alias("relative_error"), level.alias("level"))

@@ -126,3 +126,17 @@ def linking_conditions(detections: DataFrame, sigma: float) -> DataFrame:
     per = p.groupBy("cell", "id").agg(F.min("d").alias("d")).groupBy("cell").agg(F.median("d").alias("m"))
     r = per.agg(F.median("m").alias("spacing")).withColumn("r", ratio(F.lit(sigma), F.col("spacing")))
     return r.withColumn("level", F.when(F.col("r") < 0.3, "ok").when(F.col("r") < 0.6, "ambiguous").otherwise("unsafe"))
+
+
+def local_variance_ratio(px: DataFrame) -> DataFrame:
+    """Mean population variance of 3 x 3 neighbourhoods over the image's variance; edges use the neighbours that exist."""
+    from .pixel import footprint, neighbourhood
+
+    local = neighbourhood(px, footprint("square", 1), F.var_pop("v").alias("s")).groupBy("img").agg(F.avg("s").alias("local"))
+    return local.join(px.groupBy("img").agg(F.var_pop("v").alias("all")), "img").select("img", ratio(F.col("local"), F.col("all")).alias("ratio"))
+
+
+def headroom(scores: DataFrame) -> DataFrame:
+    """1 - Moran's I: how far from saturation."""
+    h = 1 - F.col("morans_i")
+    return scores.select("img", h.alias("headroom"), F.when(h < 0.02, "saturated").when(h < 0.15, "close").otherwise("usable").alias("state"))

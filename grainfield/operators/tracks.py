@@ -179,3 +179,64 @@ def viscosity(df: DataFrame, diffusion: str, radius_um: float, celsius: float =
     k = 1.380649e-23  # fixed value: Boltzmann's constant, J/K
     d = F.col(diffusion) * 1e-12
     return df.withColumn("viscosity", F.when((F.col(diffusion) > 0) & F.lit(radius_um > 0), F.lit(k * (celsius + 273.15)) / (6 * F.pi() * F.lit(radius_um * 1e-6) * d)))
+
+
+def without_outlier_tracks(tracks: DataFrame, least: int = 8, low: float = 3.0, high: float = 3.0) -> DataFrame:
+    """Tracks whose log mean squared step lies within fences around the median, in 1.4826 MAD, not equally far on both
+    sides; with fewer than `least` tracks all stay."""
+    from .common import mad
+
+    w = W.partitionBy("track_id").orderBy("frame")
+    dy, dx = F.col("y_um") - F.lag("y_um").over(w), F.col("x_um") - F.lag("x_um").over(w)
+    per = tracks.withColumn("d", dy * dy + dx * dx).groupBy("track_id").agg(F.avg("d").alias("d")).where("d > 0").select("track_id", F.log("d").alias("l"))
+    stats = mad(per, [], "l")
+    off = ratio(F.col("l") - F.col("med"), 1.4826 * F.col("mad"))
+    bad = per.crossJoin(F.broadcast(stats)).where((F.col("n") >= least) & ((off < -low) | (off > high)))
+    return tracks.join(bad.select("track_id"), "track_id", "left_anti")
+
+
+def step_variance_count(traces: DataFrame) -> DataFrame:
+    """Intensity of one molecule from bleaching traces (series_id, t, v): variance of steps over their mean fall, and the
+    number of molecules at the start."""
+    w = W.partitionBy("series_id").orderBy("t")
+    d = traces.withColumn("d", F.lag("v").over(w) - F.col("v"))
+    s = d.groupBy("series_id").agg(F.var_samp("d").alias("var"), F.avg("d").alias("fall"), F.min_by("v", "t").alias("first"))
+    nu = ratio(F.col("var"), F.abs("fall"))
+    return s.select("series_id", nu.alias("unit"), ratio(F.col("first"), nu).alias("molecules"))
+
+
+def shear_moduli(curve: DataFrame, radius_um: float, celsius: float = 24.0, dimensions: int = 2) -> DataFrame:
+    """Storage and loss moduli of an MSD curve (tau_s, msd) by the generalised Stokes-Einstein relation: local log slope by
+    central differences, edge rows dropped. The Gamma function is Lanczos' series in column arithmetic."""
+    w = W.orderBy("tau_s")  # as many rows as lags
+    x, y = F.log("tau_s"), F.log("msd")
+    p = curve.select("tau_s", "msd", x.alias("x"), y.alias("y"))
+    a, b = F.col("x") - F.lag("x").over(w), F.lead("x").over(w) - F.col("x")
+    da, db = (F.col("y") - F.lag("y").over(w)) / a, (F.lead("y").over(w) - F.col("y")) / b
+    s = p.withColumn("alpha", (a * db + b * da) / (a + b)).where("alpha is not null")
+    k = 1.380649e-23  # fixed value: Boltzmann's constant, J/K
+    msd_m2 = F.col("msd") * 1e-12 * 3 / dimensions
+    g = F.lit(k * (celsius + 273.15)) / (F.pi() * F.lit(radius_um * 1e-6) * msd_m2 * _gamma(1 + F.col("alpha")))
+    angle = F.pi() * F.col("alpha") / 2
+    return s.select("tau_s", (1 / F.col("tau_s")).alias("omega"), "alpha", (g * F.cos(angle)).alias("g_storage"), (g * F.sin(angle)).alias("g_loss"))
+
+
+def _gamma(z):
+    """Gamma for arguments of at least 1/2."""
+    # fixed values: Lanczos' coefficients for g = 7
+    c = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+    z = z - 1
+    x = F.lit(c[0])
+    for i, v in enumerate(c[1:], 1):
+        x = x + v / (z + i)
+    t = z + 7.5
+    return F.sqrt(2 * F.pi()) * F.pow(t, z + 0.5) * F.exp(-t) * x
+
+
+def transitions(curve: DataFrame, share: float = 0.12) -> DataFrame:
+    """Onsets of a signal over a temperature cycle (series_id, t, temperature, v): split at the highest temperature; on each
+    branch the first temperature at which the signal is `share` of its range above the baseline; and their distance."""
+    top = curve.groupBy("series_id").agg(F.max_by("t", F.struct("temperature", -F.col("t"))).alias("split"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    on = curve.join(top, "series_id").where(F.col("v") >= F.col("lo") + share * (F.col("hi") - F.col("lo")))
+    s = on.groupBy("series_id").agg(F.min_by("temperature", F.when(F.col("t") <= F.col("split"), F.col("t"))).alias("heating"), F.max_by("temperature", F.when(F.col("t") > F.col("split"), F.col("t"))).alias("cooling"))
+    return s.withColumn("hysteresis", F.col("heating") - F.col("cooling"))

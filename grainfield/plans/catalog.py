@@ -556,3 +556,71 @@ query(
     """WITH s AS (SELECT l_orderkey, max(l_quantity) - min(l_quantity) s, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) b FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, s / nullif(abs(b), 0) r FROM s)
 SELECT l_orderkey, R(r) relative_range, CASE WHEN r <= 0.1 THEN 'stable' WHEN r <= 0.3 THEN 'sensitive' WHEN r IS NOT NULL THEN 'unstable' END verdict FROM r""",
 )(lambda r: metadata.stability(r.table("lineitem"), ["l_orderkey"], "l_linenumber", "l_quantity", 1.0))
+
+# ---- further objects, checks and series
+
+query(
+    "obj_expand_labels",
+    f"""WITH o AS (SELECT a.range - 2 dy, b.range - 2 dx FROM range(5) a, range(5) b WHERE (a.range - 2) * (a.range - 2) + (b.range - 2) * (b.range - 2) <= 4), n AS (SELECT img, CAST(y + dy AS INT) y, CAST(x + dx AS INT) x, dy * dy + dx * dx d, label FROM labels_few, o)
+SELECT img, y, x, CAST(arg_min(label, d * 10000 + label) AS INT) AS label FROM n WHERE y BETWEEN 0 AND {SIDE - 1} AND x BETWEEN 0 AND {SIDE - 1} GROUP BY 1, 2, 3""",
+)(lambda r: objects.expand_labels(r.labels("v1", 1.4, 4), 2, SIDE, SIDE))
+query(
+    "obj_transfected",
+    """WITH f AS (SELECT p.img, quantile_cont(v1, 0.25) q, stddev_pop(CASE WHEN l.img IS NULL THEN v1 END) s FROM pixels p LEFT JOIN labels_few l ON p.img = l.img AND p.y = l.y AND p.x = l.x GROUP BY p.img),
+c AS (SELECT l.img, l.label, (avg(v1) - max(q)) / max(s) s FROM labels_few l JOIN pixels p ON p.img = l.img AND p.y = l.y AND p.x = l.x JOIN f ON f.img = l.img GROUP BY 1, 2)
+SELECT img, label, R(s) score, s >= 4 AS kept, R(avg(CASE WHEN s >= 4 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY img)) efficiency FROM c""",
+)(lambda r: objects.transfected(r.labels("v1", 1.4, 4), r.channel("v1"), 4.0))
+query("obj_relabel_by_track", "SELECT img, t, y, x, CAST(CASE WHEN label % 3 = 0 THEN label * 10 + 1 ELSE 0 END AS INT) AS label FROM frame_labels")(
+    lambda r: objects.relabel_by_track(r.frame_labels, r.frame_labels.where("label % 3 = 0").select("img", F.col("t").alias("frame"), F.col("label").alias("object_id"), (F.col("label") * 10).alias("track_id")).distinct())
+)
+query(
+    "obj_field_trajectories",
+    """WITH f AS (SELECT s.img, s.t, avg(CASE WHEN l.img IS NOT NULL THEN v END) d, avg(CASE WHEN l.img IS NULL THEN v END) u, count(l.img) / CAST(count(*) AS DOUBLE) a FROM stack s LEFT JOIN frame_labels l ON s.img = l.img AND s.t = l.t AND s.y = l.y AND s.x = l.x GROUP BY 1, 2),
+q AS (SELECT img, t, label, sqrt(count(*) / pi()) r FROM frame_labels GROUP BY 1, 2, 3), m AS (SELECT img, t, count(*) n, avg(r) r, median(r) d FROM q GROUP BY 1, 2)
+SELECT f.img, f.t, R(f.d) dense, R(u) dilute, R(a) area_fraction, coalesce(n, 0) n, R(r) mean_radius, R(m.d) median_radius FROM f LEFT JOIN m ON f.img = m.img AND f.t = m.t""",
+)(lambda r: objects.field_trajectories(r.frame_labels, r.stack))
+query("obj_volumes", "SELECT img, label, count(*) voxels, count(DISTINCT t) slices, R((max(t) - min(t) + 1) * 0.3) height_um, R(count(*) * 0.25 * 0.3) volume_um3 FROM frame_labels GROUP BY 1, 2")(lambda r: objects.volumes(r.frame_labels, 0.5, 0.3))
+query(
+    "obj_texture",
+    "SELECT l.img, label, R(stddev_pop(v1) / avg(v1)) cov, R(stddev_pop(v1) / nullif(max(v1) - min(v1), 0)) roughness, R((max(v1) - min(v1)) / (max(v1) + min(v1))) contrast FROM labels_1 l JOIN pixels p ON l.img = p.img AND l.y = p.y AND l.x = p.x GROUP BY 1, 2",
+)(lambda r: objects.texture(r.labels("v1"), r.channel("v1")))
+query(
+    "img_local_variance_ratio",
+    "WITH n AS (SELECT a.img, a.y, a.x, var_pop(b.v1) s FROM pixels a JOIN pixels b ON a.img = b.img AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3), l AS (SELECT img, avg(s) s FROM n GROUP BY 1), g AS (SELECT img, var_pop(v1) v FROM pixels GROUP BY 1) SELECT l.img, R(s / v) ratio FROM l JOIN g ON l.img = g.img",
+)(lambda r: spatial.local_variance_ratio(r.channel("v1")))
+query(
+    "img_morans_headroom",
+    """WITH d AS (SELECT p.img, y, x, v1 - m d FROM pixels p JOIN (SELECT img, avg(v1) m FROM pixels GROUP BY img) a ON p.img = a.img), w AS (SELECT a.img, sum(a.d * b.d) s, count(*) w FROM d a JOIN d b ON a.img = b.img AND ((a.y = b.y AND b.x = a.x + 1) OR (a.x = b.x AND b.y = a.y + 1)) GROUP BY 1), o AS (SELECT img, sum(d * d) q, count(*) n FROM d GROUP BY img),
+h AS (SELECT w.img, 1 - n * s / (w * q) h FROM w JOIN o ON w.img = o.img) SELECT img, R(h) headroom, CASE WHEN h < 0.02 THEN 'saturated' WHEN h < 0.15 THEN 'close' ELSE 'usable' END state FROM h""",
+)(lambda r: spatial.headroom(spatial.morans_i(r.channel("v1"))))
+query(
+    "qc_edge_width",
+    """WITH g AS (SELECT a.img, sqrt(pow((s.v1 - n.v1) / 2, 2) + pow((e.v1 - w.v1) / 2, 2)) g FROM pixels a JOIN pixels s ON s.img = a.img AND s.y = a.y + 1 AND s.x = a.x JOIN pixels n ON n.img = a.img AND n.y = a.y - 1 AND n.x = a.x JOIN pixels e ON e.img = a.img AND e.y = a.y AND e.x = a.x + 1 JOIN pixels w ON w.img = a.img AND w.y = a.y AND w.x = a.x - 1),
+q AS (SELECT img, quantile_cont(g, 0.999) g FROM g GROUP BY 1), d AS (SELECT img, quantile_cont(v1, 0.995) - quantile_cont(v1, 0.005) d FROM pixels GROUP BY 1) SELECT d.img, R(d / (g * sqrt(2 * pi()))) edge_width_px FROM d JOIN q ON d.img = q.img""",
+)(lambda r: qc.edge_width(r.channel("v1")))
+query(
+    "qc_vignetting",
+    f"""WITH b AS (SELECT img, least(23, floor(sqrt(pow(y - {(SIDE - 1) / 2}, 2) + pow(x - {(SIDE - 1) / 2}, 2)) / sqrt(2 * pow({(SIDE - 1) / 2}, 2)) * 24)) b, avg(v1) m FROM pixels GROUP BY 1, 2), r AS (SELECT img, arg_max(m, b) / arg_min(m, b) r FROM b GROUP BY 1)
+SELECT img, R(r) ratio, CASE WHEN r >= 0.9 THEN 'good' WHEN r >= 0.7 THEN 'warn' ELSE 'bad' END verdict FROM r""",
+)(lambda r: qc.vignetting(r.channel("v1"), SIDE, SIDE))
+query("qc_frame_adequacy", "WITH f AS (SELECT img, count(DISTINCT t) n FROM stack GROUP BY 1) SELECT img, n AS frames, R(sqrt(2.0 / (n - 1))) relative_error, CASE WHEN n < 4 THEN 'none' WHEN n < 16 THEN 'unreliable' WHEN n < 64 THEN 'usable' WHEN n < 256 THEN 'recommended' ELSE 'well sampled' END AS level FROM f")(lambda r: qc.frame_adequacy(r.stack))
+query(
+    "trk_without_outliers",
+    """WITH d AS (SELECT track_id, pow(y_um - lag(y_um) OVER w, 2) + pow(x_um - lag(x_um) OVER w, 2) d FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY frame)), l AS (SELECT track_id, ln(avg(d)) l FROM d GROUP BY 1 HAVING avg(d) > 0), m AS (SELECT median(l) m FROM l), a AS (SELECT median(abs(l - m)) a FROM l, m)
+SELECT track_id, count(*) n FROM tracks WHERE track_id NOT IN (SELECT track_id FROM l, m, a WHERE (l - m) / (1.4826 * a) < -1.5 OR (l - m) / (1.4826 * a) > 1) GROUP BY 1""",
+)(lambda r: tracks.without_outlier_tracks(r.tracks, 8, 1.5, 1.0).groupBy("track_id").agg(F.count(F.lit(1)).alias("n")))
+query(
+    "ser_step_variance",
+    "WITH d AS (SELECT series_id, t, v, lag(v) OVER (PARTITION BY series_id ORDER BY t) - v d FROM series), s AS (SELECT series_id, var_samp(d) / nullif(abs(avg(d)), 0) u, arg_min(v, t) f FROM d GROUP BY 1) SELECT series_id, R(u) unit, R(f / u) molecules FROM s",
+)(lambda r: tracks.step_variance_count(r.series))
+query(
+    "trk_shear_moduli",
+    f"""{_MSD}, e AS (SELECT lag * 0.1 tau, avg(msd) msd FROM p GROUP BY lag), s AS (SELECT tau, msd, ln(tau) x, ln(msd) y FROM e), n AS (SELECT *, lag(x) OVER (ORDER BY tau) x0, lead(x) OVER (ORDER BY tau) x2, lag(y) OVER (ORDER BY tau) y0, lead(y) OVER (ORDER BY tau) y2 FROM s),
+a AS (SELECT tau, msd, ((x - x0) * (y2 - y) / (x2 - x) + (x2 - x) * (y - y0) / (x - x0)) / (x2 - x0) a FROM n WHERE x0 IS NOT NULL AND x2 IS NOT NULL), g AS (SELECT *, 1.380649e-23 * 297.15 / (pi() * 0.1e-6 * msd * 1e-12 * 3 / 2 * gamma(1 + a)) g FROM a)
+SELECT R(tau) tau_s, R(1 / tau) omega, R(a) alpha, R(g * cos(pi() * a / 2)) g_storage, R(g * sin(pi() * a / 2)) g_loss FROM g""",
+)(lambda r: tracks.shear_moduli(tracks.msd(r.tracks, 12, 20, 0.1), 0.1))
+query(
+    "ser_transitions",
+    """WITH c AS (SELECT series_id, t, 40 - abs(t - 300) / 10.0 temp, v FROM series), k AS (SELECT series_id, arg_max(t, temp * 100000 - t) s, min(v) lo, max(v) hi FROM c GROUP BY 1), o AS (SELECT c.*, s FROM c JOIN k ON c.series_id = k.series_id WHERE v >= lo + 0.5 * (hi - lo)),
+r AS (SELECT series_id, arg_min(temp, CASE WHEN t <= s THEN t END) h, arg_max(temp, CASE WHEN t > s THEN t END) c FROM o GROUP BY 1) SELECT series_id, R(h) heating, R(c) cooling, R(h - c) hysteresis FROM r""",
+)(lambda r: tracks.transitions(r.series.withColumn("temperature", 40 - F.abs(F.col("t") - 300) / 10.0), 0.5))
