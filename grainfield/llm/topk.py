@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BINS = 256
-QUERY_BLOCK = 16384
+QUERY_BLOCK = 4096
 ROWS = 1024
 
 
