@@ -13,6 +13,8 @@ Large groups of variants are not paired out: in a first round each entry is held
 one among entries with the same least or greatest word hash, within a salted group. Entries found similar to an earlier one
 are settled and are looked up no more; the join finds earlier lines for all others.
 
+Places are named by 64-bit hashes while pairs are found and verified.
+
 Defined results: null texts stay null, lines without words stay; rows with equal id and text are one document and keep the
 same lines; a text whose lines all go becomes empty; line ends other than the removed lines' stay as they are.
 """
@@ -37,7 +39,8 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    return texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = texts.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("pk", F.xxhash64(*PLACE))
 
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -53,13 +56,14 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Lines with words, as sets: h, n and sig name the set; low and high are its extreme hashes, prefix its rarest words."""
     filled = lines.where(F.col("line").rlike("[^ \\t\\r\\x0b\\x0c]"))
-    hashed = filled.select(*PLACE, F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("hashes"))
+    hashed = filled.select(*PLACE, "pk", F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("hashes"))
     order = F.expr(f"sort_array(transform(hashes, x -> shiftleft(cast(classes[pmod(x, {buckets}L)] as bigint), 56) | (x & 72057594037927935L)))")
     # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
-    ranked = hashed.withColumn("classes", classes.scalar()).select(*PLACE, order.alias("words"))
+    ranked = hashed.withColumn("classes", classes.scalar()).select(*PLACE, "pk", order.alias("words"))
     plain = "transform(words, x -> x & 72057594037927935L)"
     return ranked.select(
         *PLACE,
+        "pk",
         F.xxhash64("words").alias("h"),
         F.size("words").alias("n"),
         F.expr("aggregate(words, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
@@ -77,39 +81,27 @@ def _possible(n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
 
 
 def _before(a: str, b: str) -> Column:
-    """Whether entry a's first place is before b's; a null id comes first."""
+    """Whether place a is before place b; a null id comes first."""
     one = F.struct(*(F.col(f"{a}{x}") for x in PLACE))
     two = F.struct(*(F.col(f"{b}{x}") for x in PLACE))
     return one < two
 
 
 def verified(pairs: DataFrame, texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Places of the later entries (b) of pairs that are similar. Whole sets are read again for the places in question only:
-    a table of fixed size marks hashes of places, so other lines are neither split into words nor shuffled."""
-    pairs = cut(pairs.distinct(), "candidates")
-    sides = [pairs.select(*(F.col(f"{s}_{x}").alias(x) for x in PLACE)) for s in "ab"]
-    wanted = cut(sides[0].unionByName(sides[1]).distinct(), "places")
-    slot = F.pmod(F.xxhash64(*PLACE), F.lit(buckets))
-    marked = wanted.select(slot.alias("id")).distinct().withColumn("m", F.lit(True))
+    """Later lines (b) of pairs (a, b) of places that are similar. Whole sets are read again for the places in question
+    only: a table of fixed size marks hashes of places, so other lines are neither split into words nor shuffled."""
+    pairs = cut(pairs.select("a", "b").distinct(), "candidates")
+    wanted = cut(pairs.select(F.col("a").alias("pk")).unionByName(pairs.select(F.col("b").alias("pk"))).distinct(), "places")
+    marked = wanted.select(F.pmod("pk", F.lit(buckets)).alias("id")).distinct().withColumn("m", F.lit(True))
     dense = texts.sparkSession.range(buckets).join(marked, "id", "left").select("id", F.coalesce("m", F.lit(False)).alias("m"))
     marks = cut(dense.agg(F.sort_array(F.collect_list(F.struct("id", "m"))).alias("all")).select(F.col("all.m").alias("marks")), "marks")
-    lines = _lines(texts).withColumn("marks", marks.scalar()).where(F.expr(f"marks[cast(pmod(xxhash64(id, th, line_no), {buckets}L) as int)]")).drop("marks")
-    same = F.col("w.id").eqNullSafe(F.col("l.id")) & (F.col("w.th") == F.col("l.th")) & (F.col("w.line_no") == F.col("l.line_no"))
-    sets = lines.alias("l").join(wanted.alias("w"), same).select("w.id", "w.th", "w.line_no", F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("words"))
-    sets = cut(sets.dropDuplicates(PLACE), "sets")
-
-    def side(s: str) -> DataFrame:
-        return sets.select(*(F.col(x).alias(f"{s}_{x}") for x in PLACE), F.col("words").alias(f"{s}_words"))
-
-    def on(s: str, left: DataFrame, right: DataFrame):
-        return left[f"{s}_id"].eqNullSafe(right[f"{s}_id"]) & (left[f"{s}_th"] == right[f"{s}_th"]) & (left[f"{s}_line_no"] == right[f"{s}_line_no"])
-
-    first = side("a")
-    with_a = pairs.join(first, on("a", pairs, first)).select(*(pairs[c] for c in pairs.columns), "a_words")
-    second = side("b")
+    lines = _lines(texts).select("pk", "line", marks.scalar().alias("marks")).where(F.expr(f"marks[cast(pmod(pk, {buckets}L) as int)]")).select("pk", "line")
+    sets = lines.join(wanted, "pk").groupBy("pk").agg(F.min("line").alias("line"))  # repeated rows have equal lines
+    sets = cut(sets.select("pk", F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("words")), "sets")
+    with_a = pairs.join(sets.select(F.col("pk").alias("a"), F.col("words").alias("a_words")), "a")
     both = F.size(F.array_intersect("a_words", "b_words"))
     enough = 5 * both >= 4 * (F.size("a_words") + F.size("b_words") - both)
-    return with_a.join(second, on("b", with_a, second)).where(enough).select(*(with_a[f"b_{x}"].alias(x) for x in PLACE)).distinct()
+    return with_a.join(sets.select(F.col("pk").alias("b"), F.col("words").alias("b_words")), "b").where(enough).select("b").distinct()
 
 
 def _neighbours(entries: DataFrame) -> DataFrame:
@@ -117,66 +109,65 @@ def _neighbours(entries: DataFrame) -> DataFrame:
     found = None
     for key in ("low", "high"):
         w = W.partitionBy(key, "salt").orderBy(*PLACE)
-        this = F.struct(*PLACE, "n", "sig")
+        this = F.struct("pk", "n", "sig")
         rows = entries.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS))).withColumn("others", F.array(F.lag(this).over(w), F.first(this).over(w)))
-        rows = rows.select(*(F.col(x).alias(f"b_{x}") for x in PLACE), "n", "sig", F.explode(F.array_compact("others")).alias("a"))
-        rows = rows.where(_possible(F.col("n"), F.col("sig"), F.col("a.n"), F.col("a.sig")))
-        rows = rows.select(*(F.col(f"a.{x}").alias(f"a_{x}") for x in PLACE), *(f"b_{x}" for x in PLACE))
+        rows = rows.select(F.col("pk").alias("b"), "n", "sig", F.explode(F.array_compact("others")).alias("o"))
+        rows = rows.where((F.col("o.pk") != F.col("b")) & _possible(F.col("n"), F.col("sig"), F.col("o.n"), F.col("o.sig"))).select(F.col("o.pk").alias("a"), "b")
         found = rows if found is None else found.unionByName(rows)
-    return found.where(_before("a_", "b_"))
+    return found
 
 
 def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
-    """Round two: pairs that share a prefix word and pass all filters, with an unsettled later entry."""
-    same = F.col("e.id").eqNullSafe(F.col("s.id")) & (F.col("e.th") == F.col("s.th")) & (F.col("e.line_no") == F.col("s.line_no"))
-    flagged = entries.alias("e").join(settled.withColumn("done", F.lit(True)).alias("s"), same, "left").select("e.*", F.coalesce("s.done", F.lit(False)).alias("done"))
-    # both sides read the same columns, so one exchange serves both; place and flag share a number
-    posted = flagged.select(*PLACE, "n", "sig", "done", F.posexplode("prefix").alias("pos", "word")).select(*PLACE, "n", "sig", (F.col("pos") * 2 + F.col("done").cast("int")).alias("at"), "word")
-
-    def side(s: str) -> DataFrame:
-        return posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in [*PLACE, "n", "sig", "at"]))
-
-    n1, n2 = F.col("a_n"), F.col("b_n")
-    p1, p2 = F.shiftright("a_at", 1), F.shiftright("b_at", 1)
+    """Round two: pairs (a, b, apart) that share a prefix word and pass all filters, the unsettled later entry as b."""
+    done = settled.select(F.col("b").alias("pk"), F.lit(True).alias("done"))
+    flagged = entries.join(done, "pk", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    # both sides read the same columns, so one exchange serves both; size, place and flag share a number
+    posted = flagged.select("pk", "n", "sig", "done", F.posexplode("prefix").alias("pos", "word"))
+    meta = (F.col("n").cast("long") * (1 << 31) + F.col("pos")) * 2 + F.col("done").cast("int")
+    posted = posted.select("word", "pk", "sig", meta.alias("meta"))
+    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "sig", "meta"))) for s in "ab")
+    n1, n2 = (F.shiftright(f"{s}_meta", 32) for s in "ab")
+    p1, p2 = (F.shiftright(f"{s}_meta", 1).bitwiseAND((1 << 31) - 1) for s in "ab")
     least = F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
     short = lambda n: n - F.ceil(F.lit(8) * n / 9 - 1e-9) + 1  # noqa: E731  prefix of the smaller set
     near = (
-        (F.col("b_at") % 2 == 0)
-        & _before("a_", "b_")
+        (F.col("a_pk") < F.col("b_pk"))
+        & ((F.col("a_meta") % 2 == 0) | (F.col("b_meta") % 2 == 0))
         & _possible(n1, F.col("a_sig"), n2, F.col("b_sig"))
         & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= least)
-        & F.when(n1 <= n2, p1 < short(n1)).otherwise(p2 < short(n2))
+        & F.when(n1 < n2, p1 < short(n1)).when(n2 < n1, p2 < short(n2)).otherwise((p1 < short(n1)) | (p2 < short(n2)))
     )
-    a, b = side("a"), side("b")
     apart = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))).alias("apart")
-    return a.join(b, (a.word == b.word) & near).select(*(f"a_{x}" for x in PLACE), *(f"b_{x}" for x in PLACE), apart).distinct()
+    pairs = a.join(b, (a.word == b.word) & near).select(F.col("a_pk").alias("a"), F.col("b_pk").alias("b"), apart).distinct()
+    for s in "ab":
+        pairs = pairs.join(flagged.select(F.col("pk").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in PLACE), F.col("done").alias(f"{s}_done")), s)
+    first = _before("a_", "b_")
+    pairs = pairs.where(F.when(first, ~F.col("b_done")).otherwise(~F.col("a_done")))
+    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "apart")
 
 
 def _settled_by(pairs: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     """Later entries of similar pairs. Of each entry the candidate with the most alike signature is verified first; all
     others only for entries that this did not settle."""
     pairs = cut(pairs, "pairs")
-    later = [f"b_{x}" for x in PLACE]
-    first = pairs.groupBy(*later).agg(F.min(F.struct("apart", *(f"a_{x}" for x in PLACE))).alias("f")).select(*(F.col(f"f.a_{x}").alias(f"a_{x}") for x in PLACE), *later)
+    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     done = cut(verified(first, texts, buckets), "first")
-    same = F.col("p.b_id").eqNullSafe(F.col("d.id")) & (F.col("p.b_th") == F.col("d.th")) & (F.col("p.b_line_no") == F.col("d.line_no"))
-    rest = pairs.drop("apart").alias("p").join(done.alias("d"), same, "left_anti")
-    return done.unionByName(verified(rest, texts, buckets))
+    return done.unionByName(verified(pairs.join(done, "b", "left_anti"), texts, buckets))
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(id, th, line_no) of every line that has an earlier similar line."""
     texts = _texts(docs, id, text)
     lines = cut(entries_of(_lines(texts), rarity(texts, buckets), buckets), "lines")
-    first = F.min(F.struct(*PLACE, "low", "high", "prefix")).alias("f")
+    first = F.min(F.struct(*PLACE, "pk", "low", "high", "prefix")).alias("f")
     entries = cut(lines.groupBy(*ENTRY).agg(first).select(*ENTRY, "f.*"), "entries")
     settled = cut(verified(_neighbours(entries), texts, buckets), "settled")
     later = cut(_settled_by(_joined(entries, settled), texts, buckets).unionByName(settled), "similar")
     # lines of an entry beyond its first place go, and first places that are similar to an earlier entry's
+    firsts = entries.select(*ENTRY, F.col("pk").alias("first")).join(later.select(F.col("b").alias("first"), F.lit(True).alias("gone")), "first", "left")
     same = (F.col("l.h") == F.col("e.h")) & (F.col("l.n") == F.col("e.n")) & (F.col("l.sig") == F.col("e.sig"))
-    own = F.col("l.id").eqNullSafe(F.col("e.id")) & (F.col("l.th") == F.col("e.th")) & (F.col("l.line_no") == F.col("e.line_no"))
-    repeats = lines.select(*PLACE, *ENTRY).alias("l").join(entries.select(*PLACE, *ENTRY).alias("e"), same).where(~own).select("l.id", "l.th", "l.line_no")
-    return repeats.unionByName(later)
+    on = lines.select(*PLACE, "pk", *ENTRY).alias("l").join(firsts.alias("e"), same)
+    return on.where((F.col("l.pk") != F.col("e.first")) | F.col("e.gone")).select("l.id", "l.th", "l.line_no")
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
