@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -109,6 +110,50 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if turned else (a, b) for a, b in pairs)
 
 
+def sparse_assignment(edges: list[list[tuple[int, float]]], columns: int, skip: float) -> list[int]:
+    """Optimal assignment of rows to some of their (column, cost) edges, or to none (-1) at the cost `skip`; columns may stay
+    free. Shortest augmenting paths row by row, each ending at a free column or at a row that stays without one."""
+    v, match, of = [0.0] * columns, [-1] * columns, [-1] * len(edges)
+    u = [0.0] * len(edges)
+    for start in range(len(edges)):
+        far, way, done, settled, heap = {}, {}, set(), [], []
+        row, base, end, last = start, 0.0, skip, (-1, start)
+        while True:
+            low = base - u[row]
+            if low + skip < end:
+                end, last = low + skip, (-1, row)
+            for j, c in edges[row]:
+                d = low + c - v[j]
+                if j not in done and d < end and d < far.get(j, math.inf):
+                    far[j], way[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in done or heap[0][0] > far[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
+                break
+            base, j = heapq.heappop(heap)
+            if match[j] < 0:
+                end, last = base, (j, way[j])
+                break
+            settled.append((j, base))
+            done.add(j)
+            row = match[j]
+        for j, d in settled:
+            v[j] -= end - d
+            u[match[j]] += end - d
+        u[start] += end
+        j, row = last
+        while True:
+            before = of[row]
+            of[row] = j
+            if j >= 0:
+                match[j] = row
+            if row == start:
+                break
+            j, row = before, way[before]
+    return of
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:

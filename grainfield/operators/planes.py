@@ -225,17 +225,18 @@ def link_optimal(detections: DataFrame, reach: float = 2.0, gap: int = 2, sigma:
             out, n, m = np.full(len(y), -1), len(open_), len(y)
             if n and m:
                 k = np.array([o[1:] for o in open_])
-                dt = (t - k[:, 5])[:, None]
-                d = np.hypot(y - (k[:, 0:1] + k[:, 2:3] * dt), x - (k[:, 1:2] + k[:, 3:4] * dt))
-                c = d**2 / (2 * (s * dt) ** 2) + area_weight * np.abs(np.log(area / np.maximum(k[:, 4:5], 1e-9)))
-                c = np.where(d <= reach * dt, c, 1e6)
-                full = np.full((n + m, m + n), 1e6)
-                full[:n, :m] = c
-                full[np.arange(n), m + np.arange(n)] = birth
-                full[n + np.arange(m), np.arange(m)] = birth
-                full[n:, m:] = 0
-                for i, j in fits.assignment(full):
-                    if i < n and j < m and c[i, j] < 1e6:
+                edges = []
+                for at in range(0, n, max(1, (1 << 20) // m)):
+                    q = k[at : at + max(1, (1 << 20) // m)]
+                    dt = (t - q[:, 5])[:, None]
+                    d = np.hypot(y - (q[:, 0:1] + q[:, 2:3] * dt), x - (q[:, 1:2] + q[:, 3:4] * dt))
+                    c = d**2 / (2 * (s * dt) ** 2) + area_weight * np.abs(np.log(area / np.maximum(q[:, 4:5], 1e-9)))
+                    # a link that costs no less than a death and a birth is in no better assignment
+                    for near, cost in zip((d <= reach * dt) & (c < 2 * birth), c, strict=True):
+                        js = np.flatnonzero(near)
+                        edges.append(list(zip(js.tolist(), cost[js].tolist(), strict=True)))
+                for i, j in enumerate(fits.sparse_assignment(edges, m, 2 * birth)):
+                    if j >= 0:
                         o, g = open_[i], t - open_[i][6]
                         open_[i] = [o[0], y[j], x[j], (y[j] - o[1]) / g, (x[j] - o[2]) / g, area[j], t]
                         out[j] = o[0]

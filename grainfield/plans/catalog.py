@@ -522,7 +522,7 @@ query("plane_spectra")(lambda r: planes.spectra(r.channel("v1")))
 query("plane_drifts")(lambda r: planes.drifts(r.stack))
 query("coloc_block_shuffle_test")(lambda r: planes.block_shuffle_test(r.pixels))
 query("trk_link_greedy")(lambda r: planes.link_greedy(_detections(r), 5.0))
-query("trk_link_optimal")(lambda r: planes.link_optimal(_detections(r).where("object_id % 5 = 0"), 5.0))
+query("trk_link_optimal")(lambda r: planes.link_optimal(_detections(r), 5.0))
 query("ser_fit_recovery")(lambda r: planes.fitted(r.series, "recovery"))
 query("ser_fit_decay")(lambda r: planes.fitted(r.series, "decay"))
 query("obj_compare_conditions")(lambda r: planes.compared(r.objects.groupBy(F.lit("area").alias("measurement"), "condition", "replicate").agg(F.avg("area").alias("value")), ["measurement"], "condition"))

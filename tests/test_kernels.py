@@ -99,6 +99,21 @@ def test_assignment_is_optimal():
         assert got == pytest.approx(best)
 
 
+def test_sparse_assignment_is_optimal():
+    for k in range(60):
+        n, m, skip = (*RNG.integers(1, 15, 2), RNG.choice([0.3, 0.8, 3.0]))
+        c = np.where(RNG.random((n, m)) < RNG.choice([0.2, 0.6, 1.0]), RNG.random((n, m)), np.inf)
+        if k % 3 == 0:
+            c = np.round(c, 1)
+        of = fits.sparse_assignment([[(j, x) for j, x in enumerate(row.tolist()) if x < np.inf] for row in c], m, skip)
+        used = [j for j in of if j >= 0]
+        assert len(used) == len(set(used))
+        full = np.full((n, m + n), 1e6)
+        full[:, :m] = np.where(c < np.inf, c, 1e6)
+        full[np.arange(n), m + np.arange(n)] = skip
+        assert sum(c[i, j] if j >= 0 else skip for i, j in enumerate(of)) == pytest.approx(sum(full[i, j] for i, j in fits.assignment(full)))
+
+
 def test_p_values_of_tables():
     assert fits.t_p(2.228, 10) == pytest.approx(0.05, abs=2e-4)
     assert fits.f_p(4.10, 2, 10) == pytest.approx(0.05, abs=5e-4)
