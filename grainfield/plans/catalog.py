@@ -505,7 +505,10 @@ query(
     ).select("c_custkey", "condition")
 )
 
-# ---- kernels on planes, tracks and series: no SQL
+# ---- kernels on planes, tracks and series, and what SQL cannot hold in time: no SQL
+
+#: img_label_mask and its SQL take the first 12 rows of an image; this is the whole mask.
+query("img_label_whole_mask")(lambda r: graph.label_mask(r.mask("v1", 1.4), SIDE))
 
 
 def _detections(r: Relations) -> DataFrame:
