@@ -6,17 +6,21 @@ corpus, from a table whose size does not depend on it. Lines with equal sets are
 
 Two sets with a Jaccard similarity of at least t share a word among the first n - ceil(t n) + 1 of each (prefix filter; of
 the smaller set the first n - ceil(2t / (1 + t) n) + 1 do), their sizes differ by a factor t at most (length filter), the
-words left after a shared one must suffice (positional filter), and 64-bit word signatures cannot differ more than the sets.
-What passes is verified on whole sets. A line goes if an earlier line, by id, text hash and place, is similar.
+words left after a shared one must suffice (positional filter), and parity sketches cannot differ in more bits than the sets
+in words: a bit is the parity of the number of words that fall on it, so the difference of two sketches is the sketch of the
+words not shared, however long the lines; lines of many words have sketches of more bits. What passes is verified on whole
+sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
 Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
 one among entries with the same least or greatest word hash, within a salted group. Entries found similar to an earlier one
 are settled and are looked up no more; the join finds earlier lines for all others.
 
-Places are named by 64-bit hashes while pairs are found and verified.
+Places are named by 64-bit hashes while pairs are found and verified, words by 56-bit hashes.
 
 Defined results: null texts stay null, lines without words stay; rows with equal id and text are one document and keep the
-same lines; a text whose lines all go becomes empty; line ends other than the removed lines' stay as they are.
+same lines; a text whose lines all go becomes empty; line ends other than the removed lines' stay as they are; a null id is
+an id like any other and comes first; an empty table gives no rows; a long text is split once. Columns of docs named n_lines
+or n_removed are replaced by the operator's; all others, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +29,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Tables, cut
 
-BUCKETS = 1 << 20
-SALTS = 16
+BUCKETS = 1 << 16
+#: At most so many entries of one least word stand in one salted group of the first round, whatever the corpus.
+GROUP = 16_384
 PLACE = ["id", "th", "line_no"]
-ENTRY = ["h", "n", "sig"]
-_WORDS = "array_remove(split(translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), ' '), '')"
+SKETCH = ["s1", "s2", "s3", "s4"]
+#: Sets of more words than this have sketches of 128 and of 256 bits.
+WIDE, WIDEST = 96, 224
+_MASK = (1 << 56) - 1
+_BLANKS = r"[\t\r\x0b\x0c]"
+_NORMAL = "if({0} rlike '[\\t\\r\\u000b\\u000c]', translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), lower({0}))"
+
+
+def _hashes(line: str) -> Column:
+    """Distinct hashes of a line's words."""
+    words = F.split(F.expr(_NORMAL.format(line)), " ")
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(_MASK))))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")).bitwiseAND(F.lit(_MASK)))
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -43,142 +59,167 @@ def _lines(texts: DataFrame) -> DataFrame:
     return lines.withColumn("pk", F.xxhash64(*PLACE))
 
 
+def _dense(found: DataFrame, size: int, value: Column) -> DataFrame:
+    """One row with an array of `size` values, from rows (id, c); its size does not depend on the corpus."""
+    all_ids = found.sparkSession.range(size).join(found, "id", "left").select("id", value.alias("c"))
+    return all_ids.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all")).select(F.col("all.c").alias("c"))
+
+
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row: for each bucket of word hashes the class (0 to 127) of its number of occurrences."""
-    spark = texts.sparkSession
-    words = texts.select(F.explode(F.split(F.expr("translate(lower(text), '\\n\\t\\r\\u000b\\u000c', '     ')"), " ")).alias("w"))
-    counts = words.select(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    dense = spark.range(buckets).join(counts, "id", "left").select("id", F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("c", F.lit(1))))).cast("int").alias("c"))
-    one = dense.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all"))  # `buckets` entries, whatever the corpus
-    return cut(one.select(F.col("all.c").alias("classes")), "rarity")
+    """One row: for each bucket of word hashes the class (0 to 127) of its number of occurrences, as a rank's high bits."""
+    words = texts.select(F.explode(F.split(F.expr(f"replace({_NORMAL.format('text')}, '\\n', ' ')"), " ")).alias("w"))
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return _dense(counts, buckets, F.shiftleft(F.least(F.lit(127), F.floor(3 * F.log2(F.coalesce("n", F.lit(1))))).cast("long"), 56))
 
 
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Lines with words, as sets: h, n and sig name the set; low and high are its extreme hashes, prefix its rarest words."""
-    filled = lines.where(F.col("line").rlike("[^ \\t\\r\\x0b\\x0c]"))
-    hashed = filled.select(*PLACE, "pk", F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("hashes"))
-    order = F.expr(f"sort_array(transform(hashes, x -> shiftleft(cast(classes[pmod(x, {buckets}L)] as bigint), 56) | (x & 72057594037927935L)))")
+    """Lines with words, as sets: h and n name the set; s1 to s4 are its sketches, low and high its extreme hashes, prefix
+    its rarest words."""
+    hashed = lines.where(F.expr("line rlike '[^ \\t\\r\\u000b\\u000c]'")).select(*PLACE, "pk", _hashes("line").alias("hashes"))
     # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
-    ranked = hashed.withColumn("classes", classes.scalar()).select(*PLACE, "pk", order.alias("words"))
-    plain = "transform(words, x -> x & 72057594037927935L)"
+    sized = hashed.withColumn("classes", classes.scalar())
+    ranked = sized.select(
+        *PLACE,
+        "pk",
+        F.size("hashes").alias("n"),
+        F.array_min("hashes").alias("low"),
+        F.array_max("hashes").alias("high"),
+        F.expr(f"sort_array(transform(hashes, x -> classes[cast(x & {buckets - 1} as int)] | x))").alias("words"),
+    )
+    bit = "shiftleft({0}, cast(x & 63 as int))"
+    of = lambda one: f"aggregate(words, 0L, (a, x) -> a ^ {bit.format(one)})"
     return ranked.select(
         *PLACE,
         "pk",
         F.xxhash64("words").alias("h"),
-        F.size("words").alias("n"),
-        F.expr("aggregate(words, 0L, (a, x) -> a | shiftleft(1L, cast(x & 63 as int)))").alias("sig"),
-        F.expr(f"array_min({plain})").alias("low"),
-        F.expr(f"array_max({plain})").alias("high"),
-        F.expr("transform(slice(words, 1, size(words) - cast(ceil(0.8D * size(words) - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
+        "n",
+        F.expr(of("1L")).alias("s1"),
+        F.expr(f"if(n > {WIDE}, {of('shiftright(x, 6) & 1L')}, 0L)").alias("s2"),
+        F.expr(f"if(n > {WIDEST}, {of('shiftright(x, 7) & 1L')}, 0L)").alias("s3"),
+        F.expr(f"if(n > {WIDEST}, {of('shiftright(x, 7) & shiftright(x, 6) & 1L')}, 0L)").alias("s4"),
+        "low",
+        "high",
+        F.expr("transform(slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
 
 
-def _possible(n1: Column, s1: Column, n2: Column, s2: Column) -> Column:
-    """Length and signature filters for a Jaccard similarity of 0.8: both sets keep 4/9 of their sizes' sum in common."""
-    together = n1 + n2
-    least = F.ceil(F.lit(4) * together / 9 - 1e-9)
-    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (F.bit_count(s1.bitwiseXOR(s2)) <= together - 2 * least)
-
-
-def _before(a: str, b: str) -> Column:
-    """Whether place a is before place b; a null id comes first."""
-    one = F.struct(*(F.col(f"{a}{x}") for x in PLACE))
-    two = F.struct(*(F.col(f"{b}{x}") for x in PLACE))
-    return one < two
-
-
-def verified(pairs: DataFrame, texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Later lines (b) of pairs (a, b) of places that are similar. Whole sets are read again for the places in question
-    only: a table of fixed size marks hashes of places, so other lines are neither split into words nor shuffled."""
-    pairs = cut(pairs.select("a", "b").distinct(), "candidates")
-    wanted = cut(pairs.select(F.col("a").alias("pk")).unionByName(pairs.select(F.col("b").alias("pk"))).distinct(), "places")
-    marked = wanted.select(F.pmod("pk", F.lit(buckets)).alias("id")).distinct().withColumn("m", F.lit(True))
-    dense = texts.sparkSession.range(buckets).join(marked, "id", "left").select("id", F.coalesce("m", F.lit(False)).alias("m"))
-    marks = cut(dense.agg(F.sort_array(F.collect_list(F.struct("id", "m"))).alias("all")).select(F.col("all.m").alias("marks")), "marks")
-    lines = _lines(texts).select("pk", "line", marks.scalar().alias("marks")).where(F.expr(f"marks[cast(pmod(pk, {buckets}L) as int)]")).select("pk", "line")
-    sets = lines.join(wanted, "pk").groupBy("pk").agg(F.min("line").alias("line"))  # repeated rows have equal lines
-    sets = cut(sets.select("pk", F.expr(f"array_distinct(transform({_WORDS.format('line')}, w -> xxhash64(w)))").alias("words")), "sets")
-    with_a = pairs.join(sets.select(F.col("pk").alias("a"), F.col("words").alias("a_words")), "a")
-    both = F.size(F.array_intersect("a_words", "b_words"))
-    enough = 5 * both >= 4 * (F.size("a_words") + F.size("b_words") - both)
-    return with_a.join(sets.select(F.col("pk").alias("b"), F.col("words").alias("b_words")), "b").where(enough).select("b").distinct()
+def _possible(n1: Column, n2: Column, a: str, b: str) -> Column:
+    """Length and sketch filters for a Jaccard similarity of 0.8: both sets keep 4/9 of their sizes' sum in common.
+
+    s1 has all words on 64 bits, s2 those with the seventh bit of the hash set, s3 those with the eighth, s4 those with both:
+    so s1 ^ s2 and s2 are 128 bits, and the four parts that follow are 256."""
+    most = n1 + n2 - 2 * F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
+    x1, x2, x3, x4 = (F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in SKETCH)
+    two = F.bit_count(x1.bitwiseXOR(x2)) + F.bit_count(x2)
+    parts = (x1.bitwiseXOR(x2).bitwiseXOR(x3).bitwiseXOR(x4), x3.bitwiseXOR(x4), x2.bitwiseXOR(x4), x4)
+    four = F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])
+    shorter = F.least(n1, n2)
+    apart = F.when(shorter > WIDEST, four).when(shorter > WIDE, two).otherwise(F.bit_count(x1))
+    return (5 * shorter >= 4 * F.greatest(n1, n2)) & (apart <= most)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, step: str, buckets: int = BUCKETS) -> DataFrame:
+    """pk of the later place of each pair (a, b) of places that are similar. Whole sets are read again for the places in
+    question only: a table of bounded size marks hashes of places, so most other lines are neither split nor shuffled."""
+    names = [f"{step}-{x}" for x in ("pairs", "places", "marks", "sets")]
+    pairs = tables.cut(pairs.select("a", "b").distinct(), names[0])
+    wanted = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct(), names[1])
+    marks = min(1 << 23, max(buckets, 1 << (16 * wanted.count()).bit_length()))
+    marked = wanted.select(F.pmod("pk", F.lit(marks)).alias("id")).distinct().withColumn("m", F.lit(True))
+    dense = tables.cut(_dense(marked, marks, F.coalesce("m", F.lit(False))), names[2])
+    lines = _lines(texts).withColumn("marks", dense.scalar()).where(F.expr(f"marks[cast(pmod(pk, {marks}L) as int)]")).drop("marks")
+    # repeated rows have equal lines, any of which names the set
+    one = lines.join(wanted, "pk", "left_semi").groupBy("pk").agg(F.any_value(F.struct(*PLACE, "line")).alias("l"))
+    sets = tables.cut(one.select("pk", "l.*").select("pk", F.struct(*PLACE, _hashes("line").alias("words")).alias("s")), names[3])
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col("pk").alias(s), F.col("s").alias(f"s{s}")), s)
+    both = F.size(F.array_intersect("sa.words", "sb.words"))
+    enough = 5 * both >= 4 * (F.size("sa.words") + F.size("sb.words") - both)
+    first = F.struct(*(F.col(f"sa.{x}") for x in PLACE)) < F.struct(*(F.col(f"sb.{x}") for x in PLACE))
+    later = tables.cut(pairs.where(enough).select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("pk")).distinct(), step)
+    tables.drop(*names)
+    return later
 
 
-def _neighbours(entries: DataFrame) -> DataFrame:
+def _neighbours(entries: DataFrame, group: int) -> DataFrame:
     """Round one: pairs of an entry with the one before it and the first one in its salted group."""
-    found = None
+    found, salts = None, max(1, -(-entries.count() // group))
     for key in ("low", "high"):
         w = W.partitionBy(key, "salt").orderBy(*PLACE)
-        this = F.struct("pk", "n", "sig")
-        rows = entries.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS))).withColumn("others", F.array(F.lag(this).over(w), F.first(this).over(w)))
-        rows = rows.select(F.col("pk").alias("b"), "n", "sig", F.explode(F.array_compact("others")).alias("o"))
-        rows = rows.where((F.col("o.pk") != F.col("b")) & _possible(F.col("n"), F.col("sig"), F.col("o.n"), F.col("o.sig"))).select(F.col("o.pk").alias("a"), "b")
+        this = F.struct("pk", "n", *SKETCH)
+        rows = entries.select(key, *PLACE, "pk", "n", *SKETCH, F.pmod(F.xxhash64("h"), F.lit(salts)).alias("salt"))
+        rows = rows.select("pk", "n", *SKETCH, F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
+        rows = rows.select("pk", "n", *SKETCH, F.explode("others").alias("o"))
+        rows = rows.where((F.col("o.pk") != F.col("pk")) & _possible(F.col("n"), F.col("o.n"), "", "o.")).select(F.col("o.pk").alias("a"), F.col("pk").alias("b"))
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
 def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
-    """Round two: pairs (a, b, apart) that share a prefix word and pass all filters, the unsettled later entry as b."""
-    done = settled.select(F.col("b").alias("pk"), F.lit(True).alias("done"))
-    flagged = entries.join(done, "pk", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    """Round two: pairs (a, b) that share a prefix word and pass all filters, and whose later place is not settled (of equal
+    ids either)."""
+    flagged = entries.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
     # both sides read the same columns, so one exchange serves both; size, place and flag share a number
-    posted = flagged.select("pk", "n", "sig", "done", F.posexplode("prefix").alias("pos", "word"))
-    meta = (F.col("n").cast("long") * (1 << 31) + F.col("pos")) * 2 + F.col("done").cast("int")
-    posted = posted.select("word", "pk", "sig", meta.alias("meta"))
-    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "sig", "meta"))) for s in "ab")
+    posted = flagged.select("pk", "id", "n", *SKETCH, "done", F.posexplode("prefix").alias("pos", "word"))
+    meta = (F.col("n").cast("long") * (1 << 31) + F.col("pos")) * 2 + F.col("done")
+    posted = posted.select("word", "pk", "id", *SKETCH, meta.alias("meta"))
+    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "id", *SKETCH, "meta"))) for s in "ab")
     n1, n2 = (F.shiftright(f"{s}_meta", 32) for s in "ab")
     p1, p2 = (F.shiftright(f"{s}_meta", 1).bitwiseAND((1 << 31) - 1) for s in "ab")
+    a_open, b_open = (F.col(f"{s}_meta").bitwiseAND(1) == 0 for s in "ab")
     least = F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
     short = lambda n: n - F.ceil(F.lit(8) * n / 9 - 1e-9) + 1  # noqa: E731  prefix of the smaller set
     near = (
         (F.col("a_pk") < F.col("b_pk"))
-        & ((F.col("a_meta") % 2 == 0) | (F.col("b_meta") % 2 == 0))
-        & _possible(n1, F.col("a_sig"), n2, F.col("b_sig"))
+        & F.coalesce(F.when(F.col("a_id") < F.col("b_id"), b_open).when(F.col("b_id") < F.col("a_id"), a_open), a_open | b_open)
         & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= least)
         & F.when(n1 < n2, p1 < short(n1)).when(n2 < n1, p2 < short(n2)).otherwise((p1 < short(n1)) | (p2 < short(n2)))
+        & _possible(n1, n2, "a_", "b_")
     )
-    apart = F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))).alias("apart")
-    pairs = a.join(b, (a.word == b.word) & near).select(F.col("a_pk").alias("a"), F.col("b_pk").alias("b"), apart).distinct()
-    for s in "ab":
-        pairs = pairs.join(flagged.select(F.col("pk").alias(s), *(F.col(x).alias(f"{s}_{x}") for x in PLACE), F.col("done").alias(f"{s}_done")), s)
-    first = _before("a_", "b_")
-    pairs = pairs.where(F.when(first, ~F.col("b_done")).otherwise(~F.col("a_done")))
-    return pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "apart")
-
-
-def _settled_by(pairs: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
-    """Later entries of similar pairs. Of each entry the candidate with the most alike signature is verified first; all
-    others only for entries that this did not settle."""
-    pairs = cut(pairs, "pairs")
-    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    done = cut(verified(first, texts, buckets), "first")
-    return done.unionByName(verified(pairs.join(done, "b", "left_anti"), texts, buckets))
-
-
-def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(id, th, line_no) of every line that has an earlier similar line."""
-    texts = _texts(docs, id, text)
-    lines = cut(entries_of(_lines(texts), rarity(texts, buckets), buckets), "lines")
-    first = F.min(F.struct(*PLACE, "pk", "low", "high", "prefix")).alias("f")
-    entries = cut(lines.groupBy(*ENTRY).agg(first).select(*ENTRY, "f.*"), "entries")
-    settled = cut(verified(_neighbours(entries), texts, buckets), "settled")
-    later = cut(_settled_by(_joined(entries, settled), texts, buckets).unionByName(settled), "similar")
+    return a.join(b, (a.word == b.word) & near).select(F.col("a_pk").alias("a"), F.col("b_pk").alias("b"))
+
+
+def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
+    """(id, th, gone): of each document the numbers of the lines that have an earlier similar line."""
+    texts, tables = _texts(docs, id, text), Tables(docs.sparkSession)
+    classes = tables.cut(rarity(texts, buckets), "rarity")
+    lines = tables.cut(entries_of(_lines(texts), classes, buckets), "lines")
+    # the first place of each set; each task passes on one row of a set at most, however many lines share it
+    place = F.row_number().over(W.partitionBy("h", "n").orderBy(*PLACE))
+    entries = tables.cut(lines.withColumn("place", place).where("place = 1").drop("place"), "entries")
+    lines = tables.cut(lines.select(*PLACE, "pk", "h", "n"), "places")
+    tables.drop("rarity", "lines")
+    settled = verified(_neighbours(entries, group), texts, tables, "settled", buckets)
+    found = tables.cut(_joined(entries, settled), "joined")
+    later = verified(found, texts, tables, "similar", buckets).unionByName(settled)
     # lines of an entry beyond its first place go, and first places that are similar to an earlier entry's
-    firsts = entries.select(*ENTRY, F.col("pk").alias("first")).join(later.select(F.col("b").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    same = (F.col("l.h") == F.col("e.h")) & (F.col("l.n") == F.col("e.n")) & (F.col("l.sig") == F.col("e.sig"))
-    on = lines.select(*PLACE, "pk", *ENTRY).alias("l").join(firsts.alias("e"), same)
-    return on.where((F.col("l.pk") != F.col("e.first")) | F.col("e.gone")).select("l.id", "l.th", "l.line_no")
+    firsts = entries.select("h", "n", "pk").join(later.withColumn("gone", F.lit(True)), "pk", "left").withColumnRenamed("pk", "first")
+    gone = lines.join(firsts, ["h", "n"]).where((F.col("pk") != F.col("first")) | F.col("gone"))
+    gone = cut(gone.groupBy("id", "th").agg(F.array_distinct(F.collect_list("line_no")).alias("gone")), "gone")
+    tables.drop("entries", "places", "settled", "joined", "similar")
+    return gone
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def _marked(docs: DataFrame, id: str, text: str, buckets: int, group: int) -> tuple[DataFrame, Column]:
+    """docs with __gone (numbers of lines to remove, null if none), and the text without those lines."""
+    gone = repeated_lines(docs, id, text, buckets, group).toDF("__id", "__th", "__gone")
+    marked = docs.join(gone, (F.xxhash64(F.col(text)) == F.col("__th")) & F.col(id).eqNullSafe(F.col("__id")), "left")
+    body = F.col(text).cast("string")
+    some = F.filter(F.split(body, "\n", -1), lambda line, at: ~F.array_contains("__gone", at))
+    return marked, F.when(F.col("__gone").isNull(), body).otherwise(F.array_join(some, "\n"))
+
+
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
     """docs with the lines that have an earlier similar line removed from the text, and n_lines and n_removed."""
-    gone = repeated_lines(docs, id, text, buckets).groupBy("id", "th").agg(F.array_distinct(F.collect_list("line_no")).alias("__gone"))
-    gone = cut(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), "gone")
+    marked, new = _marked(docs.drop("n_lines", "n_removed"), id, text, buckets, group)
     body = F.col(text).cast("string")
-    marked = docs.drop("n_lines", "n_removed").join(gone, (F.xxhash64(F.col(text)) == F.col("__th")) & F.col(id).eqNullSafe(F.col("__id")), "left")
-    parts = F.split(body, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n"))
+    n = F.when(body.isNotNull(), F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     columns = [new.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n = F.when(body.isNotNull(), F.size(parts)).otherwise(0)
     return marked.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
+    """docs, columns as they are, without repeated lines; documents that lost lines and of which only blanks are left go."""
+    marked, new = _marked(docs, id, text, buckets, group)
+    left = F.col("__gone").isNull() | new.rlike(r"[^\x20\x09-\x0D]")
+    return marked.where(left).select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..storage import cut, new_path, shared_dir  # noqa: F401
+from ..storage import Tables, cut, new_path, shared_dir  # noqa: F401
 
 #: A-Z to a-z, every other byte as it is (UTF-8 stays valid).
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
