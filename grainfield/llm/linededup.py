@@ -12,8 +12,9 @@ words not shared, however long the lines; lines of many words have sketches of m
 sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
 Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
-one among entries with the same least or greatest word hash, within a salted group. Entries found similar to an earlier one
-are settled and are looked up no more; the join finds earlier lines for all others.
+one among entries with the same least word hash or rarest word, within a salted group. Entries found similar to an earlier
+one are settled and are looked up no more; the join finds earlier lines for all others. Of those, the candidate with the
+most alike sketch is verified first, the rest only for entries that this did not settle.
 
 Places are named by 64-bit hashes while pairs are found and verified, words by 56-bit hashes.
 
@@ -29,15 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Tables, cut
+from .shared import Tables, aside, back, cut
 
 BUCKETS = 1 << 16
 #: At most so many entries of one least word stand in one salted group of the first round, whatever the corpus.
 GROUP = 16_384
 PLACE = ["id", "th", "line_no"]
-SKETCH = ["s1", "s2", "s3", "s4"]
-#: Sets of more words than this have sketches of 128 and of 256 bits.
-WIDE, WIDEST = 96, 224
+SKETCH = ["s1", "s2"]
+#: Sets of more words than this have sketches of 128 bits.
+WIDE = 96
 _MASK = (1 << 56) - 1
 _BLANKS = r"[\t\r\x0b\x0c]"
 _NORMAL = "if({0} rlike '[\\t\\r\\u000b\\u000c]', translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), lower({0}))"
@@ -73,8 +74,8 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Lines with words, as sets: h and n name the set; s1 to s4 are its sketches, low and high its extreme hashes, prefix
-    its rarest words."""
+    """Lines with words, as sets: h and n name the set; s1 and s2 are its sketch, low its least hash, rare its rarest word,
+    prefix its rarest words."""
     hashed = lines.where(F.expr("line rlike '[^ \\t\\r\\u000b\\u000c]'")).select(*PLACE, "pk", _hashes("line").alias("hashes"))
     # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
     sized = hashed.withColumn("classes", classes.scalar())
@@ -83,7 +84,6 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         "pk",
         F.size("hashes").alias("n"),
         F.array_min("hashes").alias("low"),
-        F.array_max("hashes").alias("high"),
         F.expr(f"sort_array(transform(hashes, x -> classes[cast(x & {buckets - 1} as int)] | x))").alias("words"),
     )
     bit = "shiftleft({0}, cast(x & 63 as int))"
@@ -95,88 +95,79 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         "n",
         F.expr(of("1L")).alias("s1"),
         F.expr(f"if(n > {WIDE}, {of('shiftright(x, 6) & 1L')}, 0L)").alias("s2"),
-        F.expr(f"if(n > {WIDEST}, {of('shiftright(x, 7) & 1L')}, 0L)").alias("s3"),
-        F.expr(f"if(n > {WIDEST}, {of('shiftright(x, 7) & shiftright(x, 6) & 1L')}, 0L)").alias("s4"),
         "low",
-        "high",
+        F.get("words", F.lit(0)).alias("rare"),
         F.expr("transform(slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
 
 
-def _possible(n1: Column, n2: Column, a: str, b: str) -> Column:
-    """Length and sketch filters for a Jaccard similarity of 0.8: both sets keep 4/9 of their sizes' sum in common.
-
-    s1 has all words on 64 bits, s2 those with the seventh bit of the hash set, s3 those with the eighth, s4 those with both:
-    so s1 ^ s2 and s2 are 128 bits, and the four parts that follow are 256."""
-    most = n1 + n2 - 2 * F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
-    x1, x2, x3, x4 = (F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}")) for s in SKETCH)
-    two = F.bit_count(x1.bitwiseXOR(x2)) + F.bit_count(x2)
-    parts = (x1.bitwiseXOR(x2).bitwiseXOR(x3).bitwiseXOR(x4), x3.bitwiseXOR(x4), x2.bitwiseXOR(x4), x4)
-    four = F.bit_count(parts[0]) + F.bit_count(parts[1]) + F.bit_count(parts[2]) + F.bit_count(parts[3])
-    shorter = F.least(n1, n2)
-    apart = F.when(shorter > WIDEST, four).when(shorter > WIDE, two).otherwise(F.bit_count(x1))
-    return (5 * shorter >= 4 * F.greatest(n1, n2)) & (apart <= most)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, tables: Tables, step: str, buckets: int = BUCKETS) -> DataFrame:
-    """pk of the later place of each pair (a, b) of places that are similar. Whole sets are read again for the places in
-    question only: a table of bounded size marks hashes of places, so most other lines are neither split nor shuffled."""
-    names = [f"{step}-{x}" for x in ("pairs", "places", "marks", "sets")]
-    pairs = tables.cut(pairs.select("a", "b").distinct(), names[0])
-    wanted = tables.cut(pairs.select(F.explode(F.array("a", "b")).alias("pk")).distinct(), names[1])
-    marks = min(1 << 23, max(buckets, 1 << (16 * wanted.count()).bit_length()))
-    marked = wanted.select(F.pmod("pk", F.lit(marks)).alias("id")).distinct().withColumn("m", F.lit(True))
-    dense = tables.cut(_dense(marked, marks, F.coalesce("m", F.lit(False))), names[2])
-    lines = _lines(texts).withColumn("marks", dense.scalar()).where(F.expr(f"marks[cast(pmod(pk, {marks}L) as int)]")).drop("marks")
+def _possible(a: str, b: str, n1: str, n2: str) -> str:
+    """Length and sketch filters for a Jaccard similarity of 0.8, the cheapest tests first: sets differ in a ninth of their
+    sizes' sum at most.
+
+    s1 has all words on 64 bits, s2 those with the seventh bit of the hash set, so s1 ^ s2 and s2 are 128 bits."""
+    x1, x2 = (f"({a}{s} ^ {b}{s})" for s in SKETCH)
+    wide = f"{n1} <= {WIDE} or {n2} <= {WIDE} or 9 * (bit_count({x1} ^ {x2}) + bit_count({x2})) <= {n1} + {n2}"
+    return f"5 * {n1} >= 4 * {n2} and 5 * {n2} >= 4 * {n1} and 9 * bit_count({x1}) <= {n1} + {n2} and ({wide})"
+
+
+def _sets(wanted: DataFrame, entries: DataFrame, texts: DataFrame, tables: Tables, name: str, buckets: int) -> DataFrame:
+    """Written (pk, s): place and whole set of the wanted entries, whose lines are read again. A table of bounded size marks
+    hashes of their documents, so most others are not split into lines."""
+    wanted = tables.cut(entries.join(wanted, "pk", "left_semi").select("pk", F.xxhash64("id", "th").alias("doc")), f"{name}-places")
+    size = min(1 << 23, max(buckets, 1 << (16 * wanted.count()).bit_length()))
+    marked = wanted.select(F.pmod("doc", F.lit(size)).alias("id")).distinct().withColumn("m", F.lit(True))
+    marks = tables.cut(_dense(marked, size, F.coalesce("m", F.lit(False))), f"{name}-marks")
+    some = texts.withColumn("marks", marks.scalar()).where(F.expr(f"marks[cast(pmod(xxhash64(id, th), {size}L) as int)]")).drop("marks")
     # repeated rows have equal lines, any of which names the set
-    one = lines.join(wanted, "pk", "left_semi").groupBy("pk").agg(F.any_value(F.struct(*PLACE, "line")).alias("l"))
-    sets = tables.cut(one.select("pk", "l.*").select("pk", F.struct(*PLACE, _hashes("line").alias("words")).alias("s")), names[3])
+    one = _lines(some).join(wanted.select("pk"), "pk", "left_semi").groupBy("pk").agg(F.any_value(F.struct(*PLACE, "line")).alias("l"))
+    sets = tables.cut(one.select("pk", "l.*").select("pk", F.struct(*PLACE, _hashes("line").alias("words")).alias("s")), name)
+    tables.drop(f"{name}-places", f"{name}-marks")
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pk of the later place of each pair (a, b) of entries that are similar by their whole sets."""
     for s in "ab":
         pairs = pairs.join(sets.select(F.col("pk").alias(s), F.col("s").alias(f"s{s}")), s)
     both = F.size(F.array_intersect("sa.words", "sb.words"))
     enough = 5 * both >= 4 * (F.size("sa.words") + F.size("sb.words") - both)
     first = F.struct(*(F.col(f"sa.{x}") for x in PLACE)) < F.struct(*(F.col(f"sb.{x}") for x in PLACE))
-    later = tables.cut(pairs.where(enough).select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("pk")).distinct(), step)
-    tables.drop(*names)
-    return later
+    return pairs.where(enough).select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("pk")).distinct()
 
 
 def _neighbours(entries: DataFrame, group: int) -> DataFrame:
     """Round one: pairs of an entry with the one before it and the first one in its salted group."""
     found, salts = None, max(1, -(-entries.count() // group))
-    for key in ("low", "high"):
+    possible = _possible("o.", "", "o.n", "n")
+    for key in ("low", "rare"):
         w = W.partitionBy(key, "salt").orderBy(*PLACE)
         this = F.struct("pk", "n", *SKETCH)
         rows = entries.select(key, *PLACE, "pk", "n", *SKETCH, F.pmod(F.xxhash64("h"), F.lit(salts)).alias("salt"))
         rows = rows.select("pk", "n", *SKETCH, F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
-        rows = rows.select("pk", "n", *SKETCH, F.explode("others").alias("o"))
-        rows = rows.where((F.col("o.pk") != F.col("pk")) & _possible(F.col("n"), F.col("o.n"), "", "o.")).select(F.col("o.pk").alias("a"), F.col("pk").alias("b"))
+        rows = rows.select("pk", "n", *SKETCH, F.explode("others").alias("o")).where(f"o.pk <> pk and {possible}").select(F.col("o.pk").alias("a"), F.col("pk").alias("b"))
         found = rows if found is None else found.unionByName(rows)
-    return found
+    return found.distinct()
 
 
 def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
-    """Round two: pairs (a, b) that share a prefix word and pass all filters, and whose later place is not settled (of equal
-    ids either)."""
+    """Round two: pairs (a, b, sure, apart) that share a prefix word and pass all filters. By their ids a comes first, if
+    they are not equal (sure); b is not settled then, else one of the two."""
     flagged = entries.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    # both sides read the same columns, so one exchange serves both; size, place and flag share a number
+    # both sides read the same columns, so one exchange serves both
     posted = flagged.select("pk", "id", "n", *SKETCH, "done", F.posexplode("prefix").alias("pos", "word"))
-    meta = (F.col("n").cast("long") * (1 << 31) + F.col("pos")) * 2 + F.col("done")
-    posted = posted.select("word", "pk", "id", *SKETCH, meta.alias("meta"))
-    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "id", *SKETCH, "meta"))) for s in "ab")
-    n1, n2 = (F.shiftright(f"{s}_meta", 32) for s in "ab")
-    p1, p2 = (F.shiftright(f"{s}_meta", 1).bitwiseAND((1 << 31) - 1) for s in "ab")
-    a_open, b_open = (F.col(f"{s}_meta").bitwiseAND(1) == 0 for s in "ab")
-    least = F.ceil(F.lit(4) * (n1 + n2) / 9 - 1e-9)
-    short = lambda n: n - F.ceil(F.lit(8) * n / 9 - 1e-9) + 1  # noqa: E731  prefix of the smaller set
-    near = (
-        (F.col("a_pk") < F.col("b_pk"))
-        & F.coalesce(F.when(F.col("a_id") < F.col("b_id"), b_open).when(F.col("b_id") < F.col("a_id"), a_open), a_open | b_open)
-        & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= least)
-        & F.when(n1 < n2, p1 < short(n1)).when(n2 < n1, p2 < short(n2)).otherwise((p1 < short(n1)) | (p2 < short(n2)))
-        & _possible(n1, n2, "a_", "b_")
-    )
-    return a.join(b, (a.word == b.word) & near).select(F.col("a_pk").alias("a"), F.col("b_pk").alias("b"))
+    short = F.expr("pos < n - (8 * n + 8) div 9 + 1").alias("short")  # in the prefix that the smaller of two sets needs
+    posted = posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", short)
+    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "id", "n", *SKETCH, "done", "pos", "short"))) for s in "ab")
+    # the cheapest tests first, and all of them small, as the planner compiles them into one method
+    near = F.expr(f"""a_pk < b_pk and {_possible("a_", "b_", "a_n", "b_n")}
+        and 9 * (if(a_n - a_pos < b_n - b_pos, a_n - a_pos, b_n - b_pos) + if(a_pos < b_pos, a_pos, b_pos)) >= 4 * (a_n + b_n)
+        and if(a_n < b_n, a_short, if(b_n < a_n, b_short, a_short or b_short))
+        and coalesce(if(a_id < b_id, b_done = 0, if(b_id < a_id, a_done = 0, null)), a_done + b_done < 2)""")
+    pairs = a.join(b, (a.word == b.word) & near)
+    sure, turned = F.expr("coalesce(a_id <> b_id, false)"), F.expr("coalesce(b_id < a_id, false)")
+    first, last = F.when(turned, F.col("b_pk")).otherwise(F.col("a_pk")), F.when(turned, F.col("a_pk")).otherwise(F.col("b_pk"))
+    return pairs.select(first.alias("a"), last.alias("b"), sure.alias("sure"), F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))).alias("apart")).distinct()
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
@@ -189,14 +180,24 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     entries = tables.cut(lines.withColumn("place", place).where("place = 1").drop("place"), "entries")
     lines = tables.cut(lines.select(*PLACE, "pk", "h", "n"), "places")
     tables.drop("rarity", "lines")
-    settled = verified(_neighbours(entries, group), texts, tables, "settled", buckets)
-    found = tables.cut(_joined(entries, settled), "joined")
-    later = verified(found, texts, tables, "similar", buckets).unionByName(settled)
+    near = tables.cut(_neighbours(entries, group), "near")
+    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "near-sets", buckets)
+    settled = tables.cut(_verified(near, sets), "settled")
+    tables.drop("near", "near-sets")
+    pairs = tables.cut(_joined(entries, settled), "joined")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "sets", buckets)
+    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    done = tables.cut(_verified(best, sets), "best")
+    known = done.unionByName(settled)
+    known_a, known_b = (known.select(F.col("pk").alias(s), F.lit(True).alias(f"{s}_known")).distinct() for s in "ab")
+    # a pair whose order is not sure counts until both are settled
+    rest = pairs.join(known_b, "b", "left").where("not sure or b_known is null").join(known_a, "a", "left").where("b_known is null or a_known is null")
+    later = tables.cut(_verified(rest.select("a", "b"), sets).unionByName(known).distinct(), "similar")
     # lines of an entry beyond its first place go, and first places that are similar to an earlier entry's
-    firsts = entries.select("h", "n", "pk").join(later.withColumn("gone", F.lit(True)), "pk", "left").withColumnRenamed("pk", "first")
+    firsts = entries.select("h", "n", "pk").join(later.select("pk", F.lit(True).alias("gone")), "pk", "left").withColumnRenamed("pk", "first")
     gone = lines.join(firsts, ["h", "n"]).where((F.col("pk") != F.col("first")) | F.col("gone"))
     gone = cut(gone.groupBy("id", "th").agg(F.array_distinct(F.collect_list("line_no")).alias("gone")), "gone")
-    tables.drop("entries", "places", "settled", "joined", "similar")
+    tables.drop("entries", "places", "settled", "joined", "sets", "best", "similar")
     return gone
 
 
@@ -219,7 +220,9 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int
 
 
 def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
-    """docs, columns as they are, without repeated lines; documents that lost lines and of which only blanks are left go."""
-    marked, new = _marked(docs, id, text, buckets, group)
+    """docs, columns (whatever their names) as they are, without repeated lines; documents that lost lines and of which only
+    blanks are left go."""
+    own, names = aside(docs)
+    marked, new = _marked(own, names[id], names[text], buckets, group)
     left = F.col("__gone").isNull() | new.rlike(r"[^\x20\x09-\x0D]")
-    return marked.where(left).select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns))
+    return back(marked.withColumn("__new", new).where(left), names | {text: "__new"})

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Tables, cut, new_path, shared_dir  # noqa: F401
@@ -20,6 +21,17 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that clash with nothing an operator adds, and those names by the old ones."""
+    names = {c: f"__own{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def back(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that `aside` renamed, under their old names, and no others."""
+    return found.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
