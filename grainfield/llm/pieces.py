@@ -4,13 +4,18 @@ A text becomes marked words (spaces are written as a mark that begins the word a
 are sorted, which makes them a trie walked depth-first: forward states of a prefix that a word shares with the one before
 it are reused, only the rest is computed.
 
-The forward state of a prefix depends on the model's kind. Unigram: the best sum of piece scores and the last piece of that
-path. BPE: merging never crosses a boundary that it ends with, so the pieces of a prefix are those of a shorter prefix
-plus one piece, and that one is the only one that the merge order lets stand beside the piece before it; the state is that
-last piece. Both read the pieces back from the end, and both give what the model's own encoder gives.
-
-Defined results: null texts have null ids; an empty text has none; characters without a piece become bytes where the
-model has byte pieces, else the unknown piece. Models with another normalizer than identity are refused.
+The forward state of a prefix is the score of its best path, the sum of piece scores, and that path's last piece. The
+model's kind says which steps a path may take. Unigram: any piece after any other. BPE: merging never crosses a boundary
+that it ends with, so a piece may follow another only if the merge order lets the two stand beside each other; all other
+steps score minus infinity, and exactly one path into a prefix is left, whose score (of merge ranks) is carried on. Both
+read the pieces back from the end, and both give what the model's own encoder gives.
+
+Words of earlier batches stay known to a worker, up to a fixed number of them.
+
+Defined results: null texts have null ids and score; an empty text has no ids and score 0; characters without a piece become
+bytes where the model has byte pieces, else the unknown piece, and score 10 below the lowest score; repeated rows and words
+have equal results, so there are no ties to break but equal sums in a unigram model (the longer last piece wins); texts of
+any length are encoded whole; an empty table gives no rows. Models with another normalizer than identity are refused.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +37,8 @@ from .shared import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-_MOST_WORDS = 400_000
+_MOST_WORDS = 800_000
+_MOST_PAIRS = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -77,11 +85,16 @@ class Model:
     longest: int = 1
     bytes_: dict[int, int] = field(default_factory=dict)
     joints: set[str] = field(default_factory=set)
-    ends: dict[str, list[int]] = field(default_factory=dict)
     border: re.Pattern | None = None
     plain: list[str | None] = field(default_factory=list)
-    lone: dict[str, bool] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    lowest: float = 0.0
+
+    def encoder(self) -> Encoder:
+        """One for all tasks of a worker, which keep a broadcast value."""
+        if "_encoder" not in self.__dict__:
+            self._encoder = Encoder(self)
+        return self._encoder
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -113,11 +126,7 @@ class Model:
         m.longest = max(map(len, m.ids), default=1)
         m.bytes_ = {int(p[3:5], 16): i for i, p in enumerate(pieces) if types[i] == 6}
         m.joints = {p[k : k + 2] for p in m.ids for k in range(len(p) - 1)}
-        ends: dict[str, set[int]] = {}
-        for p in m.ids:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        m.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        m.lowest = min(scores, default=0.0) - 10.0
         m.plain = [chr(int(p[3:5], 16)) if types[i] == 6 and p < "<0x8" else None if types[i] == 6 else _shown(p, types[i]) for i, p in enumerate(pieces)]
         return m
 
@@ -139,7 +148,7 @@ class Model:
         """Whether b follows a as it is, that is the merges of a + b end with these two."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > _MOST_PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.symbols(a + b) == [a, b]
         return known
@@ -153,9 +162,9 @@ class Model:
             self.border = re.compile(f"(?<=[^\\W\\d_])(?=[{after}])|(?<=[{before}])(?=[^\\W\\d_])" if before and after else "(?!)")
         return self.border.split(word)
 
-    def walk(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each of the words, sorted and without repeats: depth-first through their trie."""
-        out, before, last, best = {}, "", [""], [0.0]
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int], float]]:
+        """Each of the words (sorted, without repeats), its ids and its score: depth-first through their trie."""
+        before, last, best, known = "", [""], [0.0], self.ids.get
         forward = self._merge_steps if self.kind == BPE else self._score_steps
         for word in words:
             n, most = 0, min(len(word), len(before))
@@ -163,39 +172,62 @@ class Model:
                 n += 1
             del last[n + 1 :], best[n + 1 :]
             forward(word, n + 1, last, best)
-            pieces, end = [], len(word)
+            out, end = [], len(word)
             while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            out[word] = [i for p in reversed(pieces) for i in self._ids_of(p)]
+                piece = last[end]
+                i = known(piece)
+                if i is None:
+                    out += self._spelled(piece)[::-1]
+                else:
+                    out.append(i)
+                end -= len(piece)
+            out.reverse()
+            yield word, out, best[-1]
             before = word
-        return out
+
+    def matcher(self) -> ahocorasick.Automaton:
+        """Finds, longest first, the pieces of two characters or more that end at a place and that their own merges make."""
+        if "_matcher" not in self.__dict__:
+            found = ahocorasick.Automaton()
+            for p, i in self.ids.items():
+                if len(p) > 1 and self.symbols(p) == [p]:
+                    found.add_word(p, (len(p), p, self.scores[i]))
+            found.make_automaton()
+            self._matcher = found
+        return self._matcher
 
     def _merge_steps(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        """The last piece of every prefix from `end` on."""
-        ids, ends, lone, pairs = self.ids, self.ends, self.lone, self.pairs
-        for end in range(end, len(word) + 1):
-            piece = word[end - 1 : end]
-            for size in ends.get(word[end - 2 : end], ()) if end > 1 else ():
-                start = end - size
-                if start < 0 or (p := word[start:end]) not in ids:
+        """The score and last piece of the one path into every prefix from `end` on; no step but one scores above minus infinity."""
+        pairs, done = self.pairs, end - 1
+        for stop, (size, piece, score) in self.matcher().iter(word, max(0, end - self.longest)) if len(self.matcher()) else ():
+            stop += 1
+            if stop <= done:
+                continue
+            if done < stop - 1:
+                self._single_steps(word, done, stop - 1, last, best)
+                done = stop - 1
+            start = stop - size
+            if start:
+                stands = pairs.get((last[start], piece))
+                if stands is None:
+                    stands = self.stand(last[start], piece)
+                if not stands:
                     continue
-                alone = lone.get(p)
-                if alone is None:
-                    alone = lone[p] = self.symbols(p) == [p]
-                if alone:
-                    if not start:
-                        piece = p
-                        break
-                    stands = pairs.get((last[start], p))
-                    if self.stand(last[start], p) if stands is None else stands:
-                        piece = p
-                        break
             last.append(piece)
+            best.append(best[start] + score)
+            done = stop
+        self._single_steps(word, done, len(word), last, best)
+
+    def _single_steps(self, word: str, done: int, end: int, last: list[str], best: list[float]) -> None:
+        """Prefixes that end with a piece of one character."""
+        for c in word[done:end]:
+            i = self.ids.get(c)
+            last.append(c)
+            best.append(best[-1] + (self.lowest if i is None else self.scores[i]))
 
     def _score_steps(self, word: str, end: int, last: list[str], best: list[float]) -> None:
         """The best score and last piece of every prefix from `end` on; an unknown character costs 10 below the lowest score."""
-        unknown = min(self.scores) - 10.0
+        unknown = self.lowest
         for end in range(end, len(word) + 1):
             top = None
             for start in range(max(0, end - self.longest), end):
@@ -206,10 +238,8 @@ class Model:
             best.append(top[0])
             last.append(top[1])
 
-    def _ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return [i]
+    def _spelled(self, piece: str) -> list[int]:
+        """Ids of a character that no piece has."""
         return [self.bytes_[b] for b in piece.encode()] if self.bytes_ else [self.unknown]
 
     def marked(self, text: str) -> list[str]:
@@ -257,16 +287,16 @@ def _shown(piece: str, kind: int) -> str:
 
 
 class Encoder:
-    """Ids of words of earlier batches beside a model; forgotten when there are many."""
+    """Ids and scores of words of earlier batches beside a model; forgotten when there are many."""
 
     def __init__(self, model: Model):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids, self.starts = array("i"), array("q", [0])
+        self.index: dict[str, int] = {}  # words
+        self.parts: dict[str, int] = {}  # parts of words of several
+        self.ids, self.starts, self.scores = array("i"), array("q", [0]), array("d")
 
     def _split(self, text: str) -> list[str]:
         """Words without their first mark: of plain texts what stands between single spaces."""
@@ -274,35 +304,59 @@ class Encoder:
             return text.split(" ") if text else []
         return [w[1:] if w[:1] == MARK else "\0" + w for w in self.model.marked(text)]
 
-    def _learn(self, words: set[str]) -> None:
-        model = self.model
-        cut = {w: model.segments(w[1:] if w[:1] == "\0" and w[1:2] != MARK and not model.dummy_prefix else MARK + w) for w in words}
-        self.parts |= model.walk(sorted({p for x in cut.values() for p in x} - self.parts.keys()))
+    def _add(self, ids, score: float) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        self.scores.append(score)
+        return len(self.scores) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        model, cut, new, names = self.model, {}, [], {}
+        for w in words:
+            if w.isalpha():  # one part
+                names[MARK + w] = w
+                new.append(MARK + w)
+                continue
+            cut[w] = model.segments(w[1:] if w[:1] == "\0" and w[1:2] != MARK and not model.dummy_prefix else MARK + w)
+        new += {p for x in cut.values() for p in x} - self.parts.keys() - names.keys()
+        for p, ids, score in model.walk(sorted(new)):
+            k = self._add(ids, score)
+            if p in names:
+                self.index[names[p]] = k
+            else:
+                self.parts[p] = k
         for w, x in cut.items():
-            self.index[w] = len(self.starts) - 1
-            for p in x:
-                self.ids.extend(self.parts[p])
-            self.starts.append(len(self.ids))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has (-1: null)."""
+            at = [self.parts[p] if p in self.parts else self.index[p[1:]] for p in x]
+            if len(at) == 1:
+                self.index[w] = at[0]
+            else:
+                self.index[w] = self._add([i for k in at for i in self.ids[self.starts[k] : self.starts[k + 1]]], sum(self.scores[k] for k in at))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids one after another, how many each text has (-1: null), and the score of each text."""
         split = [() if t is None else self._split(t) for t in texts]
-        new = {w for x in split for w in x}
-        if len(self.index) > _MOST_WORDS or len(self.parts) > _MOST_WORDS:
+        words = list(chain.from_iterable(split))
+        if len(self.index) > _MOST_WORDS:
             self.forget()
-        self._learn(new - self.index.keys())
-        at = np.fromiter((k for x in split for k in map(self.index.__getitem__, x)), np.int64)
-        starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
-        n = starts[at + 1] - starts[at] if len(at) else at
+        known = self.index
+        self._learn([w for w in set(words) if w not in known])
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([0, *map(len, split)])
+        null = np.array([t is None for t in texts], bool)
+        if not len(at):
+            return np.zeros(0, np.int32), np.where(null, -1, 0), np.zeros(len(texts))
+        # copies, as arrays that numpy looks into cannot grow
+        starts, ids, scores = np.array(self.starts, np.int64), np.array(self.ids, np.int32), np.array(self.scores)
+        n = starts[at + 1] - starts[at]
         upto = np.cumsum(n)
-        flat = ids[np.repeat(starts[at] - upto + n, n) + np.arange(n.sum())] if len(at) else ids[:0]
-        sums = np.r_[0, upto][np.cumsum([0, *map(len, split)])]
-        sizes = np.diff(sums)
-        return flat, np.where([t is None for t in texts], -1, sizes)
+        flat = ids[np.repeat(starts[at] - upto + n, n) + np.arange(upto[-1])]
+        sizes = np.diff(np.r_[0, upto][ends])
+        sums = np.diff(np.r_[0.0, np.cumsum(scores[at])][ends])
+        return flat, np.where(null, -1, sizes), sums
 
 
 def encode_texts(model: Model, texts: list[str | None]) -> list[list[int] | None]:
-    flat, sizes = Encoder(model).encode(texts)
+    flat, sizes, _ = Encoder(model).encode(texts)
     ends = np.cumsum(np.maximum(sizes, 0))
     return [None if n < 0 else flat[e - n : e].tolist() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
@@ -310,23 +364,29 @@ def encode_texts(model: Model, texts: list[str | None]) -> list[list[int] | None
 def _run(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        encoder = Encoder(model)
+        encoder = model.encoder()
         for batch in slices(batches, text, 4 << 20):
-            flat, sizes = encoder.encode(batch.column(text).to_pylist())
+            flat, sizes, scores = encoder.encode(batch.column(text).to_pylist())
             null, ends = sizes < 0, np.cumsum(np.maximum(sizes, 0))
             decoded = [None if n < 0 else model.decode(flat[e - n : e].tolist()) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[null, False]), pa.array(flat, pa.int32()))
             yield pa.record_batch(
-                [*batch.columns, ids, pa.array(sizes, pa.int64(), mask=null), pa.array(decoded, pa.string())],
-                names=[*batch.schema.names, "piece_ids", "n_pieces", "decoded"],
+                [*batch.columns, ids, pa.array(sizes, pa.int64(), mask=null), pa.array(scores, pa.float64(), mask=null), pa.array(decoded, pa.string())],
+                names=[*batch.schema.names, *ADDED],
             )
 
     return run
 
 
+#: Columns that `encode` adds.
+ADDED = ["piece_ids", "n_pieces", "piece_score", "decoded"]
+
+
 def encode(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
-    """docs with piece_ids, n_pieces and decoded (the ids turned back into text). Columns of these names are replaced."""
-    docs = docs.drop("piece_ids", "n_pieces", "decoded")
+    """docs with piece_ids, n_pieces, piece_score (the path's score) and decoded (the ids turned back into text). Columns of
+    these names are replaced."""
+    docs = docs.drop(*(c for c in ADDED if c != text))
     shared = docs.sparkSession.sparkContext.broadcast(model or Model.load())
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded", T.StringType())])
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.DoubleType(), T.StringType()]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(ADDED, kinds, strict=True))])
     return docs.mapInArrow(_run(shared, text), schema)

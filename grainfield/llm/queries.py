@@ -61,7 +61,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and the text they decode to."""
     found = pieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_pieces", "piece_ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return found.select("doc_id", "n_pieces", "piece_ids", "piece_score", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
