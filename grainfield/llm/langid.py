@@ -1,19 +1,23 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training counts character n-grams of words by language over all labelled texts. Each language keeps the n-grams that are
-frequent in it and not much rarer than where they are most frequent; a rate threshold bounds their number. All languages
-share one bit-sliced Bloom filter: a slot holds one bit for each language, and the AND of an n-gram's slots is the set of
-all languages that (seem to) contain it. A text's score for a language is the popcount of its n-grams with that bit,
-corrected for the filter's false-positive rate in that language; the highest decides.
+Training takes the character n-grams of all words of every language. All languages share one bit-sliced Bloom filter: a
+slot holds one bit for each language, an n-gram sets its language's bit in its slots, and the AND of an n-gram's slots is
+the set of all languages that contain it - every one of them, and now and then one more. No n-gram is left out; memory is
+bounded by the number of slots, and what a full filter errs more is measured and taken off. A text's score for a language is
+the popcount of its n-grams with that bit, corrected for the filter's false-positive rate in that language; the highest
+decides.
+
+Distinct (language, n-gram) pairs are found and turned into bits on the executors; the driver receives one row for each slot
+that has a bit, at most MOST_SLOTS of them.
 
 Defined results: null texts, texts without a letter, and a model without any language give `und` and score 0; rows with a
-null language are not learned from; ties go to the first language by name; repeated rows count as often as they occur.
+null language are not learned from; ties go to the first language by name; repeated rows change nothing, as filters hold
+sets; a long text is read whole, word by word; an empty table gives an empty model, or no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,16 +25,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import cut, slices
 
-ORDERS = (1, 2, 3)
-LEAST_RATE = 2e-5
-SHARE_OF_MOST = 0.5
+ORDERS = (1, 2, 3, 4)
 HASHES = 3
+SLOTS_PER_GRAM = 16
+MOST_SLOTS = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 _LANE = 40
 _MOST = 300_000
@@ -49,31 +52,37 @@ def grams(word: str, orders=ORDERS) -> list[str]:
     return out + [padded[k : k + n] for n in orders if n > 1 for k in range(len(padded) - n + 1)]
 
 
-def _count(orders):
-    """Per task: (lang, gram, n). Words are counted first, so each distinct word is taken apart once."""
+def _pairs(orders):
+    """Per task: distinct (lang, gram), each distinct word taken apart once; forgotten, and perhaps repeated, when many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-        total: dict[str, Counter] = {}
+        seen: dict[str, set[str]] = {}
+        found: dict[str, set[str]] = {}
+        new: dict[str, set[str]] = {}
 
-        def flush(everything: bool) -> Iterator[pa.RecordBatch]:
-            for lang, c in seen.items():
-                into = total.setdefault(lang, Counter())
-                for w, n in c.items():
-                    for g in grams(w, orders):
-                        into[g] += n
-            seen.clear()
-            if everything or sum(map(len, total.values())) > _MOST:
-                for lang, c in total.items():
-                    yield pa.record_batch({"lang": pa.array([lang] * len(c), pa.string()), "gram": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
-                total.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in new.items():
+                if c:
+                    yield pa.record_batch({"lang": pa.array([lang] * len(c), pa.string()), "gram": pa.array(list(c), pa.string())})
+            new.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(words(text))
-                if sum(map(len, seen.values())) > _MOST:
-                    yield from flush(False)
-        yield from flush(True)
+                known, have = seen.setdefault(lang, set()), found.setdefault(lang, set())
+                fresh = set(words(text)) - known
+                known |= fresh
+                out = new.setdefault(lang, set())
+                for w in fresh:
+                    for g in grams(w, orders):
+                        if g not in have:
+                            have.add(g)
+                            out.add(g)
+                if len(known) > _MOST:
+                    known.clear()
+                if sum(map(len, found.values())) > _MOST:
+                    yield from flush()
+                    found.clear()
+        yield from flush()
 
     return run
 
@@ -87,41 +96,71 @@ class Filters:
     false_rate: np.ndarray  # of each language
     orders: tuple[int, ...]
 
+    @classmethod
+    def of(cls, langs: list[str], slots: np.ndarray, orders=ORDERS) -> Filters:
+        fill = np.array([np.count_nonzero(slots[:, k // 64] & np.uint64(1 << (k % 64))) / len(slots) for k in range(len(langs))])
+        return cls(langs, slots, fill**HASHES, tuple(orders))
+
     @classmethod
     def build(cls, rows: list[tuple[str, str]], orders=ORDERS) -> Filters:
+        """From (lang, gram) pairs at hand."""
         langs = sorted({lang for lang, _ in rows})
-        n = max(1024, 1 << int(16 * max(1, len({g for _, g in rows})) - 1).bit_length())
+        n = _size(len({g for _, g in rows}))
         slots = np.zeros((n, max(1, -(-len(langs) // 64))), np.uint64)
         place = {lang: k for k, lang in enumerate(langs)}
         for lang, gram in rows:
             k = place[lang]
             slots[_hashes(gram, n), k // 64] |= np.uint64(1 << (k % 64))
-        fill = np.array([np.count_nonzero(slots[:, k // 64] & np.uint64(1 << (k % 64))) / n for k in range(len(langs))])
-        return cls(langs, slots, fill**HASHES, tuple(orders))
+        return cls.of(langs, slots, orders)
 
     def mask(self, gram: str) -> int:
         """The languages that contain the n-gram, as bits."""
         found = np.bitwise_and.reduce(self.slots[_hashes(gram, len(self.slots))], axis=0)
         return sum(int(x) << (64 * k) for k, x in enumerate(found))
 
+    def voter(self) -> Voter:
+        """One for all tasks of a worker, which keep a broadcast value."""
+        if "_voter" not in self.__dict__:
+            self._voter = Voter(self)
+        return self._voter
+
     def corrected(self, hits: list[int], n: int) -> np.ndarray:
         """Share of n-grams that each language truly has: false positives taken off."""
-        return np.clip((np.array(hits) / n - self.false_rate) / (1 - self.false_rate), 0, 1)
+        return np.clip((np.array(hits) / n - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
+
+
+def _size(grams: int) -> int:
+    """Slots for so many n-grams: a power of two."""
+    return min(MOST_SLOTS, max(1024, 1 << int(SLOTS_PER_GRAM * max(1, grams) - 1).bit_length()))
 
 
 def _hashes(gram: str, n: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(gram.encode())
-    return [((h >> 64) * k + h) % n for k in range(HASHES)]
+    h = xxhash.xxh64_intdigest(gram.encode(), 42)
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1
+    return [a + k * b & n - 1 for k in range(HASHES)]
+
+
+def _slots_of(gram: Column, n: int) -> Column:
+    """The same places as `_hashes`."""
+    h = F.xxhash64(gram)
+    a, b = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    return F.array(*((a + k * b).bitwiseAND(F.lit(n - 1)).cast("int") for k in range(HASHES)))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", orders=ORDERS, least_rate: float = LEAST_RATE, share: float = SHARE_OF_MOST) -> Filters:
-    """Filters from all rows with a text and a language. At most len(orders) / least_rate n-grams a language reach the driver."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", orders=ORDERS) -> Filters:
+    """Filters from all rows with a text and a language. The driver receives the names of languages and a row for each slot."""
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counts = known.mapInArrow(_count(orders), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sizes = counts.groupBy("lang", F.length("gram").alias("k")).agg(F.sum("n").alias("total"))
-    rates = counts.withColumn("k", F.length("gram")).join(F.broadcast(sizes), ["lang", "k"]).withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= least_rate)
-    kept = rates.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).where(F.col("rate") >= share * F.col("most"))
-    return Filters.build([(r.lang, r.gram) for r in kept.select("lang", "gram").collect()], orders)
+    pairs = cut(known.mapInArrow(_pairs(orders), "lang string, gram string").distinct(), "grams")
+    langs = [r.lang for r in pairs.select("lang").distinct().orderBy("lang").collect()]
+    n = _size(pairs.select(F.approx_count_distinct("gram")).first()[0])
+    slots = np.zeros((n, max(1, -(-len(langs) // 64))), np.uint64)
+    if langs:
+        place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+        placed = pairs.select("gram", place.cast("int").alias("p"))
+        bits = placed.select(F.explode(_slots_of(F.col("gram"), n)).alias("slot"), F.expr("p div 64").cast("int").alias("part"), F.expr("shiftleft(1L, p % 64)").alias("bit"))
+        found = bits.groupBy("slot", "part").agg(F.bit_or("bit").alias("bits")).toArrow()
+        slots[found.column("slot").to_numpy(), found.column("part").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Filters.of(langs, slots, orders)
 
 
 class Voter:
@@ -175,7 +214,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", keep: list[Co
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voter = Voter(shared.value)
+        voter = shared.value.voter()
         for batch in slices(batches, "__text"):
             found = [voter.decide(t) for t in batch.column("__text").to_pylist()]
             names = batch.schema.names[:-1]
