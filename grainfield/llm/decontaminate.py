@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, slices, texts_of
+from .shared import aside, back, cut, slices, texts_of
 
 WINDOW = 13
 PART_BYTES = 8 << 20
@@ -234,6 +234,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     return out.mapInArrow(_judge(), judged)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that are contaminated, whole texts otherwise untouched."""
-    return hits(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without those that are contaminated; columns (whatever their names) and whole texts as they were."""
+    own, names = aside(docs)
+    return back(hits(own, benchmark, text=names[text], **options).where(~F.col("contaminated")), names)

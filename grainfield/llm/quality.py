@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, cut, slices, texts_of
+from .shared import aside, back, crc_mod, cut, slices, texts_of
 
 FEATURES = 256
 MOST_FITTED = 200_000
@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def reject(docs: DataFrame, model: Quality, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a score of at least threshold, columns and whole texts as they were."""
-    stats = with_statistics(docs, text, [*docs.columns])
-    return score(stats, model, threshold).where(F.col("predicted") == 1).select(*docs.columns)
+    """docs with a score of at least threshold, columns (whatever their names) and whole texts as they were."""
+    own, names = aside(docs)
+    stats = with_statistics(own, names[text], [*names.values()])
+    return back(score(stats, model, threshold).where(F.col("predicted") == 1), names)

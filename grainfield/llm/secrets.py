@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import new_path
 
-LEDGER = "blob binary, scanned array<string>, found array<struct<start:int,rule:int,end:int>>"
+#: A finding names its rule by kind and version, so it outlives any change of the list of rules.
+LEDGER = "blob binary, scanned array<string>, found array<struct<start:int,end:int,key:string>>"
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,8 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.select("blob", "scanned", F.col("c.rule").alias("rule"), F.posexplode_outer("c.cuts").alias("at", "cut"))
     upto = F.sum(F.col("cut.gap") + F.col("cut.size")).over(W.partitionBy("blob", "rule").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
     placed = rows.withColumn("end", upto.cast("int"))
-    span = F.when(F.col("cut.fits"), F.struct((F.col("end") - F.col("cut.size")).alias("start"), "rule", "end"))
+    keys = F.array(*(F.lit(r.key) for r in rules))
+    span = F.when(F.col("cut.fits"), F.struct((F.col("end") - F.col("cut.size")).alias("start"), "end", F.get(keys, F.col("rule")).alias("key")))
     return placed.groupBy("blob", "scanned").agg(F.sort_array(F.collect_list(span)).alias("found"))
 
 
@@ -104,10 +106,12 @@ def update(texts: DataFrame, ledger: str, text: str = "text", rules=RULES) -> Da
 
 
 def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, found): findings of the rules' present versions, of blobs that have any."""
+    """(blob, found): findings of the rules' present versions, of blobs that have any; found numbers rules by their place
+    in `rules`, whatever list they were scanned with."""
     now = F.array(*(F.lit(r.key) for r in rules))
-    rows = ledger.where(F.size("found") > 0).select("blob", F.explode(F.filter("found", lambda x: F.array_contains("scanned", now[x["rule"]]))).alias("f"))
-    return rows.distinct().groupBy("blob").agg(F.sort_array(F.collect_list("f")).alias("found"))
+    rows = ledger.where(F.size("found") > 0).select("blob", F.explode(F.filter("found", lambda x: F.array_contains(now, x["key"]))).alias("f"))
+    numbered = rows.distinct().select("blob", F.struct("f.start", (F.array_position(now, F.col("f.key")) - 1).cast("int").alias("rule"), "f.end").alias("f"))
+    return numbered.groupBy("blob").agg(F.sort_array(F.collect_list("f")).alias("found"))
 
 
 def scan(texts: DataFrame, text: str = "text", ledger: str | None = None, rules=RULES) -> DataFrame:

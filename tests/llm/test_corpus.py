@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainfield.llm import decontaminate, langid, linededup, lm, pieces, quality, secrets, sharding, simhash, topk
+from grainfield.llm import decontaminate, langid, linededup, lm, pieces, quality, secrets, sharding, shingles, simhash, topk
 from grainfield.llm.shared import crc_mod
 
 DOCS = "doc_id long, text string, lang string, fp long, n_lines int"
@@ -57,6 +57,41 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none, 7).count() == 0
 
 
+@pytest.mark.parametrize("id", [5, None])
+def test_sharding_of_one_id(spark, id):
+    table = spark.createDataFrame([(id, "the same text " * 70)] * 400 + [(k, f"text {k} " * 30) for k in range(500)], "size long, shard string")
+    found = sharding.shard(table, 8, "size", "shard").collect() if id is None else sharding.shard(table.toDF("doc_id", "text"), 8).collect()
+    loads, places = Counter(), defaultdict(list)
+    for r in found:
+        loads[r.shard] += r["size"] if id is not None else 1
+        places[r.shard].append(r.slot)
+    assert len(found) == 900 and all(sorted(x) == list(range(len(x))) for x in places.values())
+    if id is not None:
+        assert max(loads.values()) - min(loads.values()) <= 0.02 * sum(loads.values()) / 8
+
+
+def test_own_columns_stay(spark):
+    """Operators that return the columns of docs keep them, whatever their names."""
+    derived = "score predicted stats n_words items n_hit spans hits contaminated n_lines n_removed gone th line_no h n prefix".split()
+    data = [(k, f"line one of {k} and {k * 7}\nsecond {k} {k + 1} {k + 2}\nshared line of all the texts") + (7.0,) * len(derived) for k in range(30)]
+    table = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"{c} double" for c in derived))
+    bench = spark.createDataFrame([(1, "line one of 3 and 21")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    model, _ = quality.train(table, labels, held_out=None)
+    for name, found in {
+        "reject": quality.reject(table, model),
+        "remove": decontaminate.remove(table, bench),
+        "clean": linededup.clean(table, buckets=64),
+        "representatives": shingles.representatives(table),
+    }.items():
+        assert found.columns == table.columns, name
+        got = found.collect()
+        assert got and all(r[c] == 7.0 for r in got for c in derived), name
+    assert {r.doc_id for r in decontaminate.remove(table, bench).collect()} == set(range(30)) - {3}
+    kept = {r.doc_id: r.text for r in linededup.clean(table, buckets=64).collect()}
+    assert "shared" in kept[0] and not any("shared" in kept[k] for k in range(1, 30))
+
+
 def test_slot_map_edits(spark):
     rng = random.Random(3)
     weights = [rng.randint(1, 1000) for _ in range(2000)]
@@ -243,6 +278,11 @@ def test_secrets(spark, none):
     newer = (*secrets.RULES[:2], secrets.Rule("hex", "[0-9a-f]+", 0, 32, version=2))
     again = secrets.scan(table, ledger=ledger, rules=newer).select("doc_id", secrets.spans(F.col("found"), newer).alias("s")).collect()
     assert {r.doc_id: r.s for r in again} == {r.doc_id: r.s for r in found}
+    for other in (newer[::-1], newer[1:]):  # another order, fewer rules: the same findings of the rules named
+        left = {r.kind for r in other}
+        want = {r.doc_id: ",".join(sorted((x for x in r.s.split(",") if x.split(":")[0] in left), key=lambda x: (int(x.split(":")[1]), [o.kind for o in other].index(x.split(":")[0])))) for r in found}
+        some = secrets.scan(table, ledger=ledger, rules=other).select("doc_id", secrets.spans(F.col("found"), other).alias("s")).collect()
+        assert {r.doc_id: r.s for r in some} == want
     assert secrets.scan(none).count() == 0
 
 
@@ -252,8 +292,11 @@ def test_language(spark, docs, none):
     data = [(k, " ".join("".join(rng.choices(langs[x], k=rng.randint(2, 8))) for _ in range(60)), x) for k, x in enumerate(rng.choices(list(langs), k=300))]
     data += [(500, None, "aa"), (501, "12 34 ²½ !", "aa"), (502, "abc", None), (503, "", "bb")]
     table = spark.createDataFrame([(*r, 0.5) for r in data], "doc_id long, text string, lang string, score double")
-    model = langid.train(table.where("doc_id % 4 <> 2"), least_rate=1e-4)
+    model = langid.train(table.where("doc_id % 4 <> 2"))
     assert model.langs == ["aa", "bb", "cc"]
+    for k, text, lang in data:  # every language that contains an n-gram is named
+        if k % 4 != 2 and text and lang:
+            assert all(model.mask(g) >> model.langs.index(lang) & 1 for w in langid.words(text) for g in langid.grams(w))
     found = {r.doc_id: r for r in langid.predict(table, model).collect()}
     assert sum(found[k].lang_pred == x for k, _, x in data[:300] if k % 4 == 2) >= 0.98 * sum(k % 4 == 2 for k in range(300))
     assert [found[k].lang_pred for k in (500, 501, 503)] == ["und"] * 3 and found[500].score == 0
