@@ -37,8 +37,8 @@ from .shared import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-_MOST_WORDS = 800_000
-_MOST_PAIRS = 400_000
+_MOST_WORDS = 300_000
+_MOST_PAIRS = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -87,8 +87,9 @@ class Model:
     joints: set[str] = field(default_factory=set)
     border: re.Pattern | None = None
     plain: list[str | None] = field(default_factory=list)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
     lowest: float = 0.0
+    sizes: list[int] = field(default_factory=list)
 
     def encoder(self) -> Encoder:
         """One for all tasks of a worker, which keep a broadcast value."""
@@ -126,6 +127,7 @@ class Model:
         m.longest = max(map(len, m.ids), default=1)
         m.bytes_ = {int(p[3:5], 16): i for i, p in enumerate(pieces) if types[i] == 6}
         m.joints = {p[k : k + 2] for p in m.ids for k in range(len(p) - 1)}
+        m.sizes = [len(p) for p in pieces]
         m.lowest = min(scores, default=0.0) - 10.0
         m.plain = [chr(int(p[3:5], 16)) if types[i] == 6 and p < "<0x8" else None if types[i] == 6 else _shown(p, types[i]) for i, p in enumerate(pieces)]
         return m
@@ -144,13 +146,15 @@ class Model:
             k = best[1]
             out[k : k + 2] = [out[k] + out[k + 1]]
 
-    def stand(self, a: str, b: str) -> bool:
-        """Whether b follows a as it is, that is the merges of a + b end with these two."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > _MOST_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.symbols(a + b) == [a, b]
+    def stand(self, a: int, b: int) -> bool:
+        """Whether piece b follows piece a as it is, that is the merges of both end with these two; nothing joins an unknown
+        character (-1)."""
+        if a < 0:
+            return True
+        if len(self.pairs) > _MOST_PAIRS:
+            self.pairs.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        known = self.pairs[a << 32 | b] = self.symbols(x + y) == [x, y]
         return known
 
     def segments(self, word: str) -> list[str]:
@@ -164,7 +168,7 @@ class Model:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[int], float]]:
         """Each of the words (sorted, without repeats), its ids and its score: depth-first through their trie."""
-        before, last, best, known = "", [""], [0.0], self.ids.get
+        before, last, best, sizes = "", [-1], [0.0], self.sizes
         forward = self._merge_steps if self.kind == BPE else self._score_steps
         for word in words:
             n, most = 0, min(len(word), len(before))
@@ -174,13 +178,13 @@ class Model:
             forward(word, n + 1, last, best)
             out, end = [], len(word)
             while end:
-                piece = last[end]
-                i = known(piece)
-                if i is None:
-                    out += self._spelled(piece)[::-1]
+                i = last[end]
+                if i < 0:
+                    end -= 1
+                    out += self._spelled(word[end])[::-1]
                 else:
                     out.append(i)
-                end -= len(piece)
+                    end -= sizes[i]
             out.reverse()
             yield word, out, best[-1]
             before = word
@@ -191,50 +195,50 @@ class Model:
             found = ahocorasick.Automaton()
             for p, i in self.ids.items():
                 if len(p) > 1 and self.symbols(p) == [p]:
-                    found.add_word(p, (len(p), p, self.scores[i]))
+                    found.add_word(p, i)
             found.make_automaton()
             self._matcher = found
         return self._matcher
 
-    def _merge_steps(self, word: str, end: int, last: list[str], best: list[float]) -> None:
-        """The score and last piece of the one path into every prefix from `end` on; no step but one scores above minus infinity."""
-        pairs, done = self.pairs, end - 1
-        for stop, (size, piece, score) in self.matcher().iter(word, max(0, end - self.longest)) if len(self.matcher()) else ():
-            stop += 1
-            if stop <= done:
+    def _merge_steps(self, word: str, end: int, last: list[int], best: list[float]) -> None:
+        """The score and last piece (-1: an unknown character) of the one path into every prefix from `end` on; no step but
+        one scores above minus infinity."""
+        pairs, sizes, scores, done = self.pairs, self.sizes, self.scores, end - 1
+        for stop, i in self.matcher().iter(word, max(0, end - self.longest)) if len(self.matcher()) else ():
+            if stop < done:
                 continue
-            if done < stop - 1:
-                self._single_steps(word, done, stop - 1, last, best)
-                done = stop - 1
-            start = stop - size
+            if done < stop:
+                self._single_steps(word, done, stop, last, best)
+                done = stop
+            start = stop + 1 - sizes[i]
             if start:
-                stands = pairs.get((last[start], piece))
+                stands = pairs.get(last[start] << 32 | i)
                 if stands is None:
-                    stands = self.stand(last[start], piece)
+                    stands = self.stand(last[start], i)
                 if not stands:
                     continue
-            last.append(piece)
-            best.append(best[start] + score)
-            done = stop
-        self._single_steps(word, done, len(word), last, best)
+            last.append(i)
+            best.append(best[start] + scores[i])
+            done = stop + 1
+        if done < len(word):
+            self._single_steps(word, done, len(word), last, best)
 
-    def _single_steps(self, word: str, done: int, end: int, last: list[str], best: list[float]) -> None:
+    def _single_steps(self, word: str, done: int, end: int, last: list[int], best: list[float]) -> None:
         """Prefixes that end with a piece of one character."""
         for c in word[done:end]:
-            i = self.ids.get(c)
-            last.append(c)
-            best.append(best[-1] + (self.lowest if i is None else self.scores[i]))
+            i = self.ids.get(c, -1)
+            last.append(i)
+            best.append(best[-1] + (self.lowest if i < 0 else self.scores[i]))
 
-    def _score_steps(self, word: str, end: int, last: list[str], best: list[float]) -> None:
+    def _score_steps(self, word: str, end: int, last: list[int], best: list[float]) -> None:
         """The best score and last piece of every prefix from `end` on; an unknown character costs 10 below the lowest score."""
-        unknown = self.lowest
         for end in range(end, len(word) + 1):
             top = None
             for start in range(max(0, end - self.longest), end):
-                i = self.ids.get(word[start:end])
-                score = self.scores[i] if i is not None else unknown if end - start == 1 else None
+                i = self.ids.get(word[start:end], -1)
+                score = self.scores[i] if i >= 0 else self.lowest if end - start == 1 else None
                 if score is not None and (top is None or best[start] + score > top[0]):
-                    top = (best[start] + score, word[start:end])
+                    top = (best[start] + score, i)
             best.append(top[0])
             last.append(top[1])
 
