@@ -248,8 +248,36 @@ def distance(m: np.ndarray) -> np.ndarray:
         d[y] = np.minimum(d[y], d[y - 1] + 1)
     for y in range(h - 2, -1, -1):
         d[y] = np.minimum(d[y], d[y + 1] + 1)
-    gap = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    return np.sqrt((d[:, None, :] ** 2 + gap[None]).min(axis=2))
+    gap = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2.0
+    # one row at a time, so memory is the square of the width, not the height times that
+    return np.sqrt(np.array([(row**2 + gap).min(axis=1) for row in d]).reshape(h, w))
+
+
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs of places whose ranks (0 ..) stand in falling order. Bit by bit from the highest: among places with equal
+    higher bits, each 0 is inverted with the 1s before it."""
+    now, total = np.asarray(ranks, np.int64), 0
+    for bit in range(int(now.max(initial=0)).bit_length() - 1, -1, -1):
+        ones = now >> bit & 1
+        upto = np.cumsum(ones)
+        first = np.flatnonzero(np.r_[True, np.diff(now >> (bit + 1)) != 0])
+        before = np.repeat(np.r_[0, upto][first], np.diff(np.r_[first, len(now)]))
+        total += int((upto - before)[ones == 0].sum())
+        now = now[np.argsort(now >> bit, kind="stable")]
+    return total
+
+
+def kendall(a: np.ndarray, b: np.ndarray) -> float:
+    """tau-b in n log n: discordant pairs are inversions of b in the order of a; nan without spread."""
+    _, a = np.unique(a, return_inverse=True)
+    _, b = np.unique(b, return_inverse=True)
+    tied = lambda k: int((k * (k - 1) // 2).sum())
+    order = np.lexsort((b, a))
+    pairs = len(a) * (len(a) - 1) // 2
+    in_a, in_b = tied(np.bincount(a)), tied(np.bincount(b))
+    in_both = tied(np.unique(a * (int(b.max(initial=0)) + 1) + b, return_counts=True)[1])
+    free = float(pairs - in_a) * float(pairs - in_b)
+    return (pairs - in_a - in_b + in_both - 2 * inversions(b[order])) / free**0.5 if free > 0 else float("nan")
 
 
 def peaks(a: np.ndarray, least: float, r: int = 1) -> np.ndarray:

@@ -277,3 +277,90 @@ def compared(reps: DataFrame, keys: list[str], condition: str, parametric: bool
 
     kinds = dict(reps.dtypes)
     return reps.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "test string, statistic double, p double, groups int"]))
+
+
+def assigned(pairs: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """One-to-one matches among candidate pairs (keys, p_label, t_label, distance) of each group: as many as can be, of the
+    least total distance. A group's candidates are an image's objects within reach of each other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, r = np.unique(pdf["p_label"].to_numpy(), return_inverse=True)
+        columns, c = np.unique(pdf["t_label"].to_numpy(), return_inverse=True)
+        edges: list[list[tuple[int, float]]] = [[] for _ in rows]
+        for i, j, d in sorted(zip(r.tolist(), c.tolist(), pdf["distance"].tolist(), strict=True)):
+            edges[i].append((j, d))
+        chosen = {(i, j) for i, j in enumerate(fits.sparse_assignment(edges, len(columns), 2 * len(rows) * reach + 1)) if j >= 0}
+        return pdf[[(i, j) in chosen for i, j in zip(r.tolist(), c.tolist(), strict=True)]]
+
+    return pairs.groupBy(*keys).applyInPandas(run, pairs.schema)
+
+
+def merged_in_time(points: DataFrame, keys: list[str], radius: float, gap: int) -> DataFrame:
+    """Localisations of a group (frame, y_um, x_um) that repeat within a radius of their first one, and within `gap` frames
+    of the last one taken in, as one mean position each. First come, first served in order of frame (then y, x): the rule is
+    sequential, so a group, as one field of view, is one task."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame", "y_um", "x_um"], kind="stable")
+        f, y, x = (pdf[c].to_numpy() for c in ("frame", "y_um", "x_um"))
+        used, out = np.zeros(len(f), bool), []
+        for i in range(len(f)):
+            if used[i]:
+                continue
+            group = [i]
+            # a later one can only join while it is near the first one in time, or the last one taken in
+            for j in range(i + 1, len(f)):
+                if f[j] - f[group[-1]] > gap:
+                    break
+                if not used[j] and (x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2 <= radius**2:
+                    group.append(j)
+            used[group] = True
+            out.append((*key, int(f[i]), float(y[group].mean()), float(x[group].mean()), len(group)))
+        return pd.DataFrame(out, columns=[*keys, "frame", "y_um", "x_um", "n"])
+
+    schema = points.select(*keys).schema.add("frame", "long").add("y_um", "double").add("x_um", "double").add("n", "long")
+    return points.groupBy(*keys).applyInPandas(run, schema)
+
+
+def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Convex hull of each group's points: area, perimeter, compactness, number of corners; null for fewer than three."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = sorted({(float(a), float(b)) for a, b in zip(pdf["x_um"], pdf["y_um"], strict=True)})
+        if len(p) < 3:
+            return pd.DataFrame([(*key, None, None, None, None)], columns=[*keys, "area", "perimeter", "compactness", "corners"])
+        corner = []
+        for side in (p, p[::-1]):
+            chain: list[tuple[float, float]] = []
+            for q in side:
+                while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]):
+                    chain.pop()
+                chain.append(q)
+            corner += chain[:-1]
+        x, y = np.array(corner).T
+        area = abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+        length = np.hypot(np.diff(x, append=x[0]), np.diff(y, append=y[0])).sum()
+        return pd.DataFrame([(*key, area, length, 4 * np.pi * area / length**2 if length else None, len(x))], columns=[*keys, "area", "perimeter", "compactness", "corners"])
+
+    schema = points.select(*keys).schema.add("area", "double").add("perimeter", "double").add("compactness", "double").add("corners", "long")
+    return points.groupBy(*keys).applyInPandas(run, schema)
+
+
+def spanning_trees(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of each group's minimum spanning tree: number, total, mean and deviation of lengths. One row of distances at a
+    time is held, so memory grows with a group's points, time with their square."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x_um"].to_numpy(float), pdf["y_um"].to_numpy(float)
+        near, left, edges, at = np.full(len(x), np.inf), np.ones(len(x), bool), [], 0
+        for _ in range(len(x) - 1):
+            left[at] = False
+            near = np.minimum(near, np.hypot(x - x[at], y - y[at]))
+            at = int(np.argmin(np.where(left, near, np.inf)))
+            edges.append(near[at])
+        e = np.array(edges)
+        row = (*key, len(e), float(e.sum()), float(e.mean()) if len(e) else None, float(e.std()) if len(e) else None)
+        return pd.DataFrame([row], columns=[*keys, "edges", "total", "mean", "std"])
+
+    schema = points.select(*keys).schema.add("edges", "long").add("total", "double").add("mean", "double").add("std", "double")
+    return points.groupBy(*keys).applyInPandas(run, schema)

@@ -6,28 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .common import ratio, with_group
 from .graph import near_pairs
 
 KEY = ["img", "y", "x"]
 
 
-def _pairs(points: DataFrame) -> DataFrame:
-    """Ordered pairs of different points of one cell, with their distance."""
-    a, b = points.alias("a"), points.alias("b")
-    d = F.hypot(F.col("a.y_um") - F.col("b.y_um"), F.col("a.x_um") - F.col("b.x_um"))
-    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.cell").alias("cell"), F.col("a.id").alias("id"), F.col("b.id").alias("other"), d.alias("d"))
+def _nearest(points: DataFrame, k: int) -> DataFrame:
+    """(cell, id, other, d): at least the k nearest others of each point, or all where a cell has fewer.
+
+    Points look into a grid whose squares hold about k points of their cell, then those with too few others within a square's
+    side look again at twice the distance, until none is left: no pairs beyond that are formed. Each round is written."""
+    finite = (F.abs("y_um") < float("inf")) & (F.abs("x_um") < float("inf"))  # neither null nor nan
+    own = points.select("cell", "id", "y_um", "x_um").where(finite & F.col("cell").isNotNull() & F.col("id").isNotNull())
+    size = own.groupBy("cell").agg(F.countDistinct("id").alias("n"), ((F.max("y_um") - F.min("y_um")) * (F.max("x_um") - F.min("x_um"))).alias("area"), F.greatest(F.max("y_um") - F.min("y_um"), F.max("x_um") - F.min("x_um")).alias("span"))
+    # a cell on a line has no area: its span is shared out instead; points all in one place are at once near each other
+    unit = F.greatest(F.sqrt((k + 1) * F.col("area") / F.col("n")), (k + 1) * F.col("span") / F.col("n"))
+    side = cut(own.join(size.where("n > 1").withColumn("unit", F.when(unit > 0, unit).otherwise(1.0)).drop("area", "span"), "cell"), "nearest-points")
+    todo, found, reach = side, None, 1.0
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    while True:
+        square = lambda c: F.floor(F.col(c) / (F.col("unit") * reach))  # noqa: E731, B023
+        look = todo.withColumns({"gy": square("y_um"), "gx": square("x_um")}).withColumn("s", steps)
+        look = look.select("cell", "id", "n", "unit", F.col("y_um").alias("y"), F.col("x_um").alias("x"), (F.col("gy") + F.col("s.i")).alias("gy"), (F.col("gx") + F.col("s.j")).alias("gx"))
+        at = side.select("cell", F.col("id").alias("other"), "y_um", "x_um", square("y_um").alias("gy"), square("x_um").alias("gx"))
+        d = F.hypot(F.col("y") - F.col("y_um"), F.col("x") - F.col("x_um"))
+        near = look.join(at, ["cell", "gy", "gx"]).where("id <> other").select("cell", "id", "other", d.alias("d"), (F.col("unit") * reach).alias("reach")).where("d <= reach")
+        near = cut(near.select("cell", "id", "other", "d"), "nearest")
+        done = near.groupBy("cell", "id").agg(F.countDistinct("other").alias("have"))
+        held = todo.join(done, ["cell", "id"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
+        left = cut(held.where(F.col("have") < F.least(F.lit(k), F.col("n") - 1)).drop("have"), "nearest-left")
+        settled = near.join(left, ["cell", "id"], "left_anti")
+        found = settled if found is None else found.unionByName(settled)
+        if left.isEmpty():
+            return found
+        todo, reach = left, reach * 2
 
 
 def nearest_neighbours(points: DataFrame) -> DataFrame:
     """Mean, median, population deviation and coefficient of variation of nearest-neighbour distances of each cell."""
-    nn = _pairs(points).groupBy("cell", "id").agg(F.min("d").alias("d"))
+    nn = _nearest(points, 1).groupBy("cell", "id").agg(F.min("d").alias("d"))
     return nn.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), F.stddev_pop("d").alias("std"), ratio(F.stddev_pop("d"), F.avg("d")).alias("cv"))
 
 
 def k_nearest(points: DataFrame, k: int = 3) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("cell", "id").orderBy("d", "other"))
-    return _pairs(points).withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "id", "rank", "other", "d")
+    return _nearest(points, k).withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "id", "rank", "other", "d")
 
 
 def ripley_l(points: DataFrame, areas: DataFrame, radii: list[float]) -> DataFrame:
@@ -122,7 +147,7 @@ def shift_correlation(px: DataFrame, a: str, b: str, most: int) -> DataFrame:
 
 def linking_conditions(detections: DataFrame, sigma: float) -> DataFrame:
     """Motion over the median of the frames' median nearest-neighbour spacing: how safely frames can be linked."""
-    p = _pairs(detections.select(F.col("frame").alias("cell"), F.col("track_id").alias("id"), "y_um", "x_um"))
+    p = _nearest(detections.select(F.col("frame").alias("cell"), F.col("track_id").alias("id"), "y_um", "x_um"), 1)
     per = p.groupBy("cell", "id").agg(F.min("d").alias("d")).groupBy("cell").agg(F.median("d").alias("m"))
     r = per.agg(F.median("m").alias("spacing")).withColumn("r", ratio(F.lit(sigma), F.col("spacing")))
     return r.withColumn("level", F.when(F.col("r") < 0.3, "ok").when(F.col("r") < 0.6, "ambiguous").otherwise("unsafe"))

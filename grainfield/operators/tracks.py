@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ratio, with_group
+from .graph import near_pairs
 
 
 def trajectory_metrics(tracks: DataFrame) -> DataFrame:
@@ -95,9 +96,8 @@ def kaplan_meier(tracks: DataFrame, total_frames: int) -> DataFrame:
 
 def neighbour_persistence(tracks: DataFrame, k: int = 5, radius: float = 3.0) -> DataFrame:
     """Jaccard similarity of each detection's k nearest neighbours with those of its track's previous frame."""
-    a, b = tracks.alias("a"), tracks.alias("b")
-    d = F.hypot(F.col("a.y_um") - F.col("b.y_um"), F.col("a.x_um") - F.col("b.x_um"))
-    pairs = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.track_id") != F.col("b.track_id"))).select(F.col("a.frame").alias("frame"), F.col("a.track_id").alias("track_id"), F.col("b.track_id").alias("other"), d.alias("d")).where(F.col("d") <= radius)
+    near = near_pairs(tracks, radius, "frame", "track_id")
+    pairs = near.select("frame", F.col("a").alias("track_id"), F.col("b").alias("other"), "d").unionByName(near.select("frame", F.col("b").alias("track_id"), F.col("a").alias("other"), "d"))
     rank = F.row_number().over(W.partitionBy("frame", "track_id").orderBy("d", "other"))
     near = pairs.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("frame", "track_id").agg(F.collect_list("other").alias("near"))
     all_ = tracks.select("frame", "track_id").join(near, ["frame", "track_id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))

@@ -423,9 +423,10 @@ bd AS (SELECT p.a, min(cl.c) c FROM p JOIN cl ON p.b = cl.a WHERE p.a NOT IN (SE
 )(lambda r: graph.density_clusters(r.points, 5.0, 3))
 query(
     "img_label_mask",
-    """WITH RECURSIVE m AS (SELECT * FROM mask_few WHERE y < 12), reach(img, y, x, r) AS (SELECT img, y, x, y * 32 + x FROM m UNION SELECT n.img, n.y, n.x, r.r FROM reach r JOIN m n ON r.img = n.img AND abs(r.y - n.y) <= 1 AND abs(r.x - n.x) <= 1),
-c AS (SELECT img, y, x, min(r) r FROM reach GROUP BY 1, 2, 3) SELECT img, y, x, CAST(dense_rank() OVER (PARTITION BY img ORDER BY r) AS INT) AS label FROM c""",
-)(lambda r: graph.label_mask(r.mask("v1", 1.4).where("y < 12"), SIDE))
+    """WITH RECURSIVE m AS (SELECT img, y * 32 + x AS p FROM mask_few), e AS (SELECT a.img, a.p, b.p AS q FROM m a JOIN m b ON a.img = b.img AND abs(a.p // 32 - b.p // 32) <= 1 AND abs(a.p % 32 - b.p % 32) <= 1),
+reach(img, p, r) AS (SELECT img, p, p FROM m UNION SELECT e.img, e.q, r.r FROM reach r JOIN e ON r.img = e.img AND r.p = e.p AND e.q > r.r), c AS (SELECT img, p, min(r) r FROM reach GROUP BY 1, 2)
+SELECT img, CAST(p // 32 AS INT) y, CAST(p % 32 AS INT) x, CAST(dense_rank() OVER (PARTITION BY img ORDER BY r) AS INT) AS label FROM c""",
+)(lambda r: graph.label_mask(r.mask("v1", 1.4), SIDE))
 query(
     "img_radial_profile",
     """WITH g AS (SELECT i.img, CAST(k.range AS INT) k FROM (SELECT DISTINCT img FROM pixels) i, range(12) k), h AS (SELECT img, CAST(floor(sqrt(pow(y - 15.5, 2) + pow(x - 15.5, 2)) / 2) AS INT) k, avg(v1) m, stddev_pop(v1) s, count(*) n FROM pixels WHERE sqrt(pow(y - 15.5, 2) + pow(x - 15.5, 2)) < 24 GROUP BY 1, 2)
@@ -507,12 +508,9 @@ query(
 
 # ---- kernels on planes, tracks and series, and what SQL cannot hold in time: no SQL
 
-#: img_label_mask and its SQL take the first 12 rows of an image; this is the whole mask.
-query("img_label_whole_mask")(lambda r: graph.label_mask(r.mask("v1", 1.4), SIDE))
-
 
 def _detections(r: Relations) -> DataFrame:
-    return r.tracks.select(F.lit("field").alias("img"), "frame", F.col("track_id").alias("object_id"), "y_um", "x_um", "area_um2")
+    return r.tracks.select(F.col("event_type").alias("img"), "frame", F.col("track_id").alias("object_id"), "y_um", "x_um", "area_um2")
 
 
 for _name in planes.FILTERS:
@@ -627,3 +625,6 @@ query(
     """WITH c AS (SELECT series_id, t, 40 - abs(t - 300) / 10.0 temp, v FROM series), k AS (SELECT series_id, arg_max(t, temp * 100000 - t) s, min(v) lo, max(v) hi FROM c GROUP BY 1), o AS (SELECT c.*, s FROM c JOIN k ON c.series_id = k.series_id WHERE v >= lo + 0.5 * (hi - lo)),
 r AS (SELECT series_id, arg_min(temp, CASE WHEN t <= s THEN t END) h, arg_max(temp, CASE WHEN t > s THEN t END) c FROM o GROUP BY 1) SELECT series_id, R(h) heating, R(c) cooling, R(h - c) hysteresis FROM r""",
 )(lambda r: tracks.transitions(r.series.withColumn("temperature", 40 - F.abs(F.col("t") - 300) / 10.0), 0.5))
+
+
+from . import measures  # noqa: E402, F401  registers its queries
