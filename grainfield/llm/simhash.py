@@ -103,9 +103,15 @@ def links(fps: DataFrame, most: int = 2, hot: int = HOT) -> DataFrame:
     if not 0 <= most <= 2:
         raise ValueError("two segments with one wild bit cover at most 2 differing bits")
     keyed = fps.select("fp", _variants().alias("key"))
-    sized = cut(keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where(F.col("n") > 1), "shared-variants")
+    # of a variant's fingerprints each task passes on hot + 1 at most, which tells that it is hot, so none fills a task
+    rank = F.row_number().over(W.partitionBy("key").orderBy("fp"))
+    some = keyed.withColumn("rank", rank).where(F.col("rank") <= hot + 1)
+    sized = cut(some.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where(F.col("n") > 1).select("key", "fp", "n"), "shared-variants")
     few = _pairs(sized.where(F.col("n") <= hot), most)
-    dense = sized.where(F.col("n") > hot).select("fp").distinct()
+    over = sized.where(F.col("n") > hot).select("key").distinct()
+    if over.isEmpty():
+        return few.distinct()
+    dense = cut(keyed.join(over, "key", "left_semi").select("fp").distinct(), "dense")
     return few.unionByName(_pairs(dense.select("fp", _midpoints().alias("key")), most)).distinct()
 
 
