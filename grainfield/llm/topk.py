@@ -9,7 +9,9 @@ A task's own kth bin is a lower bound of the global one, so bins below it are no
 leave a task, and nothing is lost. Queries that exceed a block are handled block after block.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null id or another length than
-most take no part; rows of the query's own id are not its candidates; repeated rows are candidates of their own.
+most take no part; ids name rows: of rows with one id the least vector asks, and rows of the query's own id are not its
+candidates; for other queries repeated rows are candidates of their own; an empty table gives no rows. Scores must stay
+below 2^63, as products are added in 64 bits where doubles would round.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scores(q: np.ndarray, c: np.ndarray, exact: float) -> np.ndarray:
-    """Integer inner products: float32 or float64 where every sum is exact, else Python integers by way of objects."""
+    """Integer inner products: float32 or float64 where every sum is exact, else 64-bit integers."""
     if exact < 2**24:
         return (q.astype(np.float32) @ c.T.astype(np.float32)).astype(np.int64)
     if exact < 2**53:
@@ -140,7 +142,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector:
     dim = lengths.d
     all_rows = all_rows.where(F.size("v") == dim)
     norm = all_rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0.0
-    queries = all_rows.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
+    queries = all_rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-queries.count() // block))
     kept = None
     for b in range(n_blocks):
@@ -150,6 +152,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector:
         ids = np.asarray(mine["vec_id"], dtype=np.int64)
         q = np.asarray(mine["v"].combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), dim)
         part = _block_top_k(all_rows, ids, q, k, dim, float(norm))
+        if n_blocks > 1:  # a block's result is written, so that the plan does not grow with the queries
+            part = cut(part, "top-k")
         kept = part if kept is None else kept.unionByName(part)
     if kept is None:
         return empty
