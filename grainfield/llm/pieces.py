@@ -37,7 +37,7 @@ from .shared import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-_MOST_WORDS = 300_000
+_MOST_WORDS = 450_000
 _MOST_PAIRS = 300_000
 
 
