@@ -1,23 +1,24 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training takes the character n-grams of all words of every language. All languages share one bit-sliced Bloom filter: a
-slot holds one bit for each language, an n-gram sets its language's bit in its slots, and the AND of an n-gram's slots is
-the set of all languages that contain it - every one of them, and now and then one more. No n-gram is left out; memory is
-bounded by the number of slots, and what a full filter errs more is measured and taken off. A text's score for a language is
-the popcount of its n-grams with that bit, corrected for the filter's false-positive rate in that language; the highest
-decides.
+Training counts the character n-grams of all words of every language. A language contains an n-gram that makes up at least
+a fixed part of its n-grams of that length; rarer ones are what stray words and wrong labels leave in every language, and
+there are at most 1 / LEAST_RATE others. All languages share one bit-sliced Bloom filter: a slot holds one bit for each
+language, an n-gram sets the bits of all languages that contain it in its slots, and the AND of its slots is the set of all
+these languages - every one of them, and now and then one more. A text's score for a language is the popcount of its n-grams
+with that bit, corrected for the filter's false-positive rate in that language; the highest decides.
 
-Distinct (language, n-gram) pairs are found and turned into bits on the executors; the driver receives one row for each slot
-that has a bit, at most MOST_SLOTS of them.
+Pairs of language and n-gram are turned into bits on the executors; the driver receives one row for each slot that has a
+bit, at most MOST_SLOTS of them.
 
 Defined results: null texts, texts without a letter, and a model without any language give `und` and score 0; rows with a
-null language are not learned from; ties go to the first language by name; repeated rows change nothing, as filters hold
-sets; a long text is read whole, word by word; an empty table gives an empty model, or no rows.
+null language are not learned from; ties go to the first language by name; repeated rows count as often as they occur; a
+long text is read whole, word by word; an empty table gives an empty model, or no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 
 from .shared import cut, slices
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 4)
+LEAST_RATE = 1e-4
 HASHES = 3
 SLOTS_PER_GRAM = 16
 MOST_SLOTS = 1 << 22
@@ -52,37 +54,31 @@ def grams(word: str, orders=ORDERS) -> list[str]:
     return out + [padded[k : k + n] for n in orders if n > 1 for k in range(len(padded) - n + 1)]
 
 
-def _pairs(orders):
-    """Per task: distinct (lang, gram), each distinct word taken apart once; forgotten, and perhaps repeated, when many."""
+def _count(orders):
+    """Per task: (lang, gram, n). Words are counted first, so each distinct word is taken apart once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, set[str]] = {}
-        found: dict[str, set[str]] = {}
-        new: dict[str, set[str]] = {}
+        seen: dict[str, Counter] = {}
+        total: dict[str, Counter] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, c in new.items():
-                if c:
-                    yield pa.record_batch({"lang": pa.array([lang] * len(c), pa.string()), "gram": pa.array(list(c), pa.string())})
-            new.clear()
+        def flush(everything: bool) -> Iterator[pa.RecordBatch]:
+            for lang, c in seen.items():
+                into = total.setdefault(lang, Counter())
+                for w, n in c.items():
+                    for g in grams(w, orders):
+                        into[g] += n
+            seen.clear()
+            if everything or sum(map(len, total.values())) > _MOST:
+                for lang, c in total.items():
+                    yield pa.record_batch({"lang": pa.array([lang] * len(c), pa.string()), "gram": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+                total.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                known, have = seen.setdefault(lang, set()), found.setdefault(lang, set())
-                fresh = set(words(text)) - known
-                known |= fresh
-                out = new.setdefault(lang, set())
-                for w in fresh:
-                    for g in grams(w, orders):
-                        if g not in have:
-                            have.add(g)
-                            out.add(g)
-                if len(known) > _MOST:
-                    known.clear()
-                if sum(map(len, found.values())) > _MOST:
-                    yield from flush()
-                    found.clear()
-        yield from flush()
+                seen.setdefault(lang, Counter()).update(words(text))
+                if sum(map(len, seen.values())) > _MOST:
+                    yield from flush(False)
+        yield from flush(True)
 
     return run
 
@@ -115,8 +111,10 @@ class Filters:
 
     def mask(self, gram: str) -> int:
         """The languages that contain the n-gram, as bits."""
-        found = np.bitwise_and.reduce(self.slots[_hashes(gram, len(self.slots))], axis=0)
-        return sum(int(x) << (64 * k) for k, x in enumerate(found))
+        a, b, c = (self.slots[k] for k in _hashes(gram, len(self.slots)))
+        if len(a) == 1:
+            return int(a[0] & b[0] & c[0])
+        return sum(int(x) << (64 * k) for k, x in enumerate(a & b & c))
 
     def voter(self) -> Voter:
         """One for all tasks of a worker, which keep a broadcast value."""
@@ -147,10 +145,14 @@ def _slots_of(gram: Column, n: int) -> Column:
     return F.array(*((a + k * b).bitwiseAND(F.lit(n - 1)).cast("int") for k in range(HASHES)))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", orders=ORDERS) -> Filters:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", orders=ORDERS, least_rate: float = LEAST_RATE) -> Filters:
     """Filters from all rows with a text and a language. The driver receives the names of languages and a row for each slot."""
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    pairs = cut(known.mapInArrow(_pairs(orders), "lang string, gram string").distinct(), "grams")
+    counts = known.mapInArrow(_count(orders), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "gram-counts")
+    sizes = counts.groupBy("lang", F.length("gram").alias("k")).agg(F.sum("n").alias("total"))  # languages x orders
+    often = counts.withColumn("k", F.length("gram")).join(sizes, ["lang", "k"]).where(F.col("n") >= least_rate * F.col("total"))
+    pairs = cut(often.select("lang", "gram"), "grams")
     langs = [r.lang for r in pairs.select("lang").distinct().orderBy("lang").collect()]
     n = _size(pairs.select(F.approx_count_distinct("gram")).first()[0])
     slots = np.zeros((n, max(1, -(-len(langs) // 64))), np.uint64)
@@ -167,11 +169,14 @@ class Voter:
     """Votes of words and n-grams seen before, as lanes of one integer: n-grams, then hits of each language."""
 
     def __init__(self, filters: Filters):
-        self.filters, self.words, self.grams = filters, {}, {}
+        self.filters, self.words, self.grams, self.lanes = filters, {}, {}, {}
 
     def _gram(self, gram: str) -> int:
         bits = self.filters.mask(gram)
-        return 1 + sum(1 << (_LANE * (k + 1)) for k in range(len(self.filters.langs)) if bits >> k & 1)
+        lanes = self.lanes.get(bits)
+        if lanes is None:
+            lanes = self.lanes[bits] = 1 + sum(1 << (_LANE * (k + 1)) for k in range(len(self.filters.langs)) if bits >> k & 1)
+        return lanes
 
     def _word(self, word: str) -> int:
         known, total = self.grams, 0
