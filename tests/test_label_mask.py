@@ -34,5 +34,5 @@ def test_whole_mask_is_labelled(spark):
         images.setdefault(r.img, []).append((r.y, r.x))
     want = {(img, *at, n) for img, px in images.items() for at, n in filled(px).items()}
     assert max(y for _, y, _, _ in want) == SIDE - 1
-    found = {(r.img, r.y, r.x, r.label) for r in catalog.queries()["img_label_whole_mask"](spark, SF).collect()}
+    found = {(r.img, r.y, r.x, r.label) for r in catalog.queries()["img_label_mask"](spark, SF).collect()}
     assert found == want
