@@ -15,4 +15,4 @@ def test_optimal_linking_takes_all_events(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert linked.count() == events.count()
     assert linked.select("object_id").distinct().count() == events.select("user_id").distinct().count()
-    assert linked.select("frame", "track_id").distinct().count() == linked.count()
+    assert linked.select("img", "frame", "track_id").distinct().count() == linked.count()
