@@ -195,7 +195,12 @@ query(
 SELECT s.img, s.t, y, x, R(v * f) v FROM stack s JOIN w ON s.img = w.img AND s.t = w.t""",
 )(lambda r: pixel.detrend_frames(r.stack, 4))
 query("stack_projection", "SELECT img, y, x, R(max(v)) v FROM stack GROUP BY 1, 2, 3")(lambda r: pixel.projection(r.stack))
-query("stack_stats")(lambda r: pixel.stream_stats(r.stack, ["img"]))
+query(
+    "stack_stats",
+    """WITH b AS (SELECT img, min(v) lo, max(v) hi, avg(v) m, stddev_pop(v) s, count(*) n FROM stack GROUP BY img), h AS (SELECT s.img, least(511, floor((v - lo) / ((hi - lo) / 512))) b, count(*) c FROM stack s JOIN b ON s.img = b.img GROUP BY 1, 2),
+u AS (SELECT img, b, sum(c) OVER (PARTITION BY img ORDER BY b) u FROM h)
+SELECT b.img, R(lo) lo, R(hi) hi, R(m) mean, R(s) std, n, R(min(CASE WHEN u >= n * 1 / 100.0 THEN lo + (b + 1) * ((hi - lo) / 512) END)) p1, R(min(CASE WHEN u >= n * 99 / 100.0 THEN lo + (b + 1) * ((hi - lo) / 512) END)) p99 FROM b JOIN u ON b.img = u.img GROUP BY b.img, lo, hi, m, s, n""",
+)(lambda r: pixel.stream_stats(r.stack, ["img"]))
 query(
     "stack_focus",
     """WITH f AS (SELECT a.img, a.t, avg((b.v - a.v) * (b.v - a.v)) f FROM stack a JOIN stack b ON a.img = b.img AND a.t = b.t AND a.y = b.y AND b.x = a.x + 2 GROUP BY 1, 2), m AS (SELECT img, median(f) m, max(f) top FROM f GROUP BY img)
@@ -359,7 +364,14 @@ query(
 s AS (SELECT t, k, d, CASE WHEN sum(CASE WHEN d = k THEN 1 ELSE 0 END) OVER (ORDER BY t) > 0 THEN 0 ELSE exp(sum(CASE WHEN d < k THEN ln(1 - d / CAST(k AS DOUBLE)) END) OVER (ORDER BY t)) END s FROM r WHERE d > 0)
 SELECT CAST(t AS INT) t, CAST(k AS BIGINT) at_risk, CAST(d AS BIGINT) d, R(s) s FROM s UNION ALL SELECT 0, count(*), 0, 1.0 FROM l""",
 )(lambda r: tracks.kaplan_meier(r.tracks.withColumn("frame", (F.col("frame") + F.col("track_id") % 3).cast("int")), 70))
-query("trk_neighbour_persistence")(lambda r: tracks.neighbour_persistence(r.tracks, 3, 60.0))
+query(
+    "trk_neighbour_persistence",
+    """WITH p AS (SELECT a.frame, a.track_id, b.track_id o, row_number() OVER (PARTITION BY a.frame, a.track_id ORDER BY sqrt((a.y_um - b.y_um) * (a.y_um - b.y_um) + (a.x_um - b.x_um) * (a.x_um - b.x_um)), b.track_id) k
+FROM tracks a JOIN tracks b ON a.frame = b.frame AND a.track_id <> b.track_id AND sqrt((a.y_um - b.y_um) * (a.y_um - b.y_um) + (a.x_um - b.x_um) * (a.x_um - b.x_um)) <= 60),
+n AS (SELECT t.track_id, t.frame, list(o) FILTER (WHERE k <= 3) l FROM tracks t LEFT JOIN p ON p.frame = t.frame AND p.track_id = t.track_id GROUP BY 1, 2),
+w AS (SELECT track_id, frame, coalesce(l, []) l, lag(coalesce(l, [])) OVER (PARTITION BY track_id ORDER BY frame) b FROM n)
+SELECT track_id, frame, R(len(list_intersect(l, b)) / nullif(CAST(len(list_distinct(list_concat(l, b))) AS DOUBLE), 0)) jaccard FROM w WHERE b IS NOT NULL""",
+)(lambda r: tracks.neighbour_persistence(r.tracks, 3, 60.0))
 query("trk_records")(lambda r: tracks.records(r.tracks))
 query("trk_object_growth", "SELECT track_id, R(regr_slope(area_um2, frame)) growth, count(*) n FROM tracks GROUP BY 1")(lambda r: tracks.records(r.tracks).select("track_id", "growth", F.size("frames").cast("long").alias("n")))
 query(
@@ -513,8 +525,40 @@ def _detections(r: Relations) -> DataFrame:
     return r.tracks.select(F.col("event_type").alias("img"), "frame", F.col("track_id").alias("object_id"), "y_um", "x_um", "area_um2")
 
 
+#: A full grid, and sums along both axes with mirrored borders: what the separable kernels compute.
+_GRID = f"grid AS (SELECT i.img, CAST(a.y AS INT) y, CAST(b.x AS INT) x, coalesce(p.v1, 0) v FROM (SELECT DISTINCT img FROM pixels) i, range({SIDE}) a(y), range({SIDE}) b(x) LEFT JOIN pixels p ON p.img = i.img AND p.y = a.y AND p.x = b.x)"
+
+
+def _mirror(c: str) -> str:
+    return f"(CASE WHEN {c} < 0 THEN -1 - ({c}) WHEN {c} >= {SIDE} THEN {2 * SIDE - 1} - ({c}) ELSE {c} END)"
+
+
+def _along(name: str, of: str, kernel: str, axis: str) -> str:
+    other = "x" if axis == "y" else "y"
+    return f"{name} AS (SELECT g.img, g.y, g.x, sum(w * n.v) v FROM {of} g, {kernel} k, {of} n WHERE n.img = g.img AND n.{other} = g.{other} AND n.{axis} = {_mirror(f'g.{axis} + k.i')} GROUP BY 1, 2, 3)"
+
+
+def _bell(name: str, sigma: float) -> str:
+    r = max(1, int(4 * sigma + 0.5))
+    return f"{name} AS (SELECT i, exp(-0.5 * i * i / {sigma * sigma}) / sum(exp(-0.5 * i * i / {sigma * sigma})) OVER () w FROM range({-r}, {r + 1}) t(i))"
+
+
+def _smooth(name: str, of: str, kernel: str) -> str:
+    return f"{_along(name + 'y', of, kernel, 'y')}, {_along(name, name + 'y', kernel, 'x')}"
+
+
+_BOX = f"box AS (SELECT i, 1 / 9.0 w FROM range(-4, 5) t(i)), square AS (SELECT img, y, x, v * v v FROM grid), {_smooth('m', 'grid', 'box')}, {_smooth('q', 'square', 'box')}, st AS (SELECT m.img, m.y, m.x, m.v m, sqrt(greatest(q.v - m.v * m.v, 0)) s FROM m JOIN q ON m.img = q.img AND m.y = q.y AND m.x = q.x)"
+_PLANES = {
+    "gaussian": f"WITH {_GRID}, {_bell('k', 1.0)}, {_smooth('s', 'grid', 'k')} SELECT img, y, x, R(v) v FROM s",
+    "dog": f"WITH {_GRID}, {_bell('k', 1.0)}, {_bell('l', 2.0)}, {_smooth('s', 'grid', 'k')}, {_smooth('t', 'grid', 'l')} SELECT s.img, s.y, s.x, R(s.v - t.v) v FROM s JOIN t ON s.img = t.img AND s.y = t.y AND s.x = t.x",
+    "log": f"""WITH {_GRID}, {_bell('k', 1.5)}, d AS (SELECT i, w * (i * i / 5.0625 - 1 / 2.25) - avg(w * (i * i / 5.0625 - 1 / 2.25)) OVER () w FROM k),
+{_along('a1', 'grid', 'd', 'y')}, {_along('a2', 'a1', 'k', 'x')}, {_along('b1', 'grid', 'k', 'y')}, {_along('b2', 'b1', 'd', 'x')} SELECT a2.img, a2.y, a2.x, R(a2.v + b2.v) v FROM a2 JOIN b2 ON a2.img = b2.img AND a2.y = b2.y AND a2.x = b2.x""",
+    "median": f"WITH {_GRID} SELECT g.img, g.y, g.x, R(median(n.v)) v FROM grid g, range(-1, 2) a(i), range(-1, 2) b(j), grid n WHERE n.img = g.img AND n.y = {_mirror('g.y + i')} AND n.x = {_mirror('g.x + j')} GROUP BY 1, 2, 3",
+    "niblack": f"WITH {_GRID}, {_BOX} SELECT g.img, g.y, g.x, R(CASE WHEN v > m + 0.5 * s THEN 1 ELSE 0 END) v FROM grid g JOIN st ON g.img = st.img AND g.y = st.y AND g.x = st.x",
+    "sauvola": f"WITH {_GRID}, {_BOX}, r AS (SELECT img, (max(v) - min(v)) / 2 r FROM grid GROUP BY img) SELECT g.img, g.y, g.x, R(CASE WHEN v > m * (1 + 0.2 * (s / r - 1)) THEN 1 ELSE 0 END) v FROM grid g JOIN st ON g.img = st.img AND g.y = st.y AND g.x = st.x JOIN r ON r.img = g.img",
+}
 for _name in planes.FILTERS:
-    query(f"plane_{_name}")(lambda r, name=_name: planes.filtered(r.channel("v1"), name))
+    query(f"plane_{_name}", _PLANES.get(_name))(lambda r, name=_name: planes.filtered(r.channel("v1"), name))
 query("plane_thresholds")(lambda r: planes.thresholds(r.channel("v1")))
 query("plane_segment")(lambda r: planes.segmented(planes.filtered(r.channel("v1"), "gaussian", sigma=1.5)))
 query("plane_blobs")(lambda r: planes.blobs(r.channel("v1")))
