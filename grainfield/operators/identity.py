@@ -38,8 +38,11 @@ def stem(path: Column) -> Column:
 
 
 def attach_samples(images: DataFrame, sheet: DataFrame, fields: list[str]) -> DataFrame:
-    """Condition fields by image stem, sheet before in-app before file name, field by field; blank cells are absent."""
-    clean = sheet.select(stem(F.col("stem")).alias("stem"), *(F.nullif(F.trim(F.col(f)), F.lit("")).alias(f"sheet_{f}") for f in fields)).dropDuplicates(["stem"])
+    """Condition fields by image stem, sheet before in-app before file name, field by field; blank cells are absent. Of several
+    sheet rows of one stem, the first in the order of its values counts."""
+    clean = sheet.select(stem(F.col("stem")).alias("stem"), *(F.nullif(F.trim(F.col(f)), F.lit("")).alias(f"sheet_{f}") for f in fields))
+    # of several rows of a stem the least values win, whatever order the sheet is read in
+    clean = clean.groupBy("stem").agg(F.min(F.struct(*clean.columns[1:])).alias("s")).select("stem", "s.*")
     out = images.join(clean, "stem", "left")
     return out.select(*[c for c in images.columns if not c.startswith(("app_", "name_"))], *(F.coalesce(f"sheet_{f}", f"app_{f}", f"name_{f}").alias(f) for f in fields))
 

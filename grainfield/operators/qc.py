@@ -88,7 +88,7 @@ def meaningful(value: Column, zero_is_impossible: bool = False) -> Column:
     # fixed values: texts that stand for nothing
     placeholders = ["", "none", "null", "nan", "n/a", "na", "unknown", "inf", "-inf", "infinity", "-infinity"]
     out = value.isNotNull() & ~text.isin(*placeholders)
-    return out & (F.coalesce(F.expr("1.0D"), F.lit(1.0)) == 1.0) & (~(text.rlike("^-?0+(\\.0*)?$")) if zero_is_impossible else F.lit(True))
+    return out & ~text.rlike("^-?0+(\\.0*)?$") if zero_is_impossible else out
 
 
 def pixel_size(df: DataFrame, stored: str, confirmed: str) -> DataFrame:
@@ -103,17 +103,25 @@ def worst(*signals: str) -> Column:
     return F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("block")), rank + 1)
 
 
+def grade(score: Column, lacking: Column) -> Column:
+    """Grade of a product of factors; what lacks a core factor is no better than moderate, and no score at all is unreliable."""
+    # fixed values: the least scores of the grades
+    known = F.when(score >= 0.85, F.when(lacking, "moderate").otherwise("high")).when(score >= 0.6, "moderate").when(score >= 0.3, "low")
+    return F.coalesce(known, F.lit("unreliable"))
+
+
 def reliability(df: DataFrame, factors: list[str], core: list[str], hard: str) -> DataFrame:
-    """Product of the available factors; a missing core factor caps the grade at moderate, a hard failure makes it unreliable."""
-    score = F.lit(1.0)
+    """Product of the available factors, null if there is none; a missing core factor caps the grade at moderate, a hard
+    failure makes it unreliable."""
+    score, lacking = F.lit(1.0), F.lit(False)
     for f in factors:
         score = score * F.coalesce(F.col(f), F.lit(1.0))
-    out = df.withColumn("score", F.when(F.col(hard), 0.0).otherwise(score))
-    lacking = F.lit(False)
     for f in core:
         lacking = lacking | F.col(f).isNull()
-    grade = F.when(F.col(hard), "unreliable").when(F.col("score") >= 0.8, F.when(lacking, "moderate").otherwise("high")).when(F.col("score") >= 0.5, "moderate").otherwise("low")
-    return out.withColumn("grade", grade).withColumn("missing", F.concat_ws(",", *(F.when(F.col(f).isNull(), F.lit(f)) for f in factors)))
+    any_ = F.coalesce(*(F.col(f) for f in factors)).isNotNull()
+    out = df.withColumn("score", F.when(F.col(hard), 0.0).when(any_, score))
+    out = out.withColumn("grade", F.when(F.col(hard), "unreliable").otherwise(grade(F.col("score"), lacking)))
+    return out.withColumn("missing", F.concat_ws(",", *(F.when(F.col(f).isNull(), F.lit(f)) for f in factors)))
 
 
 def edge_width(px: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import objects
+from . import objects, qc
 
 CORE = ["object_type", "object_id", "measurement", "value", "units"]
 PROVENANCE = ["operation", "software_version"]
@@ -92,7 +92,7 @@ def long_table(
             score = score * (1.0 if v is None else v)
         score = score * F.when(F.col("qc_flags") != "", 0.5).otherwise(1.0)
         missing = [name for name, v in factors.items() if v is None]
-        g = F.when(score >= 0.8, "moderate" if missing else "high").when(score >= 0.5, "moderate").otherwise("low")
+        g = qc.grade(score, F.lit(bool(missing)))
         why = F.concat_ws("; ", F.when(F.col("qc_flags") != "", "object flagged"), *(F.lit(f"{m} not assessed") for m in missing))
         grade, reasons = F.when(F.col("measurement").isin(*scored), g).otherwise(""), F.when(F.col("measurement").isin(*scored), why).otherwise("")
     return out.withColumns({"reliability": grade, "reliability_reasons": reasons}).select(*long_columns(conditions, list(provenance)))

@@ -489,8 +489,8 @@ query("qc_pixel_size", "SELECT p_partkey, R(CASE WHEN p_size > 0 AND (p_size <>
 query("qc_meaningful", "SELECT event_id, lower(trim(event_type)) NOT IN ('', 'none', 'null', 'nan', 'n/a', 'na', 'unknown') AND event_type IS NOT NULL AS ok FROM events")(lambda r: r.table("events").select("event_id", qc.meaningful(F.col("event_type")).alias("ok")))
 query(
     "qc_reliability",
-    """WITH f AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size / 50.0 END a, CASE WHEN p_size % 5 <> 0 THEN 0.9 END b, p_size % 11 = 0 h FROM part), s AS (SELECT *, CASE WHEN h THEN 0 ELSE coalesce(a, 1) * coalesce(b, 1) END s FROM f)
-SELECT p_partkey, R(s) score, CASE WHEN h THEN 'unreliable' WHEN s >= 0.8 THEN CASE WHEN a IS NULL THEN 'moderate' ELSE 'high' END WHEN s >= 0.5 THEN 'moderate' ELSE 'low' END grade, concat_ws(',', CASE WHEN a IS NULL THEN 'a' END, CASE WHEN b IS NULL THEN 'b' END) missing FROM s""",
+    """WITH f AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size / 50.0 END a, CASE WHEN p_size % 5 <> 0 THEN 0.9 END b, p_size % 11 = 0 h FROM part), s AS (SELECT *, CASE WHEN h THEN 0 WHEN a IS NULL AND b IS NULL THEN NULL ELSE coalesce(a, 1) * coalesce(b, 1) END s FROM f)
+SELECT p_partkey, R(s) score, CASE WHEN h THEN 'unreliable' WHEN s >= 0.85 THEN CASE WHEN a IS NULL THEN 'moderate' ELSE 'high' END WHEN s >= 0.6 THEN 'moderate' WHEN s >= 0.3 THEN 'low' ELSE 'unreliable' END grade, concat_ws(',', CASE WHEN a IS NULL THEN 'a' END, CASE WHEN b IS NULL THEN 'b' END) missing FROM s""",
 )(
     lambda r: qc.reliability(
         r.table("part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 50).alias("a"), F.when(F.col("p_size") % 5 != 0, F.lit(0.9)).alias("b"), (F.col("p_size") % 11 == 0).alias("h")), ["a", "b"], ["a"], "h"

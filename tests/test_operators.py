@@ -11,9 +11,9 @@ from grainfield.streaming import live
 
 
 def test_outlier_flags(spark):
-    mixed = spark.createDataFrame([(float(x),) for x in [10, 11, 12, 10, 11, 12, 10, 250, 3]], "area double")
-    assert [r.area for r in objects.outliers(mixed, "area", []).where("outlier").collect()] == [250.0, 3.0]
-    clean = spark.createDataFrame([(float(x),) for x in [10, 11, 12, 10, 11, 12, 9, 13, 10, 11]], "area double")
+    mixed = spark.createDataFrame([(float(x),) for x in [40, 44, 47, 41, 43, 46, 42, 45, 900, 5]], "area double")
+    assert [r.area for r in objects.outliers(mixed, "area", []).where("outlier").collect()] == [900.0, 5.0]
+    clean = spark.createDataFrame([(float(x),) for x in [40, 44, 47, 41, 43, 46, 42, 45, 48, 39]], "area double")
     assert objects.outliers(clean, "area", []).where("outlier").count() == 0
     few = spark.createDataFrame([(1.0,), (float("nan"),), (99.0,)], "area double")
     assert objects.outliers(few, "area", []).count() == 3 and objects.outliers(few, "area", []).where("outlier").count() == 0
@@ -145,3 +145,8 @@ def test_replay_and_goals(spark):
     with pytest.raises(ValueError):
         replay.register("segment", ("pixels",), "labels")(None)
     assert replay.operations(spark).count() == len(replay.REGISTRY)
+    _, results = replay.replay([{"op": "clip_low", "params": {"depth": 1}}, {"op": "gaussian", "params": {"sigm": 2}}, {"op": "gaussian", "params": {"sigma": 2}}], {"pixels": px})
+    assert [r.status for r in results] == ["error", "error", "skipped"] and all(isinstance(r.error, ValueError) for r in results[:2])
+    labels = spark.createDataFrame([("a", 0, 0, 5), ("a", 0, 1, 5), ("a", 4, 4, 9)], "img string, y int, x int, label int")
+    have, results = replay.replay([{"op": "remove_small", "params": {"least": 2}}, {"op": "renumber"}, {"op": "cell_summary"}], {"labels": labels, "cells": labels})
+    assert [r.status for r in results] == ["ok"] * 3 and have["cell_summary"].collect()[0].n in (0, 1) and {r.label for r in have["labels"].collect()} == {1}
