@@ -145,8 +145,9 @@ def test_replay_and_goals(spark):
     with pytest.raises(ValueError):
         replay.register("segment", ("pixels",), "labels")(None)
     assert replay.operations(spark).count() == len(replay.REGISTRY)
-    _, results = replay.replay([{"op": "clip_low", "params": {"depth": 1}}, {"op": "gaussian", "params": {"sigm": 2}}, {"op": "gaussian", "params": {"sigma": 2}}], {"pixels": px})
-    assert [r.status for r in results] == ["error", "error", "skipped"] and all(isinstance(r.error, ValueError) for r in results[:2])
+    for wrong in ({"op": "clip_low", "params": {"depth": 1}}, {"op": "gaussian", "params": {"sigm": 2}}):
+        _, results = replay.replay([wrong, {"op": "gaussian", "params": {"sigma": 2}}], {"pixels": px})
+        assert [r.status for r in results] == ["error", "skipped"] and isinstance(results[0].error, ValueError)
     labels = spark.createDataFrame([("a", 0, 0, 5), ("a", 0, 1, 5), ("a", 4, 4, 9)], "img string, y int, x int, label int")
     have, results = replay.replay([{"op": "remove_small", "params": {"least": 2}}, {"op": "renumber"}, {"op": "cell_summary"}], {"labels": labels, "cells": labels})
     assert [r.status for r in results] == ["ok"] * 3 and have["cell_summary"].collect()[0].n in (0, 1) and {r.label for r in have["labels"].collect()} == {1}
