@@ -8,7 +8,8 @@ Words that no item has split the shard and start no suffix. The benchmark is bro
 benchmark means more passes that each add their hits, never a larger broadcast.
 
 Defined results: a null or word-less text has no words and is clean; null, empty or word-less items take no part; items
-that share an id count once; an item with a null id marks words but is not listed; repeated documents are judged alike.
+that share an id count once; an item with a null id marks words but is not listed; repeated documents are judged alike; an
+empty table of documents gives no rows, one of items hits nothing; texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ and pairs that it has, keys split by hash into buckets of bounded size; each buc
 answers with totals in the order asked. A block then builds the part of the automaton that its texts can reach.
 
 Words are identified by 64-bit hashes. Defined results: a null or empty text is one end token; repeated rows count as often
-as they occur; with no training text all words are unknown.
+as they occur; with no training text all words are unknown; a null mark of training is no training; a null id is an id like
+any other; a text of any length is read whole, in one block; only id and text are read, so other columns, whatever their
+names, change nothing; an empty table gives no rows. There are no ties.
 """
 
 from __future__ import annotations
