@@ -64,6 +64,50 @@ def fit_decay(t: np.ndarray, v: np.ndarray) -> dict:
     return {"top": p[0], "tau": p[1], "floor": p[2], "r2": r2}
 
 
+def two_decays(t, a, b, c, d, floor):
+    return a * np.exp(-t / b) + c * np.exp(-t / d) + floor
+
+
+def fit_two_decays(t: np.ndarray, v: np.ndarray) -> dict:
+    """Two exponentials and a floor, the faster one first."""
+    span = max(float(np.ptp(t)), 1e-9)
+    p, r2 = least_squares(two_decays, t - t[0], v, [float(v[0]), 0.1 * span, 0.2 * float(v[0]), 0.4 * span, float(v[-1])], [0, span * 1e-6, 0, span * 1e-6, 0], [np.inf, span, np.inf, span, np.inf])
+    (a, b), (c, d) = sorted(((p[0], p[1]), (p[2], p[3])), key=lambda x: x[1])
+    return {"a": a, "tau_a": b, "c": c, "tau_c": d, "floor": p[4], "r2": r2}
+
+
+def relaxation(t, start, tau):
+    return 1 + (start - 1) * np.exp(-t / tau)
+
+
+def fit_relaxation(t: np.ndarray, v: np.ndarray) -> dict:
+    """Aspect ratio of a merging droplet relaxing to 1; nothing to fit unless it starts above 1."""
+    if not v[0] > 1:
+        return dict.fromkeys(("start", "tau", "r2"))
+    span = max(float(np.ptp(t)), 1e-9)
+    p, r2 = least_squares(relaxation, t - t[0], v, [float(v[0]), span / 3], [1.0, 1e-4], [20.0, span * 10])
+    return {"start": p[0], "tau": p[1], "r2": r2}
+
+
+def fit_confinement(t: np.ndarray, v: np.ndarray) -> dict:
+    """Whether a displacement curve is better told by a confined domain (plateau L2) than by a power law: the difference of
+    their corrected Akaike criteria, above 2."""
+    first = max(float(v[0] / (4 * t[0])), 1e-6)
+    models = (
+        (lambda t, d, a, off: 4 * d * t**a + 4 * off, [first, 1.0, 0.0], [0, 0, -np.inf]),
+        (lambda t, l2, d, off: l2 * (1 - np.exp(-4 * d * t / max(l2, 1e-12))) + 4 * off, [max(float(v.max()), 1e-9), first, 0.0], [0, 0, -np.inf]),
+    )
+    scores, found = [], []
+    for model, start, low in models:
+        p, _ = least_squares(model, t, v, start, low)
+        rss = max(float(((v - model(t, *p)) ** 2).sum()), 1e-300)
+        n = len(t)
+        scores.append(n * math.log(rss / n) + 6 + (24 / (n - 4) if n > 4 else math.inf))
+        found.append(p)
+    gap = scores[0] - scores[1]
+    return {"gap": gap, "confined": float(gap > 2), "plateau": found[1][0], "size": math.sqrt(max(found[1][0], 0.0)), "exponent": found[0][1]}
+
+
 def gaussian_spot(xy, top, cy, cx, sigma, floor):
     y, x = xy
     return top * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * sigma**2)) + floor

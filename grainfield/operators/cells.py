@@ -256,6 +256,54 @@ def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(slope.alias("slope"), cut.alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
+def sedimentation(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """From frames (t, n, mean_radius, area_fraction) whether droplets settle (area fraction rises, R2 over 0.3; corroborated
+    if their number rises too) or coarsen (radii rise, R2 over 0.3; corroborated if their number falls); 4 frames at least."""
+    fine = frames.where(F.col("t").isNotNull() & F.col("n").isNotNull() & F.col("mean_radius").isNotNull() & F.col("area_fraction").isNotNull())
+    slopes = [c for name in ("area_fraction", "n", "mean_radius") for c in (F.regr_slope(name, "t").alias(f"{name}_slope"), F.regr_r2(name, "t").alias(f"{name}_r2"))]
+    s = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), *slopes)
+    rises = lambda c: F.coalesce((F.col(f"{c}_slope") > 0) & (F.col(f"{c}_r2") > 0.3), F.lit(False))
+    settles, coarsens = rises("area_fraction"), rises("mean_radius")
+    process = F.when(F.col("frames") < 4, "insufficient_data").when(settles & coarsens, "both").when(settles, "sedimentation").when(coarsens, "coarsening").otherwise("stable")
+    return s.withColumns({"process": process, "settling_corroborated": settles & F.coalesce(F.col("n_slope") > 0, F.lit(False)), "coarsening_corroborated": coarsens & F.coalesce(F.col("n_slope") < 0, F.lit(False))})
+
+
+def pinhole_crosstalk(labels: DataFrame, px: DataFrame, ring: int = 4, gap: int = 1, far: int = 15) -> DataFrame:
+    """Median background in a ring around the brighter half of the objects over that far from all objects, less 1: light that
+    leaks. Distances are steps to side neighbours. Null where there is no ring or nothing far away."""
+    v = px.select(*KEY, "v")
+    means = labels.join(v, KEY).groupBy("img", "label").agg(F.avg("v").alias("m"))
+    bright = means.join(means.groupBy("img").agg(F.median("m").alias("mid")), "img").where(F.col("m") >= F.col("mid")).select("img", "label")
+    steps = lambda n: F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in range(-n, n + 1) for b in range(-n, n + 1) if abs(a) + abs(b) <= n)))
+    grown = lambda df, n: df.select(*KEY, steps(n).alias("o")).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+    on = v.join(grown(labels.join(bright, ["img", "label"]), ring).withColumn("near", F.lit(1)), KEY, "left").join(grown(labels, gap).withColumn("touch", F.lit(1)), KEY, "left").join(grown(labels, far).withColumn("wide", F.lit(1)), KEY, "left")
+    s = on.groupBy("img").agg(F.median(F.when(F.col("near").isNotNull() & F.col("touch").isNull(), F.col("v"))).alias("local"), F.median(F.when(F.col("wide").isNull(), F.col("v"))).alias("distant"))
+    up = (F.col("local") - F.col("distant")) / F.greatest(F.abs("distant"), F.lit(1e-6))
+    return s.select("img", "local", "distant", up.alias("elevation"), F.when(up < 0.1, "good").when(up < 0.3, "warn").when(up.isNotNull(), "bad").otherwise("na").alias("status"))
+
+
+def plausible_size(value: Column, least: float = 1e-3, most: float = 100.0) -> Column:
+    """Whether a pixel size in microns is a number within bounds; null and what is no number are not."""
+    number = F.expr(f"try_cast({value} as double)") if isinstance(value, str) else value.cast("double")
+    return F.coalesce(~F.isnan(number) & (number >= least) & (number <= most), F.lit(False))
+
+
+def local_partition(labels: DataFrame, px: DataFrame, gap: int = 2, width: int = 6, dark: float | None = None, top: float | None = None) -> DataFrame:
+    """Each droplet's mean over that of the dilute ring around it, beyond a gap: K with the camera's floor taken off both where
+    it is known, else a contrast only. Droplets with a saturated pixel are marked, rings take in no droplet."""
+    v = px.select(*KEY, "v")
+    steps = [(a, b) for a in range(-gap - width, gap + width + 1) for b in range(-gap - width, gap + width + 1) if abs(a) + abs(b) <= gap + width]
+    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(abs(a) + abs(b)).alias("d")) for a, b in steps)))
+    reach = labels.select("img", "label", "y", "x", offsets.alias("o")).groupBy("img", "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min("o.d").alias("d"))
+    ring = reach.where(F.col("d") > gap).join(labels.select(*KEY), KEY, "left_anti").join(v, KEY).groupBy("img", "label").agg(F.avg("v").alias("dilute"), F.count(F.lit(1)).alias("ring_px"))
+    hot = F.max((F.col("v") >= top).cast("int")) if top is not None else F.lit(0)
+    dense = labels.join(v, KEY).groupBy("img", "label").agg(F.avg("v").alias("dense"), hot.alias("saturated"))
+    floor = dark or 0.0
+    k = F.when(F.col("dilute") > floor, (F.col("dense") - floor) / (F.col("dilute") - floor))
+    out = dense.join(ring, ["img", "label"], "left")
+    return out.select("img", "label", "dense", "dilute", F.coalesce("ring_px", F.lit(0)).alias("ring_px"), (F.col("saturated") == 1).alias("saturated"), (k if dark is not None else F.lit(None).cast("double")).alias("k"), ratio(F.col("dense"), F.col("dilute")).alias("contrast"))
+
+
 def bead_classes(beads: DataFrame, keys: list[str], brightness: str, factor: float = 1.6) -> DataFrame:
     """Unit brightness (median of the lower half), units of each bead, and whether it is an aggregate."""
     mid = beads.groupBy(*keys).agg(F.median(brightness).alias("mid"))

@@ -252,8 +252,11 @@ def link_optimal(detections: DataFrame, reach: float = 2.0, gap: int = 2, sigma:
 
 
 def fitted(series: DataFrame, model: str = "recovery", value: str = "v") -> DataFrame:
-    """Recovery or decay of each series (series_id, t, value) by bounded least squares; fewer than 5 points give nulls."""
-    fit, names = {"recovery": (fits.fit_recovery, ["a", "b", "half", "mobile", "r2"]), "decay": (fits.fit_decay, ["top", "tau", "floor", "r2"])}[model]
+    """A model of each series (series_id, t, value) by bounded least squares: recovery, decay, two_decays, relaxation of an
+    aspect ratio, or confinement of a displacement curve (t > 0). Fewer than 5 points give nulls."""
+    models = {"recovery": (fits.fit_recovery, ["a", "b", "half", "mobile", "r2"]), "decay": (fits.fit_decay, ["top", "tau", "floor", "r2"])}
+    more = {"two_decays": (fits.fit_two_decays, ["a", "tau_a", "c", "tau_c", "floor", "r2"]), "relaxation": (fits.fit_relaxation, ["start", "tau", "r2"]), "confinement": (fits.fit_confinement, ["gap", "confined", "plateau", "size", "exponent"])}
+    fit, names = (models | more)[model]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")

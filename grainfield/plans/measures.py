@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cells, planes, records
+from ..operators import cells, objects, planes, records, tracks
 from ..sources.views import SIDE, Relations
 from .catalog import query
 
@@ -136,6 +136,30 @@ SELECT e.event_type, event_id, R(value / u) units, CASE WHEN value / u >= 1.6 TH
 query("ser_prebleach", "WITH p AS (SELECT series_id, avg(v) p FROM series WHERE t <= 5 GROUP BY 1) SELECT s.series_id, t, R(v / nullif(p, 0)) v FROM series s JOIN p ON s.series_id = p.series_id")(lambda r: cells.prebleach_normalized(r.series, 5))
 query("ser_capillary_velocity", "SELECT series_id, R(regr_slope(v, ref)) slope, R(regr_intercept(v, ref)) intercept, R(regr_r2(v, ref)) r2, count(*) n FROM series GROUP BY 1")(lambda r: cells.linear_fit(r.series, ["series_id"], "ref", "v"))
 
+query(
+    "stack_sedimentation",
+    """WITH a AS (SELECT img, t, label, sqrt(count(*) / pi()) r FROM frame_labels GROUP BY 1, 2, 3), r AS (SELECT img, t, count(*) n, avg(r) r FROM a GROUP BY 1, 2), f AS (SELECT s.img, s.t, count(l.img) / CAST(count(*) AS DOUBLE) p FROM stack s LEFT JOIN frame_labels l ON s.img = l.img AND s.t = l.t AND s.y = l.y AND s.x = l.x GROUP BY 1, 2),
+g AS (SELECT img, count(*) frames, regr_slope(p, t) ps, regr_r2(p, t) p2, regr_slope(n, t) ns, regr_r2(n, t) n2, regr_slope(r, t) rs, regr_r2(r, t) r2 FROM f JOIN r USING (img, t) GROUP BY img), k AS (SELECT *, coalesce(ps > 0 AND p2 > 0.3, false) sed, coalesce(rs > 0 AND r2 > 0.3, false) co FROM g)
+SELECT img, frames, R(ps) area_fraction_slope, R(p2) area_fraction_r2, R(ns) n_slope, R(n2) n_r2, R(rs) mean_radius_slope, R(r2) mean_radius_r2, CASE WHEN frames < 4 THEN 'insufficient_data' WHEN sed AND co THEN 'both' WHEN sed THEN 'sedimentation' WHEN co THEN 'coarsening' ELSE 'stable' END process,
+sed AND coalesce(ns > 0, false) settling_corroborated, co AND coalesce(ns < 0, false) coarsening_corroborated FROM k""",
+)(lambda r: cells.sedimentation(objects.field_trajectories(r.frame_labels, r.stack), ["img"]))
+query(
+    "qc_pinhole_crosstalk",
+    """WITH m AS (SELECT l.img, l.label, avg(v1) m FROM labels_few l JOIN pixels p ON l.img = p.img AND l.y = p.y AND l.x = p.x GROUP BY 1, 2), b AS (SELECT img, label FROM m WHERE m >= (SELECT median(n.m) FROM m n WHERE n.img = m.img)),
+g AS (SELECT p.img, p.y, p.x, p.v1 v, min(abs(p.y - l.y) + abs(p.x - l.x)) d, min(CASE WHEN b.label IS NOT NULL THEN abs(p.y - l.y) + abs(p.x - l.x) END) e FROM pixels p LEFT JOIN labels_few l ON p.img = l.img LEFT JOIN b ON l.img = b.img AND l.label = b.label GROUP BY 1, 2, 3, 4),
+s AS (SELECT img, median(CASE WHEN e <= 2 AND d > 1 THEN v END) a, median(CASE WHEN coalesce(d, 99) > 2 THEN v END) z FROM g GROUP BY img), u AS (SELECT *, (a - z) / greatest(abs(z), 1e-6) u FROM s)
+SELECT img, R(a) AS local, R(z) distant, R(u) elevation, CASE WHEN u < 0.1 THEN 'good' WHEN u < 0.3 THEN 'warn' WHEN u IS NOT NULL THEN 'bad' ELSE 'na' END status FROM u""".replace("AS local", 'AS "local"'),
+)(lambda r: cells.pinhole_crosstalk(r.labels("v1", 1.4, 4), r.channel("v1"), 2, 1, 2))
+query(
+    "obj_local_partition",
+    """WITH g AS (SELECT l.img, l.label, p.y, p.x, p.v1 v, min(abs(p.y - l.y) + abs(p.x - l.x)) d FROM labels_few l JOIN pixels p ON p.img = l.img AND abs(p.y - l.y) + abs(p.x - l.x) <= 4 GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT img, label, avg(v) u, count(*) n FROM g WHERE d > 1 AND NOT EXISTS (SELECT 1 FROM labels_few k WHERE k.img = g.img AND k.y = g.y AND k.x = g.x) GROUP BY 1, 2), o AS (SELECT l.img, l.label, avg(v1) m, max(CASE WHEN v1 >= 900 THEN 1 ELSE 0 END) h FROM labels_few l JOIN pixels p ON l.img = p.img AND l.y = p.y AND l.x = p.x GROUP BY 1, 2)
+SELECT img, label, R(m) dense, R(u) dilute, coalesce(n, 0) ring_px, h = 1 AS saturated, R(CASE WHEN u > 5 THEN (m - 5) / (u - 5) END) k, R(m / nullif(u, 0)) contrast FROM o LEFT JOIN r USING (img, label)""",
+)(lambda r: cells.local_partition(r.labels("v1", 1.4, 4), r.channel("v1"), 1, 3, 5.0, 900.0))
+query("meta_plausible_size", "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_size * (p_partkey % 5 - 1) END BETWEEN 0.001 AND 100, false) ok FROM part")(
+    lambda r: r.table("part").select("p_partkey", cells.plausible_size(F.when(F.col("p_partkey") % 9 > 0, F.col("p_size") * (F.col("p_partkey") % 5 - 1))).alias("ok"))
+)
+
 # ---- models as expressions
 
 query(
@@ -243,6 +267,9 @@ def _long(r: Relations) -> DataFrame:
 
 # ---- grouped kernels, held against brute force in the tests
 
+query("ser_fit_two_decays")(lambda r: planes.fitted(r.series, "two_decays"))
+query("ser_fit_relaxation")(lambda r: planes.fitted(r.series.withColumn("v", 1 + F.col("v") / 100), "relaxation"))
+query("trk_confinement")(lambda r: planes.fitted(tracks.msd(r.tracks, 12, 5).select(F.lit("all").alias("series_id"), F.col("lag").cast("double").alias("t"), F.col("msd").alias("v")), "confinement"))
 query("cell_matched")(lambda r: cells.matched(r.labels("v1", 1.4, 4), r.labels("v2", 1.4, 4), 3.0))
 query("pts_merged_in_time")(lambda r: planes.merged_in_time(r.points.withColumn("frame", F.col("id") % 50), ["cell"], 8.0, 1))
 query("pts_hulls")(lambda r: planes.hulls(r.points, ["cell"]))

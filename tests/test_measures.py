@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainfield.functions import arrays
+from grainfield.functions import arrays, fits
 from grainfield.operators import cells, planes, records, spatial, tracks
 from grainfield.storage import shared_dir
 
@@ -176,3 +176,17 @@ def test_seams_and_lacunarity(spark):
         s = r.box_size
         boxes = np.array([m[y : y + s, x : x + s].sum() for y in range(10 - s + s % 2) for x in range(12 - s + s % 2)], float)
         assert r.lacunarity == pytest.approx((boxes**2).mean() / boxes.mean() ** 2)
+
+
+def test_fits():
+    t = np.arange(60.0)
+    f = fits.fit_two_decays(t, 5 * np.exp(-t / 3) + 2 * np.exp(-t / 20) + 1)
+    assert (f["a"], f["tau_a"], f["c"], f["tau_c"], f["floor"]) == pytest.approx((5, 3, 2, 20, 1), rel=1e-3) and f["r2"] > 0.9999
+    f = fits.fit_relaxation(t, 1 + 0.8 * np.exp(-t / 7))
+    assert (f["start"], f["tau"]) == pytest.approx((1.8, 7), rel=1e-4) and fits.fit_relaxation(t, np.ones(60))["tau"] is None
+    lag, rng = np.arange(1, 21.0), np.random.default_rng(11)
+    noise = 1 + 0.01 * rng.normal(size=20)
+    f = fits.fit_confinement(lag, 2.5 * (1 - np.exp(-4 * 0.3 * lag / 2.5)) * noise)
+    assert f["confined"] == 1 and f["plateau"] == pytest.approx(2.5, rel=0.05) and f["size"] == pytest.approx(2.5**0.5, rel=0.05)
+    f = fits.fit_confinement(lag, 4 * 0.2 * lag**0.9 * noise)
+    assert f["confined"] == 0 and f["exponent"] == pytest.approx(0.9, abs=0.1)
