@@ -330,6 +330,32 @@ def test_quality(spark, docs, none):
     assert quality.score(stats, flat).count() == 0 and flat.score(np.zeros((1, quality.N_STATS)))[0] == 0.5
 
 
+def test_quality_against_numpy(spark):
+    """Weights, calibration and scores against the same fit in one place: normal equations at once, levels by their definition."""
+    rng = random.Random(12)
+    data = [(k, " ".join(rng.choice(WORDS if rng.random() < 0.3 + 0.6 * (k % 2) else ["###", "$$", "A1!", "|"]) for _ in range(rng.randint(5, 60))), int(k % 2 if rng.random() < 0.8 else 1 - k % 2)) for k in range(400)]
+    table = spark.createDataFrame([(a, b) for a, b, _ in data], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(a, c) for a, _, c in data], "doc_id long, quality int")
+    model, stats = quality.train(table, labels, held_out=None)
+    fold = {r.doc_id: r.f for r in table.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.FOLDS)).alias("f")).collect()}
+    x, y, fold = np.array([quality.statistics(t.encode()) for _, t, _ in data]), np.array([c for _, _, c in data], float), np.array([fold[k] for k, _, _ in data])
+    scale = np.where(x.std(0) < 1e-9, 1.0, x.std(0))
+    z = quality.fourier((x - x.mean(0)) / scale)
+    solve = lambda m: np.linalg.solve(z[m].T @ z[m] + quality.RIDGE * np.eye(z.shape[1]), z[m].T @ y[m])
+    whole = solve(np.ones(400, bool))
+    assert np.allclose(z @ model.weights, z @ whole, atol=1e-5)
+    left_out = {f: solve(fold != f) for f in set(fold.tolist())}
+    raw = np.array([z[k] @ left_out[f] for k, f in enumerate(fold.tolist())])
+    bins = np.clip(((raw - quality._LOW) / (quality._HIGH - quality._LOW) * quality.GRID).astype(int), 0, quality.GRID - 1)
+    there = np.unique(bins)
+    n, good = (np.array([(v * (bins == b)).sum() for b in there]) for v in (np.ones(400), y))
+    mean = lambda a, b: good[a : b + 1].sum() / n[a : b + 1].sum()
+    level = [max(min(mean(a, b) for b in range(i, len(there))) for a in range(i + 1)) for i in range(len(there))]
+    assert len(model.values) == len(level) and np.allclose(model.values, level, atol=1e-6)
+    found = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert np.allclose([found[k] for k, _, _ in data], model.score(x), atol=1e-6)
+
+
 def test_pooling():
     assert quality.pooled(np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4)).tolist() == [0.0, 0.5, 0.5, 1.0]
 
