@@ -557,6 +557,13 @@ _PLANES = {
     "niblack": f"WITH {_GRID}, {_BOX} SELECT g.img, g.y, g.x, R(CASE WHEN v > m + 0.5 * s THEN 1 ELSE 0 END) v FROM grid g JOIN st ON g.img = st.img AND g.y = st.y AND g.x = st.x",
     "sauvola": f"WITH {_GRID}, {_BOX}, r AS (SELECT img, (max(v) - min(v)) / 2 r FROM grid GROUP BY img) SELECT g.img, g.y, g.x, R(CASE WHEN v > m * (1 + 0.2 * (s / r - 1)) THEN 1 ELSE 0 END) v FROM grid g JOIN st ON g.img = st.img AND g.y = st.y AND g.x = st.x JOIN r ON r.img = g.img",
 }
+_AROUND = f"JOIN grid n ON n.img = g.img AND n.y = {_mirror('g.y + i')} AND n.x = {_mirror('g.x + j')}"
+_PLANES |= {
+    "local_contrast": f"WITH {_GRID}, {_bell('k', 4.0)}, {_smooth('s', 'grid', 'k')}, p AS (SELECT img, quantile_cont(v, 0.05) p FROM grid GROUP BY img) SELECT g.img, g.y, g.x, R(g.v / (s.v + p + 1e-6)) v FROM grid g JOIN s ON g.img = s.img AND g.y = s.y AND g.x = s.x JOIN p ON p.img = g.img",
+    "bilateral": f"WITH {_GRID}, w AS (SELECT g.img, g.y, g.x, n.v, exp(-0.5 * (i * i + j * j) / 2.25) * exp(-0.5 * (n.v - g.v) * (n.v - g.v) / 2500) w FROM grid g CROSS JOIN range(-2, 3) a(i) CROSS JOIN range(-2, 3) b(j) {_AROUND}) SELECT img, y, x, R(sum(v * w) / sum(w)) v FROM w GROUP BY 1, 2, 3",
+    "rolling_ball": f"""WITH {_GRID}, disk AS (SELECT i, j FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE i * i + j * j <= 16), e AS (SELECT g.img, g.y, g.x, min(n.v) v FROM grid g CROSS JOIN disk {_AROUND} GROUP BY 1, 2, 3),
+d AS (SELECT g.img, g.y, g.x, max(n.v) v FROM e g CROSS JOIN disk {_AROUND.replace('JOIN grid n', 'JOIN e n')} GROUP BY 1, 2, 3) SELECT g.img, g.y, g.x, R(greatest(g.v - 0.75 * d.v, 0)) v FROM grid g JOIN d ON g.img = d.img AND g.y = d.y AND g.x = d.x""",
+}
 for _name in planes.FILTERS:
     query(f"plane_{_name}", _PLANES.get(_name))(lambda r, name=_name: planes.filtered(r.channel("v1"), name))
 query("plane_thresholds")(lambda r: planes.thresholds(r.channel("v1")))
