@@ -12,7 +12,7 @@ words not shared, however long the lines; lines of many words have sketches of m
 sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
 Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
-one among entries with the same least word hash or rarest word, within a salted group. Entries found similar to an earlier
+one among entries with the same least and greatest word hash, or the same two rarest words, within a salted group. Entries found similar to an earlier
 one are settled and are looked up no more; the join finds earlier lines for all others. Of those, the candidate with the
 most alike sketch is verified first, the rest only for entries that this did not settle.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, aside, back, cut
 
 BUCKETS = 1 << 16
-#: At most so many entries of one least word stand in one salted group of the first round, whatever the corpus.
+#: At most so many entries or so stand in one salted group of the first round, whatever the corpus.
 GROUP = 16_384
 PLACE = ["id", "th", "line_no"]
 SKETCH = ["s1", "s2"]
@@ -74,8 +74,8 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Lines with words, as sets: h and n name the set; s1 and s2 are its sketch, low its least hash, rare its rarest word,
-    prefix its rarest words."""
+    """Lines with words, as sets: h and n name the set; s1 and s2 are its sketch, ends names its least and greatest hashes,
+    rare its two rarest words, prefix its rarest words."""
     hashed = lines.where(F.expr("line rlike '[^ \\t\\r\\u000b\\u000c]'")).select(*PLACE, "pk", _hashes("line").alias("hashes"))
     # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
     sized = hashed.withColumn("classes", classes.scalar())
@@ -83,7 +83,7 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         *PLACE,
         "pk",
         F.size("hashes").alias("n"),
-        F.array_min("hashes").alias("low"),
+        F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"),
         F.expr(f"sort_array(transform(hashes, x -> classes[cast(x & {buckets - 1} as int)] | x))").alias("words"),
     )
     bit = "shiftleft({0}, cast(x & 63 as int))"
@@ -95,8 +95,8 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         "n",
         F.expr(of("1L")).alias("s1"),
         F.expr(f"if(n > {WIDE}, {of('shiftright(x, 6) & 1L')}, 0L)").alias("s2"),
-        "low",
-        F.get("words", F.lit(0)).alias("rare"),
+        "ends",
+        F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("rare"),
         F.expr("transform(slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
 
@@ -140,7 +140,7 @@ def _neighbours(entries: DataFrame, group: int) -> DataFrame:
     """Round one: pairs of an entry with the one before it and the first one in its salted group."""
     found, salts = None, max(1, -(-entries.count() // group))
     possible = _possible("o.", "", "o.n", "n")
-    for key in ("low", "rare"):
+    for key in ("ends", "rare"):
         w = W.partitionBy(key, "salt").orderBy(*PLACE)
         this = F.struct("pk", "n", *SKETCH)
         rows = entries.select(key, *PLACE, "pk", "n", *SKETCH, F.pmod(F.xxhash64("h"), F.lit(salts)).alias("salt"))
