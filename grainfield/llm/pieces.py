@@ -37,8 +37,8 @@ from .shared import slices
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-_MOST_WORDS = 450_000
-_MOST_PAIRS = 300_000
+_MOST_WORDS = 200_000
+_MOST_PAIRS = 200_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
