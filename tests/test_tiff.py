@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from grainfield.functions import arrays
+from grainfield.operators import planes
 from grainfield.sources import tiff
 
 RNG = np.random.default_rng(2)
@@ -42,6 +44,8 @@ def test_planes_of_a_folder(spark, tmp_path):
     assert [r.page for r in tiff.read_planes(spark, f"file://{tmp_path}/a.tif", 1, 1).collect()] == [1]
     px = tiff.as_pixels(tiff.read_planes(spark, f"file://{tmp_path}/a.tif", 0, 0))
     assert {(r.y, r.x): r.v for r in px.collect()} == {(y, x): float(a[0][y, x]) for y in range(4) for x in range(6)}
+    smooth = planes.filtered_arrays(tiff.read_planes(spark, f"file://{tmp_path}/a.tif"), "gaussian", sigma=2.0)
+    assert all(np.allclose(np.array(r.data).reshape(4, 6), arrays.gaussian(a[r.page], 2.0)) for r in smooth.collect()) and smooth.count() == 3
     (tmp_path / "c.tif").write_bytes(b"II*\0broken")
     said = {(r.path.rsplit("/", 1)[1], r.page): r for r in tiff.read_pages(spark, f"file://{tmp_path}").collect()}
     assert said["a.tif", 1].description == "three" and said["a.tif", 1].pixel_um == 0.5 and said["b.tiff", 0].bits == 32 and said["c.tif", None].height is None
