@@ -189,9 +189,8 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     done = tables.cut(_verified(best, sets), "best")
     known = done.unionByName(settled)
-    known_a, known_b = (known.select(F.col("pk").alias(s), F.lit(True).alias(f"{s}_known")).distinct() for s in "ab")
-    # a pair whose order is not sure counts until both are settled
-    rest = pairs.join(known_b, "b", "left").where("not sure or b_known is null").join(known_a, "a", "left").where("b_known is null or a_known is null")
+    # where the order is not sure, within a document, either place may be the later one: such pairs are all verified
+    rest = pairs.where("sure").join(known.select(F.col("pk").alias("b")), "b", "left_anti").unionByName(pairs.where("not sure"))
     later = tables.cut(_verified(rest.select("a", "b"), sets).unionByName(known).distinct(), "similar")
     # lines of an entry beyond its first place go, and first places that are similar to an earlier entry's
     firsts = entries.select("h", "n", "pk").join(later.select("pk", F.lit(True).alias("gone")), "pk", "left").withColumnRenamed("pk", "first")
