@@ -256,12 +256,29 @@ def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(slope.alias("slope"), cut.alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
+def _lines(rows: DataFrame, x: str, ys: list[str]) -> DataFrame:
+    """rows with slope and R2 of each y on x over the sorted structs of __f: null without spread of x, R2 1 without spread of y.
+
+    Deviations are n times a value less the sum, in the order of __f: the same on any partitioning, and exact where the values
+    are whole or shares of a power of two, so that no slope of zero gets a sign and no half is rounded either way."""
+    total = {f"__t_{c}": F.expr(f"aggregate(__f, 0D, (a, r) -> a + r.{c})") for c in [x, *ys]}
+    apart = {f"__d_{c}": F.expr(f"transform(__f, r -> size(__f) * r.{c} - __t_{c})") for c in [x, *ys]}
+    product = lambda a, b: F.expr(f"aggregate(zip_with(__d_{a}, __d_{b}, (p, q) -> p * q), 0D, (s, v) -> s + v)")
+    sums = {"__xx": product(x, x)} | {f"__xy_{y}": product(x, y) for y in ys} | {f"__yy_{y}": product(y, y) for y in ys}
+    found = {}
+    for y in ys:
+        xx, xy, yy = F.col("__xx"), F.col(f"__xy_{y}"), F.col(f"__yy_{y}")
+        found[f"{y}_slope"] = F.when(xx != 0, xy / xx)
+        found[f"{y}_r2"] = F.when(xx != 0, F.when(yy == 0, 1.0).otherwise(xy * xy / (xx * yy)))
+    return rows.withColumns(total).withColumns(apart).withColumns(sums).withColumns(found).drop(*total, *apart, *sums)
+
+
 def sedimentation(frames: DataFrame, keys: list[str]) -> DataFrame:
     """From frames (t, n, mean_radius, area_fraction) whether droplets settle (area fraction rises, R2 over 0.3; corroborated
     if their number rises too) or coarsen (radii rise, R2 over 0.3; corroborated if their number falls); 4 frames at least."""
-    fine = frames.where(F.col("t").isNotNull() & F.col("n").isNotNull() & F.col("mean_radius").isNotNull() & F.col("area_fraction").isNotNull())
-    slopes = [c for name in ("area_fraction", "n", "mean_radius") for c in (F.regr_slope(name, "t").alias(f"{name}_slope"), F.regr_r2(name, "t").alias(f"{name}_r2"))]
-    s = fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), *slopes)
+    names = ["area_fraction", "n", "mean_radius"]
+    fine = frames.where(" and ".join(f"{c} is not null" for c in ["t", *names]))
+    s = _lines(fine.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ["t", *names])))).alias("__f")), "t", names).drop("__f")
     rises = lambda c: F.coalesce((F.col(f"{c}_slope") > 0) & (F.col(f"{c}_r2") > 0.3), F.lit(False))
     settles, coarsens = rises("area_fraction"), rises("mean_radius")
     process = F.when(F.col("frames") < 4, "insufficient_data").when(settles & coarsens, "both").when(settles, "sedimentation").when(coarsens, "coarsening").otherwise("stable")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -190,3 +191,19 @@ def test_fits():
     assert f["confined"] == 1 and f["plateau"] == pytest.approx(2.5, rel=0.05) and f["size"] == pytest.approx(2.5**0.5, rel=0.05)
     f = fits.fit_confinement(lag, 4 * 0.2 * lag**0.9 * noise)
     assert f["confined"] == 0 and f["exponent"] == pytest.approx(0.9, abs=0.1)
+
+
+def test_sedimentation_is_exact(spark):
+    """Slopes and R2 of shares of 64 are the nearest doubles to the exact values, on any order and partitioning of the frames."""
+    rng = np.random.default_rng(7)
+    held = {f"i{k}": [(t, int(rng.integers(1, 9)), int(c), int(rng.integers(1, 5))) for t, c in enumerate(rng.integers(20, 40, 7))] for k in range(40)}
+    rows = [(i, t, n, c / 64, float(r)) for i, frames in held.items() for t, n, c, r in frames]
+    table = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "img string, t int, n long, area_fraction double, mean_radius double").repartition(5)
+    found = {r.img: r for r in cells.sedimentation(table, ["img"]).collect()}
+    for i, frames in held.items():
+        for at, name, unit in ((1, "n", 1), (2, "area_fraction", 64), (3, "mean_radius", 1)):
+            t, y = [f[0] for f in frames], [Fraction(f[at], unit) for f in frames]
+            mt, my = Fraction(sum(t), 7), sum(y) / 7
+            xx, xy, yy = sum((a - mt) ** 2 for a in t), sum((a - mt) * (b - my) for a, b in zip(t, y, strict=True)), sum((b - my) ** 2 for b in y)
+            assert found[i][f"{name}_slope"] == float(xy / xx)
+            assert found[i][f"{name}_r2"] == (float(xy**2 / (xx * yy)) if yy else 1.0)
