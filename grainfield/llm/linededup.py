@@ -12,8 +12,8 @@ words not shared, however long the lines; lines of many words have sketches of m
 sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
 Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
-one among entries with the same least and greatest word hash, or the same two rarest words, within a salted group. Entries found similar to an earlier
-one are settled and are looked up no more; the join finds earlier lines for all others. Of those, the candidate with the
+one among entries with the same least and greatest word hash, or the same two rarest words; only groups of more than GROUP
+entries are salted, as salts part near copies. Entries found similar to an earlier one are settled and are looked up no more; the join finds earlier lines for all others. Of those, the candidate with the
 most alike sketch is verified first, the rest only for entries that this did not settle.
 
 Places are named by 64-bit hashes while pairs are found and verified, words by 56-bit hashes.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import Tables, aside, back, cut
 
 BUCKETS = 1 << 16
-#: At most so many entries or so stand in one salted group of the first round, whatever the corpus.
+#: Larger groups of the first round are salted, so that at most so many entries or so stand in one, whatever the corpus.
 GROUP = 16_384
 PLACE = ["id", "th", "line_no"]
 SKETCH = ["s1", "s2"]
@@ -137,13 +137,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _neighbours(entries: DataFrame, group: int) -> DataFrame:
-    """Round one: pairs of an entry with the one before it and the first one in its salted group."""
-    found, salts = None, max(1, -(-entries.count() // group))
-    possible = _possible("o.", "", "o.n", "n")
+    """Round one: pairs of an entry with the one before it and the first one in its group; only groups of more than `group`
+    entries are salted, so that near copies meet however large the corpus is."""
+    found, possible = None, _possible("o.", "", "o.n", "n")
     for key in ("ends", "rare"):
+        # as many rows as large groups: at most one for each `group` entries
+        large = entries.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group).select(key, F.ceil(F.col("c") / group).alias("salts"))
         w = W.partitionBy(key, "salt").orderBy(*PLACE)
         this = F.struct("pk", "n", *SKETCH)
-        rows = entries.select(key, *PLACE, "pk", "n", *SKETCH, F.pmod(F.xxhash64("h"), F.lit(salts)).alias("salt"))
+        rows = entries.select(key, *PLACE, "pk", "h", "n", *SKETCH).join(F.broadcast(large), key, "left")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("h"), F.coalesce("salts", F.lit(1)))).drop("salts", "h")
         rows = rows.select("pk", "n", *SKETCH, F.array(F.lag(this).over(w), F.first(this).over(w)).alias("others"))
         rows = rows.select("pk", "n", *SKETCH, F.explode("others").alias("o")).where(f"o.pk <> pk and {possible}").select(F.col("o.pk").alias("a"), F.col("pk").alias("b"))
         found = rows if found is None else found.unionByName(rows)

@@ -411,3 +411,18 @@ def test_pieces_of_a_unigram_model():
     names = ["<unk>", "▁a", "▁ab", "b", "c", "bc", "▁"]
     model = pieces.Model.of(pieces.UNIGRAM, names, [0, -1.0, -2.5, -1.5, -2.0, -1.8, -3.0], [2, 1, 1, 1, 1, 1, 1])
     assert [[names[i] for i in x] for x in pieces.encode_texts(model, ["abc", "ab abc", "axc"])] == [["▁a", "bc"], ["▁ab", "▁a", "bc"], ["▁a", "<unk>", "c"]]
+
+
+def test_near_copies_meet_in_round_one(spark):
+    """Near copies are in one group of the first round whatever the number of entries: only large groups are salted."""
+    rng = np.random.default_rng(11)
+    words = lambda: [f"w{k}" for k in rng.integers(0, 1 << 30, 30)]
+    lines = [words() for _ in range(200)]
+    copies = [[*a[:7], "other", *a[8:]] for a in lines[:20]]
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines + copies)], "id long, text string").selectExpr("id", "xxhash64(text) th", "text")
+    classes = linededup.cut(linededup.rarity(texts), "rarity")
+    entries = linededup.cut(linededup.entries_of(linededup._lines(texts), classes), "entries")
+    near = linededup._neighbours(entries, 4)
+    ids = entries.select("pk", "id")
+    found = near.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select("i", "j").collect()
+    assert sum((r.i + 200 == r.j) for r in found) >= 15
