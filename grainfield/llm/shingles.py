@@ -7,10 +7,12 @@ sets are one entry, named by a hash of the set.
 
 Two similar sets share at least o = 4/9 of their sizes' sum, so their first shared shingle stands before place n - o + 1 of
 each (it is among the first n - ceil(0.8 n) + 1) and their sizes differ by a factor 0.8 at most. What passes is verified on
-whole sets. Only components are asked for: first each entry is held against the first one with the same two least shingles,
-and the first one with the same two rarest ones, which links most copies to one leader of their group. Then the join leaves
-out pairs within a component, each entry is held against its smallest candidate, and the pairs are verified that this left
-in different components.
+whole sets. Only components are asked for: first SimHash fingerprints of the shingles are linked as in `simhash` (deletion
+variants of two segments, equality join, two bits at most), and each entry is held against the first one with the same two
+least shingles, and the first one with the same two rarest ones, which links most copies to one leader of their group; all
+these pairs are verified. Fingerprints of similar texts often differ in more bits than deletion variants can find, so the
+exact join finds the links that are left: it leaves out pairs within a component, each entry is held against its smallest
+candidate, and the pairs are verified that this left in different components.
 
 Defined results: null and word-less texts have the empty set and are one entry; fewer words than a shingle are one shingle;
 of a component the row with the smallest id stays, null ids last (of equal ids, the smallest text hash; of equal rows, one).
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
+from .linededup import _dense
 from .shared import Tables, aside, back, cut, slices, texts_of
-from .simhash import shingle_hashes
+from .simhash import fingerprint, links, shingle_hashes
 
 SHINGLE = 5
 BUCKETS = 1 << 18
@@ -71,17 +74,18 @@ def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nd
 
 
 def entries_of(docs: DataFrame, classes: np.ndarray, text: str, keep: list[Column | str]) -> DataFrame:
-    """The kept columns, h (names the set), n (its size), prefix (its rarest shingles), and names of its two least and its two
-    rarest shingles."""
+    """The kept columns, h (names the set), n (its size), prefix (its rarest shingles), names of its two least and its two
+    rarest shingles, and fp (the SimHash fingerprint of all its shingles, repeats included)."""
     kept = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in slices(batches, "__text", SLICE):
-            names, sizes, prefixes, least, rarest = [], [], [], [], []
+            names, sizes, prefixes, least, rarest, fps = [], [], [], [], [], []
             for t in texts_of(batch.column("__text")):
-                s = shingle_set(t)
+                hashes = shingle_hashes(t, SHINGLE)
+                s = np.unique(hashes)
                 n = len(s)
                 order = np.lexsort((s, rank[(s % np.uint64(len(rank))).astype(np.int64)]))
                 names.append(_name(s))
@@ -89,10 +93,11 @@ def entries_of(docs: DataFrame, classes: np.ndarray, text: str, keep: list[Colum
                 prefixes.append(s[order[: n + (-4 * n) // 5 + 1]].view(np.int64) if n else s.view(np.int64))
                 least.append(_name(s[:2]))
                 rarest.append(_name(s[order[:2]]))
-            found = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(least, pa.int64()), pa.array(rarest, pa.int64())]
-            yield pa.record_batch([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "h", "n", "prefix", "least", "rarest"])
+                fps.append(fingerprint(hashes))
+            found = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(least, pa.int64()), pa.array(rarest, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.record_batch([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "h", "n", "prefix", "least", "rarest", "fp"])
 
-    added = [T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("rarest", T.LongType())]
+    added = [T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("rarest", T.LongType()), T.StructField("fp", T.LongType())]
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *added]))
 
 
@@ -105,6 +110,17 @@ def candidates(entries: DataFrame) -> DataFrame:
     return a.join(b, (a.word == b.word) & near).select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
 
 
+def fingerprint_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of entries by SimHash: one entry of each of two fingerprints that deletion variants find within two bits, and
+    each entry with that one of its own fingerprint."""
+    one = cut(entries.groupBy("fp").agg(F.min("h").alias("a")), "fingerprints")
+    same = entries.join(one, "fp").where("h <> a").select("a", F.col("h").alias("b"))
+    linked = links(one.select("fp"))
+    for s in "ab":
+        linked = linked.join(one.select(F.col("fp").alias(s), F.col("a").alias(f"h{s}")), s)
+    return linked.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).unionByName(same)
+
+
 def leaders(entries: DataFrame) -> DataFrame:
     """Pairs of an entry and the smallest one with the same two least shingles or the same two rarest ones; groups are
     aggregated map-side, whatever their size."""
@@ -124,41 +140,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(5 * both >= 4 * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
-def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(h, set) of the wanted entries: one text of each is read again."""
-    one = rows.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("__text_hash").alias("__text_hash"))
-    texts = docs.join(one, "__text_hash").select("h", F.col(text).cast("string").alias("__text"))
+def _marked(docs: DataFrame, hashes: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, DataFrame]:
+    """docs (with __text_hash) whose hash is marked, and the others: a table of bounded size marks all given hashes and few
+    more, so most other texts are not shuffled to be told apart."""
+    size = min(1 << 23, 1 << max(16, (16 * hashes.count()).bit_length()))
+    found = hashes.select(F.pmod("__text_hash", F.lit(size)).alias("id")).distinct().withColumn("m", F.lit(True))
+    marks = tables.cut(_dense(found, size, F.coalesce("m", F.lit(False))), name)
+    all_ = docs.withColumn("__marks", marks.scalar())
+    on = F.expr(f"__marks[cast(pmod(__text_hash, {size}L) as int)]")
+    return all_.where(on).drop("__marks"), all_.where(~on).drop("__marks")
+
+
+def _read(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, tables: Tables, name: str) -> DataFrame:
+    """Written (h, set) of all entries of the pairs: one text of each is read again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    one = tables.cut(rows.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("__text_hash").alias("__text_hash")), f"{name}-texts")
+    some, _ = _marked(docs.select("__text_hash", F.col(text).cast("string").alias("__text")), one, tables, f"{name}-marks")
+    texts = some.join(one, "__text_hash").select("h", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", SLICE):
             sets = [shingle_set(t).view(np.int64) for t in texts_of(batch.column("__text"))]
             yield pa.record_batch({"h": batch.column("h"), "set": pa.array(sets, pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(run, "h long, set array<long>").dropDuplicates(["h"])
-
-
-def _read(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(h, set) of all entries of the pairs."""
-    return _sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), text)
+    sets = tables.cut(texts.mapInArrow(run, "h long, set array<long>").dropDuplicates(["h"]), name)
+    tables.drop(f"{name}-texts", f"{name}-marks")
+    return sets
 
 
 def _rooted(found: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
-def similar(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(node, root) of the components of similar entries; docs and rows have __text_hash."""
-    tables = Tables(docs.sparkSession)
-    entries = tables.cut(rows.groupBy("h").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("rarest").alias("rarest"), F.first("prefix").alias("prefix")), "shingle-entries")
-    near = tables.cut(leaders(entries), "shingle-leaders")
-    sets = tables.cut(_read(near, docs, rows, text), "leader-sets")
+def similar(docs: DataFrame, rows: DataFrame, entries: DataFrame, text: str, tables: Tables) -> DataFrame:
+    """(node, root) of the components of similar entries; docs and rows (h) have __text_hash; the table of entries is dropped."""
+    near = tables.cut(fingerprint_pairs(entries).unionByName(leaders(entries)).distinct(), "shingle-leaders")
+    sets = _read(near, docs, rows, text, tables, "leader-sets")
     first = cut(_verified(near, sets), "leader-pairs")
     tables.drop("shingle-leaders", "leader-sets")
     roots = _rooted(components(first)).withColumnRenamed("node", "h")
     rooted = entries.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     pairs = tables.cut(candidates(rooted), "shingle-pairs")
     tables.drop("shingle-entries")
-    sets = tables.cut(_read(pairs, docs, rows, text), "shingle-sets")
+    sets = _read(pairs, docs, rows, text, tables, "shingle-sets")
     second = cut(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "first-pairs")
     linked = _rooted(components(first.unionByName(second)))
     for s in "ab":
@@ -171,14 +195,20 @@ def similar(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """docs with one row of each component, columns (whatever their names) and whole texts as they were."""
+    tables = Tables(docs.sparkSession)
     own, names = aside(docs)
     id, text = names[id], names[text]
     hashed = own.withColumn("__text_hash", F.xxhash64(F.col(text)))
-    rows = cut(entries_of(hashed, rarity(own, text, buckets), text, [id, "__text_hash"]), "shingled")
-    of = rows.drop("prefix", "least", "rarest").join(similar(hashed, rows, text).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    every = tables.cut(entries_of(hashed, rarity(own, text, buckets), text, [id, "__text_hash"]), "shingled")
+    rows = cut(every.select(id, "__text_hash", "h"), "shingle-rows")
+    entries = tables.cut(every.groupBy("h").agg(*(F.min(c).alias(c) for c in ("n", "least", "rarest", "fp")), F.first("prefix").alias("prefix")), "shingle-entries")
+    tables.drop("shingled")
+    of = rows.join(similar(hashed, rows, entries, text, tables).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     first = F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("__text_hash").alias("h"))).alias("c")
     chosen = cut(of.groupBy("root").agg(first).select(F.col("c.i").alias("__i"), F.col("c.h").alias("__h")), "representatives")
-    kept = hashed.join(chosen, (F.col("__text_hash") == F.col("__h")) & F.col(id).eqNullSafe(F.col("__i")), "left_semi")
-    if not rows.groupBy(id, "__text_hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id, "__text_hash"])
-    return back(kept, names)
+    # texts that may have a row to leave out are told apart first, so that all others stay without a shuffle
+    same = (F.col("__text_hash") == F.col("__h")) & F.col(id).eqNullSafe(F.col("__i"))
+    many = rows.groupBy(id, "__text_hash").agg(F.count(F.lit(1)).alias("c")).join(chosen.withColumn("__in", F.lit(True)), same, "left").where("c > 1 or __in is null")
+    some, others = _marked(hashed, cut(many.select("__text_hash").distinct(), "shingle-doubts"), tables, "doubt-marks")
+    kept = some.join(chosen, same, "left_semi").dropDuplicates([id, "__text_hash"])
+    return back(others.unionByName(kept), names)

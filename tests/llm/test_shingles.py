@@ -60,3 +60,18 @@ def test_near_copies_against_brute_force(spark):
     few = shingles.representatives(docs, buckets=512)
     assert sorted(((r.doc_id, r.text) for r in few.collect()), key=str) == want
     assert shingles.representatives(docs.limit(0)).count() == 0
+
+
+def test_stage_links_fingerprints(spark, monkeypatch):
+    """Fingerprints of five-word shingles are linked by deletion variants, and what is linked is held against whole sets."""
+    entries = spark.createDataFrame([(5, 0b1011), (3, 0b1011), (9, 0b1000), (7, 0b111 << 40)], "h long, fp long")
+    assert sorted(tuple(r) for r in shingles.fingerprint_pairs(entries).collect()) == [(3, 5), (3, 9)]
+    asked = []
+    monkeypatch.setattr(shingles, "links", lambda fps, links=shingles.links: asked.append(fps.count()) or links(fps))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(6)]
+    rows = list(enumerate([*texts, *(t.replace(" w1", " v1", 2) for t in texts), texts[0], None]))
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 13]
+    assert asked and asked[0] >= 7
