@@ -13,8 +13,9 @@ from .graph import near_pairs
 KEY = ["img", "y", "x"]
 
 
-def _nearest(points: DataFrame, k: int) -> DataFrame:
-    """(cell, id, other, d): at least the k nearest others of each point, or all where a cell has fewer.
+def _nearest(points: DataFrame, k: int, most: float = float("inf"), start: float = 1.0) -> DataFrame:
+    """(cell, id, other, d): at least the k nearest others of each point, or all where a cell has fewer; those farther than
+    `most` may be left out. The first look reaches `start` of a square's side.
 
     Points look into a grid whose squares hold about k points of their cell, then those with too few others within a square's
     side look again at twice the distance, until none is left: no pairs beyond that are formed. Each round is written."""
@@ -24,19 +25,21 @@ def _nearest(points: DataFrame, k: int) -> DataFrame:
     # a cell on a line has no area: its span is shared out instead; points all in one place are at once near each other
     unit = F.greatest(F.sqrt((k + 1) * F.col("area") / F.col("n")), (k + 1) * F.col("span") / F.col("n"))
     side = cut(own.join(size.where("n > 1").withColumn("unit", F.when(unit > 0, unit).otherwise(1.0)).drop("area", "span"), "cell"), "nearest-points")
-    todo, found, reach = side, None, 1.0
+    todo, found, reach = side, None, start
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     while True:
         square = lambda c: F.floor(F.col(c) / (F.col("unit") * reach))  # noqa: E731, B023
         look = todo.withColumns({"gy": square("y_um"), "gx": square("x_um")}).withColumn("s", steps)
         look = look.select("cell", "id", "n", "unit", F.col("y_um").alias("y"), F.col("x_um").alias("x"), (F.col("gy") + F.col("s.i")).alias("gy"), (F.col("gx") + F.col("s.j")).alias("gx"))
         at = side.select("cell", F.col("id").alias("other"), "y_um", "x_um", square("y_um").alias("gy"), square("x_um").alias("gx"))
-        d = F.hypot(F.col("y") - F.col("y_um"), F.col("x") - F.col("x_um"))
+        dy, dx = F.col("y") - F.col("y_um"), F.col("x") - F.col("x_um")
+        d = F.sqrt(dy * dy + dx * dx)
         near = look.join(at, ["cell", "gy", "gx"]).where("id <> other").select("cell", "id", "other", d.alias("d"), (F.col("unit") * reach).alias("reach")).where("d <= reach")
-        near = cut(near.select("cell", "id", "other", "d"), "nearest")
+        near = cut(near.select("cell", "id", "other", "d").where(F.col("d") <= most), "nearest")
         done = near.groupBy("cell", "id").agg(F.countDistinct("other").alias("have"))
         held = todo.join(done, ["cell", "id"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
-        left = cut(held.where(F.col("have") < F.least(F.lit(k), F.col("n") - 1)).drop("have"), "nearest-left")
+        short = (F.col("have") < F.least(F.lit(k), F.col("n") - 1)) & (F.col("unit") * reach < most)
+        left = cut(held.where(short).drop("have"), "nearest-left")
         settled = near.join(left, ["cell", "id"], "left_anti")
         found = settled if found is None else found.unionByName(settled)
         if left.isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ratio, with_group
-from .graph import near_pairs
+from .spatial import _nearest
 
 
 def trajectory_metrics(tracks: DataFrame) -> DataFrame:
@@ -96,8 +96,9 @@ def kaplan_meier(tracks: DataFrame, total_frames: int) -> DataFrame:
 
 def neighbour_persistence(tracks: DataFrame, k: int = 5, radius: float = 3.0) -> DataFrame:
     """Jaccard similarity of each detection's k nearest neighbours with those of its track's previous frame."""
-    near = near_pairs(tracks, radius, "frame", "track_id")
-    pairs = near.select("frame", F.col("a").alias("track_id"), F.col("b").alias("other"), "d").unionByName(near.select("frame", F.col("b").alias("track_id"), F.col("a").alias("other"), "d"))
+    # the nearest ones within the radius, not all pairs within it, which grow with the square of a frame's detections
+    points = tracks.select(F.col("frame").alias("cell"), F.col("track_id").alias("id"), "y_um", "x_um")
+    pairs = _nearest(points, k, radius, 0.5).select(F.col("cell").alias("frame"), F.col("id").alias("track_id"), "other", "d")
     rank = F.row_number().over(W.partitionBy("frame", "track_id").orderBy("d", "other"))
     near = pairs.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("frame", "track_id").agg(F.collect_list("other").alias("near"))
     all_ = tracks.select("frame", "track_id").join(near, ["frame", "track_id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))

@@ -52,6 +52,19 @@ def test_persistence(spark):
         assert r.jaccard == pytest.approx(want) if want is not None else r.jaccard is None
 
 
+def test_persistence_forms_few_pairs(spark, monkeypatch):
+    """All 600 detections of a frame are within the radius, some in one place: only the nearest ones are held, ties to smaller ids."""
+    rng = np.random.default_rng(8)
+    rows = [(k, f, float(y), float(x)) for f in range(2) for k, (y, x) in enumerate(rng.integers(0, 30, (600, 2)))]
+    held = []
+    monkeypatch.setattr(spatial, "cut", lambda df, name, cut=spatial.cut: held.append((name, (found := cut(df, name)).count())) or found)
+    table = spark.createDataFrame(rows, "track_id long, frame int, y_um double, x_um double")
+    found = {r.track_id: r.jaccard for r in tracks.neighbour_persistence(table, 3, 60.0).collect()}
+    near = {(k, f): {j for _, j in sorted((math.hypot(y - b, x - a), j) for j, g, b, a in rows if g == f and j != k)[:3]} for k, f, y, x in rows}
+    assert found == {k: len(near[k, 1] & near[k, 0]) / len(near[k, 1] | near[k, 0]) for k in range(600)}
+    assert 0 < sum(n for name, n in held if name == "nearest") < 60 * len(rows)
+
+
 def test_inversions_and_tau():
     rng = np.random.default_rng(6)
     for n, top in ((0, 1), (1, 3), (50, 7), (200, 1000)):
