@@ -31,6 +31,8 @@ from .shared import LOWER, cut, slices, texts_of
 SHINGLE = 3
 SEED = 42
 HOT = 128
+#: Fingerprints of one task whose variants are formed.
+PART = 10_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -102,6 +104,8 @@ def links(fps: DataFrame, most: int = 2, hot: int = HOT) -> DataFrame:
     """Distinct pairs (a, b) of distinct fingerprints within `most` (at most 2) bits; column fp."""
     if not 0 <= most <= 2:
         raise ValueError("two segments with one wild bit cover at most 2 differing bits")
+    # fingerprints are few bytes and their variants 64 times as many: without this few tasks would sort them all
+    fps = fps.repartition(max(1, -(-fps.count() // PART)), "fp")
     keyed = fps.select("fp", _variants().alias("key"))
     # of a variant's fingerprints each task passes on hot + 1 at most, which tells that it is hot, so none fills a task
     rank = F.row_number().over(W.partitionBy("key").orderBy("fp"))
