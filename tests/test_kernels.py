@@ -129,3 +129,25 @@ def test_threshold_masks_follow_the_local_mean():
     a = np.tile(np.linspace(0, 100, 64), (64, 1))
     a[::8, ::8] += 30
     assert ((a > arrays.niblack(a, 9, -1.5))[::8, ::8][1:-1, 1:-1]).all()
+
+
+def test_sparse_transport_costs_what_the_assignment_of_all_copies_costs():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n, m, skip = int(rng.integers(1, 6)), int(rng.integers(1, 6)), 1.2
+        c = np.where(rng.random((n, m)) < 0.7, rng.integers(0, 9, (n, m)) / 4, np.inf)
+        supply, capacity = rng.integers(1, 5, n).tolist(), rng.integers(1, 5, m).tolist()
+        edges = [[(j, x) for j, x in enumerate(row.tolist()) if x < np.inf] for row in c]
+        flow = fits.sparse_transport(edges, supply, capacity, skip)
+        assert all(sum(f.values()) <= s for f, s in zip(flow, supply, strict=True))
+        assert all(sum(f.get(j, 0) for f in flow) <= k for j, k in enumerate(capacity))
+        cost = sum(many * c[i, j] for i, f in enumerate(flow) for j, many in f.items()) + skip * (sum(supply) - sum(sum(f.values()) for f in flow))
+        copies = np.repeat(np.repeat(c, supply, 0), capacity, 1)
+        of = fits.sparse_assignment([[(j, x) for j, x in enumerate(row.tolist()) if x < np.inf] for row in copies], copies.shape[1], skip)
+        assert np.isclose(cost, sum(copies[i, j] if j >= 0 else skip for i, j in enumerate(of)))
+
+
+def test_sparse_transport_moves_whole_classes():
+    """A million copies of each row and column take the steps of one."""
+    many = 1_000_000
+    assert fits.sparse_transport([[(0, 1.0), (1, 2.0)], [(0, 0.5)]], [many, many], [many, many], 9.0) == [{1: many}, {0: many}]
