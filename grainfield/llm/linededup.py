@@ -13,8 +13,11 @@ sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
 Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
 one among entries with the same least and greatest word hash, or the same two rarest words; only groups of more than GROUP
-entries are salted, as salts part near copies. Entries found similar to an earlier one are settled and are looked up no more; the join finds earlier lines for all others. Of those, the candidate with the
-most alike sketch is verified first, the rest only for entries that this did not settle.
+entries are salted, as salts part near copies. Beside it, each entry is held against the most alike of the LEADERS first
+entries of a quarter of its prefix words and of its last one: rows grow with the number of postings, not with its square, and
+most near copies of a large group find a leader. Entries found similar to an earlier one are settled and are looked up no
+more; the join finds earlier lines for all others. Of those, the candidate with the most alike sketch is verified first, the
+rest only for entries that this did not settle.
 
 Places are named by 64-bit hashes while pairs are found and verified, words by 56-bit hashes.
 
@@ -32,13 +35,19 @@ from pyspark.sql import functions as F
 
 from .shared import Tables, aside, back, cut
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Larger groups of the first round are salted, so that at most so many entries or so stand in one, whatever the corpus.
 GROUP = 16_384
+#: So many first entries of a prefix word are candidates of all others before the join.
+LEADERS = 24
+#: Of these, so many with the most alike sketches are verified.
+ALIKE = 4
+#: Values of a table of fixed size that are gathered at a time.
+_CHUNK_BITS = 12
 PLACE = ["id", "th", "line_no"]
 SKETCH = ["s1", "s2"]
 #: Sets of more words than this have sketches of 128 bits.
-WIDE = 96
+WIDE = 48
 _MASK = (1 << 56) - 1
 _BLANKS = r"[\t\r\x0b\x0c]"
 _NORMAL = "if({0} rlike '[\\t\\r\\u000b\\u000c]', translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), lower({0}))"
@@ -63,7 +72,20 @@ def _lines(texts: DataFrame) -> DataFrame:
 def _dense(found: DataFrame, size: int, value: Column) -> DataFrame:
     """One row with an array of `size` values, from rows (id, c); its size does not depend on the corpus."""
     all_ids = found.sparkSession.range(size).join(found, "id", "left").select("id", value.alias("c"))
-    return all_ids.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all")).select(F.col("all.c").alias("c"))
+    gather = lambda at: F.sort_array(F.collect_list(F.struct(at, "c"))).alias("all")
+    parts = all_ids.groupBy(F.shiftright("id", _CHUNK_BITS).alias("part")).agg(gather("id")).select("part", F.col("all.c").alias("c"))
+    return parts.agg(gather("part")).select(F.flatten("all.c").alias("c"))
+
+
+def told_apart(rows: DataFrame, key: str, hashes: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key, a hash, is marked, and the others: a table of bounded size marks all given hashes and few more, so most
+    other rows are not shuffled to be told apart."""
+    size = min(1 << 23, 1 << max(16, (16 * hashes.count()).bit_length()))
+    found = hashes.select(F.pmod(key, F.lit(size)).alias("id")).distinct().withColumn("m", F.lit(True))
+    marks = tables.cut(_dense(found, size, F.coalesce("m", F.lit(False))), name)
+    all_ = rows.withColumn("__marks", marks.scalar())
+    on = F.expr(f"coalesce(__marks[cast(pmod({key}, {size}L) as int)], false)")
+    return all_.where(on).drop("__marks"), all_.where(~on).drop("__marks")
 
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -153,17 +175,19 @@ def _neighbours(entries: DataFrame, group: int) -> DataFrame:
     return found.distinct()
 
 
-def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
-    """Round two: pairs (a, b, sure, apart) that share a prefix word and pass all filters. By their ids a comes first, if
-    they are not equal (sure); b is not settled then, else one of the two."""
-    flagged = entries.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    # both sides read the same columns, so one exchange serves both
-    posted = flagged.select("pk", "id", "n", *SKETCH, "done", F.posexplode("prefix").alias("pos", "word"))
+def _posted(entries: DataFrame) -> DataFrame:
+    """A row for each prefix word of the entries (which have done: 1 if settled); last: it is the last one of the prefix."""
+    posted = entries.select("pk", "id", "n", *SKETCH, "done", F.size("prefix").alias("words"), F.posexplode("prefix").alias("pos", "word"))
     short = F.expr("pos < n - (8 * n + 8) div 9 + 1").alias("short")  # in the prefix that the smaller of two sets needs
-    posted = posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", short)
-    a, b = (posted.select("word", *(F.col(x).alias(f"{s}_{x}") for x in ("pk", "id", "n", *SKETCH, "done", "pos", "short"))) for s in "ab")
+    return posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", short, F.expr("pos = words - 1").alias("last"))
+
+
+def _paired(a: DataFrame, b: DataFrame, other: str) -> DataFrame:
+    """Pairs (a, b, sure, apart) of postings that share a word and pass all filters. By their ids a comes first, if they are
+    not equal (sure); b is not settled then, else one of the two."""
+    a, b = (x.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("pk", "id", "n", *SKETCH, "done", "pos", "short"))) for s, x in (("a", a), ("b", b)))
     # the cheapest tests first, and all of them small, as the planner compiles them into one method
-    near = F.expr(f"""a_pk < b_pk and {_possible("a_", "b_", "a_n", "b_n")}
+    near = F.expr(f"""a_pk {other} b_pk and {_possible("a_", "b_", "a_n", "b_n")}
         and 9 * (if(a_n - a_pos < b_n - b_pos, a_n - a_pos, b_n - b_pos) + if(a_pos < b_pos, a_pos, b_pos)) >= 4 * (a_n + b_n)
         and if(a_n < b_n, a_short, if(b_n < a_n, b_short, a_short or b_short))
         and coalesce(if(a_id < b_id, b_done = 0, if(b_id < a_id, a_done = 0, null)), a_done + b_done < 2)""")
@@ -173,7 +197,25 @@ def _joined(entries: DataFrame, settled: DataFrame) -> DataFrame:
     return pairs.select(first.alias("a"), last.alias("b"), sure.alias("sure"), F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))).alias("apart")).distinct()
 
 
-def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP) -> DataFrame:
+def _led(entries: DataFrame, leaders: int) -> DataFrame:
+    """Round one, for large groups of near copies: pairs (a, b) of an entry with the most alike of the first entries that share
+    one of a quarter of its prefix words, or its last one; no more than `leaders` rows a posting."""
+    some = _posted(entries.withColumn("done", F.lit(0))).where("word % 4 = 0 or last")
+    first = some.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("id", "pk"))).where(F.col("place") <= leaders)
+    alike = F.slice(F.sort_array(F.collect_set(F.struct("apart", "a"))), 1, ALIKE)
+    return _paired(first, some, "<>").groupBy("b").agg(alike.alias("some")).select(F.inline("some"), "b").select("a", "b")
+
+
+def _joined(entries: DataFrame, settled: DataFrame, tables: Tables) -> DataFrame:
+    """Round two: pairs that share a prefix word and pass all filters, but those whose later one is settled."""
+    some, others = told_apart(entries, "pk", settled, tables, "settled-marks")
+    flagged = some.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    # both sides read the same columns, so one exchange serves both
+    posted = _posted(flagged.unionByName(others.withColumn("done", F.lit(0)))).drop("last")
+    return _paired(posted, posted, "<")
+
+
+def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP, leaders: int = LEADERS) -> DataFrame:
     """(id, th, gone): of each document the numbers of the lines that have an earlier similar line."""
     texts, tables = _texts(docs, id, text), Tables(docs.sparkSession)
     classes = tables.cut(rarity(texts, buckets), "rarity")
@@ -183,11 +225,12 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     entries = tables.cut(lines.withColumn("place", place).where("place = 1").drop("place"), "entries")
     lines = tables.cut(lines.select(*PLACE, "pk", "h", "n"), "places")
     tables.drop("rarity", "lines")
-    near = tables.cut(_neighbours(entries, group), "near")
+    near = tables.cut(_neighbours(entries, group).unionByName(_led(entries, leaders)).distinct(), "near")
     sets = _sets(near.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "near-sets", buckets)
     settled = tables.cut(_verified(near, sets), "settled")
     tables.drop("near", "near-sets")
-    pairs = tables.cut(_joined(entries, settled), "joined")
+    pairs = tables.cut(_joined(entries, settled, tables), "joined")
+    tables.drop("settled-marks")
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "sets", buckets)
     best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     done = tables.cut(_verified(best, sets), "best")
@@ -206,7 +249,11 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
 def _marked(docs: DataFrame, id: str, text: str, buckets: int, group: int) -> tuple[DataFrame, Column]:
     """docs with __gone (numbers of lines to remove, null if none), and the text without those lines."""
     gone = repeated_lines(docs, id, text, buckets, group).toDF("__id", "__th", "__gone")
-    marked = docs.join(gone, (F.xxhash64(F.col(text)) == F.col("__th")) & F.col(id).eqNullSafe(F.col("__id")), "left")
+    # most texts that keep all lines are not shuffled to be told apart
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col(text)))
+    some, others = told_apart(hashed, "__text_hash", gone.select(F.col("__th").alias("__text_hash")), Tables(docs.sparkSession), "gone-marks")
+    some = some.join(gone, (F.col("__text_hash") == F.col("__th")) & F.col(id).eqNullSafe(F.col("__id")), "left").drop("__id", "__th")
+    marked = some.unionByName(others, allowMissingColumns=True).drop("__text_hash")
     body = F.col(text).cast("string")
     some = F.filter(F.split(body, "\n", -1), lambda line, at: ~F.array_contains("__gone", at))
     return marked, F.when(F.col("__gone").isNull(), body).otherwise(F.array_join(some, "\n"))

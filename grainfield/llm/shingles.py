@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .linededup import _dense
+from .linededup import told_apart
 from .shared import Tables, aside, back, cut, slices, texts_of
 from .simhash import fingerprint, links, shingle_hashes
 
@@ -140,22 +140,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(5 * both >= 4 * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
-def _marked(docs: DataFrame, hashes: DataFrame, tables: Tables, name: str) -> tuple[DataFrame, DataFrame]:
-    """docs (with __text_hash) whose hash is marked, and the others: a table of bounded size marks all given hashes and few
-    more, so most other texts are not shuffled to be told apart."""
-    size = min(1 << 23, 1 << max(16, (16 * hashes.count()).bit_length()))
-    found = hashes.select(F.pmod("__text_hash", F.lit(size)).alias("id")).distinct().withColumn("m", F.lit(True))
-    marks = tables.cut(_dense(found, size, F.coalesce("m", F.lit(False))), name)
-    all_ = docs.withColumn("__marks", marks.scalar())
-    on = F.expr(f"__marks[cast(pmod(__text_hash, {size}L) as int)]")
-    return all_.where(on).drop("__marks"), all_.where(~on).drop("__marks")
-
-
 def _read(pairs: DataFrame, docs: DataFrame, rows: DataFrame, text: str, tables: Tables, name: str) -> DataFrame:
     """Written (h, set) of all entries of the pairs: one text of each is read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     one = tables.cut(rows.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("__text_hash").alias("__text_hash")), f"{name}-texts")
-    some, _ = _marked(docs.select("__text_hash", F.col(text).cast("string").alias("__text")), one, tables, f"{name}-marks")
+    some, _ = told_apart(docs.select("__text_hash", F.col(text).cast("string").alias("__text")), "__text_hash", one, tables, f"{name}-marks")
     texts = some.join(one, "__text_hash").select("h", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +198,6 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", buc
     # texts that may have a row to leave out are told apart first, so that all others stay without a shuffle
     same = (F.col("__text_hash") == F.col("__h")) & F.col(id).eqNullSafe(F.col("__i"))
     many = rows.groupBy(id, "__text_hash").agg(F.count(F.lit(1)).alias("c")).join(chosen.withColumn("__in", F.lit(True)), same, "left").where("c > 1 or __in is null")
-    some, others = _marked(hashed, cut(many.select("__text_hash").distinct(), "shingle-doubts"), tables, "doubt-marks")
+    some, others = told_apart(hashed, "__text_hash", cut(many.select("__text_hash").distinct(), "shingle-doubts"), tables, "doubt-marks")
     kept = some.join(chosen, same, "left_semi").dropDuplicates([id, "__text_hash"])
     return back(others.unionByName(kept), names)

@@ -426,3 +426,28 @@ def test_near_copies_meet_in_round_one(spark):
     ids = entries.select("pk", "id")
     found = near.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select("i", "j").collect()
     assert sum((r.i + 200 == r.j) for r in found) >= 15
+
+
+def test_large_groups_of_near_copies_are_not_paired_out(spark, monkeypatch):
+    """Near copies of one line, each with words of its own: the join's pairs stay few, and the lines that go are brute force's."""
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(60)]
+    lines = []
+    for k in range(500):
+        line = list(base)
+        for at in rng.choice(60, 5, replace=False):
+            line[at] = f"own{k}x{at}"
+        lines.append(line)
+    made, cut_ = {}, linededup.Tables.cut
+
+    def cut(self, df, name):
+        found = cut_(self, df, name)
+        made[name] = found.count() if name == "joined" else None
+        return found
+
+    monkeypatch.setattr(linededup.Tables, "cut", cut)
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
+    gone = {r.doc_id for r in linededup.dedup(docs).collect() if r.n_removed}
+    sets = [set(x) for x in lines]
+    assert gone == {j for j in range(500) if any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in range(j))}
+    assert made["joined"] <= 20 * len(lines)
