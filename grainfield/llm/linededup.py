@@ -6,8 +6,8 @@ corpus, from a table whose size does not depend on it. Lines with equal sets are
 
 Two sets with a Jaccard similarity of at least t share a word among the first n - ceil(t n) + 1 of each (prefix filter; of
 the smaller set the first n - ceil(2t / (1 + t) n) + 1 do), their sizes differ by a factor t at most (length filter), the
-words left after a shared one must suffice (positional filter), and parity sketches cannot differ in more bits than the sets
-in words: a bit is the parity of the number of words that fall on it, so the difference of two sketches is the sketch of the
+words left from the first shared one on must suffice (positional filter), and parity sketches cannot differ in more bits than
+the sets in words: a bit is the parity of the number of words that fall on it, so the difference of two sketches is the sketch of the
 words not shared, however long the lines; lines of many words have sketches of more bits. What passes is verified on whole
 sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
@@ -56,8 +56,7 @@ _NORMAL = "if({0} rlike '[\\t\\r\\u000b\\u000c]', translate(lower({0}), '\\t\\r\
 def _hashes(line: str) -> Column:
     """Distinct hashes of a line's words."""
     words = F.split(F.expr(_NORMAL.format(line)), " ")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(_MASK))))
-    return F.array_remove(hashes, F.xxhash64(F.lit("")).bitwiseAND(F.lit(_MASK)))
+    return F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -99,17 +98,15 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
     """Lines with words, as sets: h and n name the set; s1 and s2 are its sketch, ends names its least and greatest hashes,
     rare its two rarest words, prefix its rarest words."""
     hashed = lines.where(F.expr("line rlike '[^ \\t\\r\\u000b\\u000c]'")).select(*PLACE, "pk", _hashes("line").alias("hashes"))
-    # each of the two is read once, so the planner folds all into one expression; else the table were copied into every row
+    # hashes and classes are read once, and nothing else but names is computed beside them, so the planner folds all into one
+    # expression; else the table, 2 MB, were copied into every row (a test looks at the plan). No class is null, which sorts longs.
     sized = hashed.withColumn("classes", classes.scalar())
-    ranked = sized.select(
-        *PLACE,
-        "pk",
-        F.size("hashes").alias("n"),
-        F.xxhash64(F.array_min("hashes"), F.array_max("hashes")).alias("ends"),
-        F.expr(f"sort_array(transform(hashes, x -> classes[cast(x & {buckets - 1} as int)] | x))").alias("words"),
-    )
+    word = f"coalesce(classes[cast(x & {buckets - 1} as int)], 0L) | (x & {_MASK}L)"
+    ranked = sized.select(*PLACE, "pk", F.expr(f"sort_array(transform(hashes, x -> {word}))").alias("words"))
+    ranked = ranked.withColumn("n", F.size("words"))
     bit = "shiftleft({0}, cast(x & 63 as int))"
     of = lambda one: f"aggregate(words, 0L, (a, x) -> a ^ {bit.format(one)})"
+    low = f"transform(words, x -> x & {_MASK}L)"
     return ranked.select(
         *PLACE,
         "pk",
@@ -117,7 +114,7 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         "n",
         F.expr(of("1L")).alias("s1"),
         F.expr(f"if(n > {WIDE}, {of('shiftright(x, 6) & 1L')}, 0L)").alias("s2"),
-        "ends",
+        F.expr(f"xxhash64(array_min({low}), array_max({low}))").alias("ends"),
         F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("rare"),
         F.expr("transform(slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
@@ -178,23 +175,24 @@ def _neighbours(entries: DataFrame, group: int) -> DataFrame:
 def _posted(entries: DataFrame) -> DataFrame:
     """A row for each prefix word of the entries (which have done: 1 if settled); last: it is the last one of the prefix."""
     posted = entries.select("pk", "id", "n", *SKETCH, "done", F.size("prefix").alias("words"), F.posexplode("prefix").alias("pos", "word"))
-    short = F.expr("pos < n - (8 * n + 8) div 9 + 1").alias("short")  # in the prefix that the smaller of two sets needs
-    return posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", short, F.expr("pos = words - 1").alias("last"))
+    return posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", F.expr("pos = words - 1").alias("last"))
 
 
-def _paired(a: DataFrame, b: DataFrame, other: str) -> DataFrame:
-    """Pairs (a, b, sure, apart) of postings that share a word and pass all filters. By their ids a comes first, if they are
-    not equal (sure); b is not settled then, else one of the two."""
-    a, b = (x.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("pk", "id", "n", *SKETCH, "done", "pos", "short"))) for s, x in (("a", a), ("b", b)))
+def _paired(a: DataFrame, b: DataFrame, other: str, first: bool) -> DataFrame:
+    """Pairs (a, b, sure, apart) of postings that share a word and pass all filters, once for each such word. By their ids a comes first, if they are
+    not equal (sure); b is not settled then, else one of the two. first: only words that may be the first one shared, which is
+    enough where all prefix words are posted: the shared words then all stand from it on in both sets."""
+    a, b = (x.select("word", *(F.col(c).alias(f"{s}_{c}") for c in ("pk", "id", "n", *SKETCH, "done", "pos"))) for s, x in (("a", a), ("b", b)))
+    least = "if(a_n - a_pos < b_n - b_pos, a_n - a_pos, b_n - b_pos)"
+    small = "if(a_n < b_n, 9 * a_pos <= a_n, if(b_n < a_n, 9 * b_pos <= b_n, 9 * a_pos <= a_n or 9 * b_pos <= b_n))"
+    placed = f"9 * {least} >= 4 * (a_n + b_n)" if first else f"9 * ({least} + if(a_pos < b_pos, a_pos, b_pos)) >= 4 * (a_n + b_n) and {small}"
     # the cheapest tests first, and all of them small, as the planner compiles them into one method
     near = F.expr(f"""a_pk {other} b_pk and {_possible("a_", "b_", "a_n", "b_n")}
-        and 9 * (if(a_n - a_pos < b_n - b_pos, a_n - a_pos, b_n - b_pos) + if(a_pos < b_pos, a_pos, b_pos)) >= 4 * (a_n + b_n)
-        and if(a_n < b_n, a_short, if(b_n < a_n, b_short, a_short or b_short))
-        and coalesce(if(a_id < b_id, b_done = 0, if(b_id < a_id, a_done = 0, null)), a_done + b_done < 2)""")
+        and {placed} and coalesce(if(a_id < b_id, b_done = 0, if(b_id < a_id, a_done = 0, null)), a_done + b_done < 2)""")
     pairs = a.join(b, (a.word == b.word) & near)
     sure, turned = F.expr("coalesce(a_id <> b_id, false)"), F.expr("coalesce(b_id < a_id, false)")
-    first, last = F.when(turned, F.col("b_pk")).otherwise(F.col("a_pk")), F.when(turned, F.col("a_pk")).otherwise(F.col("b_pk"))
-    return pairs.select(first.alias("a"), last.alias("b"), sure.alias("sure"), F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))).alias("apart")).distinct()
+    earlier, later = F.when(turned, F.col("b_pk")).otherwise(F.col("a_pk")), F.when(turned, F.col("a_pk")).otherwise(F.col("b_pk"))
+    return pairs.select(earlier.alias("a"), later.alias("b"), sure.alias("sure"), F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))).alias("apart"))
 
 
 def _led(entries: DataFrame, leaders: int) -> DataFrame:
@@ -203,7 +201,7 @@ def _led(entries: DataFrame, leaders: int) -> DataFrame:
     some = _posted(entries.withColumn("done", F.lit(0))).where("word % 4 = 0 or last")
     first = some.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("id", "pk"))).where(F.col("place") <= leaders)
     alike = F.slice(F.sort_array(F.collect_set(F.struct("apart", "a"))), 1, ALIKE)
-    return _paired(first, some, "<>").groupBy("b").agg(alike.alias("some")).select(F.inline("some"), "b").select("a", "b")
+    return _paired(first, some, "<>", False).distinct().groupBy("b").agg(alike.alias("some")).select(F.inline("some"), "b").select("a", "b")
 
 
 def _joined(entries: DataFrame, settled: DataFrame, tables: Tables) -> DataFrame:
@@ -212,7 +210,7 @@ def _joined(entries: DataFrame, settled: DataFrame, tables: Tables) -> DataFrame
     flagged = some.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
     # both sides read the same columns, so one exchange serves both
     posted = _posted(flagged.unionByName(others.withColumn("done", F.lit(0)))).drop("last")
-    return _paired(posted, posted, "<")
+    return _paired(posted, posted, "<", True).distinct()
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS, group: int = GROUP, leaders: int = LEADERS) -> DataFrame:

@@ -451,3 +451,32 @@ def test_large_groups_of_near_copies_are_not_paired_out(spark, monkeypatch):
     sets = [set(x) for x in lines]
     assert gone == {j for j in range(500) if any(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in range(j))}
     assert made["joined"] <= 20 * len(lines)
+
+
+def test_the_table_of_ranks_is_in_no_row(spark):
+    """The table of word classes is part of one expression; as a column of its own it is copied into every row."""
+    texts = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string").selectExpr("id", "xxhash64(text) th", "text")
+    classes = linededup.cut(linededup.rarity(texts), "rarity")
+    entries = linededup.entries_of(linededup._lines(texts), classes)
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and " AS classes" not in plan
+
+
+def test_near_copies_meet_at_words_that_can_be_the_first_shared(spark):
+    """Far fewer rows than at all shared prefix words, and every similar pair among them."""
+    rng = np.random.default_rng(3)
+    lines = []
+    for k in range(60):
+        line = [f"b{j}" for j in range(rng.integers(40, 46))]
+        for at in rng.choice(40, rng.integers(0, 5), replace=False):
+            line[at] = f"own{k}x{at}"
+        lines.append(line)
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "id long, text string").selectExpr("id", "xxhash64(text) th", "text")
+    classes = linededup.cut(linededup.rarity(texts), "rarity")
+    entries = linededup.cut(linededup.entries_of(linededup._lines(texts), classes).selectExpr("*", "0 done"), "entries")
+    posted, id = linededup._posted(entries), {r.pk: r.id for r in entries.collect()}
+    few, all_ = ([(id[r.a], id[r.b]) for r in linededup._paired(posted, posted, "<", first).collect()] for first in (True, False))
+    sets = [set(x) for x in lines]
+    similar = {(i, j) for j in range(60) for i in range(j) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert similar and similar <= set(few) <= set(all_)
+    assert 3 * len(few) <= 2 * len(all_)
