@@ -21,6 +21,7 @@ any length are encoded whole; an empty table gives no rows. Models with another
 from __future__ import annotations
 
 import re
+import weakref
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -92,9 +93,10 @@ class Model:
     sizes: list[int] = field(default_factory=list)
 
     def encoder(self) -> Encoder:
-        """One for all tasks of a worker, which keep a broadcast value."""
+        """One for all tasks of a worker, which keep a broadcast value. It does not hold the model in turn, so both go as soon
+        as the worker drops the broadcast, and not at some later collection of garbage."""
         if "_encoder" not in self.__dict__:
-            self._encoder = Encoder(self)
+            self._encoder = Encoder(weakref.proxy(self))
         return self._encoder
 
     @classmethod
@@ -369,7 +371,7 @@ def _run(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         encoder = model.encoder()
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             flat, sizes, scores = encoder.encode(batch.column(text).to_pylist())
             null, ends = sizes < 0, np.cumsum(np.maximum(sizes, 0))
             decoded = [None if n < 0 else model.decode(flat[e - n : e].tolist()) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]

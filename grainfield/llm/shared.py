@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system: idle workers stay, and count, beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows of about `most` bytes of text (a longer text stands alone)."""
+    """Batches cut into runs of rows of about `most` bytes of text (a longer text stands alone).
+    Memory is given back after each batch and at the end."""
     for batch in batches:
         size = batch.schema.get_field_index(column)
         lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(size)), 0), dtype=np.int64)
@@ -46,3 +56,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
         for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+        give_back()

@@ -480,3 +480,32 @@ def test_near_copies_meet_at_words_that_can_be_the_first_shared(spark):
     similar = {(i, j) for j in range(60) for i in range(j) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert similar and similar <= set(few) <= set(all_)
     assert 3 * len(few) <= 2 * len(all_)
+
+
+def test_an_encoder_goes_with_its_model():
+    """Without waiting for a collection of garbage, as idle workers collect none."""
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        model = pieces.Model.of(pieces.BPE, ["\u2581", "a"], [0.0, 0.0], [1, 1])
+        assert model.encoder() is model.encoder()
+        model.encoder().encode(["a a"])
+        held = weakref.ref(model)
+        del model
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_slices_give_memory_back(monkeypatch):
+    """After every batch and so at the end, when a worker goes idle."""
+    import pyarrow as pa
+
+    from grainfield.llm import shared
+
+    given = []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(1), raising=False)
+    batches = [pa.record_batch({"text": pa.array(["a" * 10, None, "b" * 10])})] * 2
+    assert [b.num_rows for b in shared.slices(iter(batches), most=8)] == [1, 2, 1, 2] and len(given) == 2
