@@ -14,6 +14,10 @@ these pairs are verified. Fingerprints of similar texts often differ in more bit
 exact join finds the links that are left: it leaves out pairs within a component, each entry is held against its smallest
 candidate, and the pairs are verified that this left in different components.
 
+Whole sets are read and shuffled only for pairs whose parity sketches allow a similarity of 0.8. A sketch has a bit for each
+shingle or more (a power of two): the parity of the number of shingles that fall on it, so two sketches cannot differ in more
+bits than the sets in shingles, a ninth of their sizes' sum at most, and nearly all pairs that only share a few shingles go.
+
 Defined results: null and word-less texts have the empty set and are one entry; fewer words than a shingle are one shingle;
 of a component the row with the smallest id stays, null ids last (of equal ids, the smallest text hash; of equal rows, one).
 """
@@ -45,6 +49,14 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each of at least 64 and at least len(s) bits, a power of two; the halves of a
+    sketch, xor, are the sketch of half as many bits."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _name(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
 
@@ -75,14 +87,14 @@ def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nd
 
 def entries_of(docs: DataFrame, classes: np.ndarray, text: str, keep: list[Column | str]) -> DataFrame:
     """The kept columns, h (names the set), n (its size), prefix (its rarest shingles), names of its two least and its two
-    rarest shingles, and fp (the SimHash fingerprint of all its shingles, repeats included)."""
+    rarest shingles, fp (the SimHash fingerprint of all its shingles, repeats included), and its sketch."""
     kept = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for batch in slices(batches, "__text", SLICE):
-            names, sizes, prefixes, least, rarest, fps = [], [], [], [], [], []
+            names, sizes, prefixes, least, rarest, fps, sketches = [], [], [], [], [], [], []
             for t in texts_of(batch.column("__text")):
                 hashes = shingle_hashes(t, SHINGLE)
                 s = np.unique(hashes)
@@ -94,10 +106,11 @@ def entries_of(docs: DataFrame, classes: np.ndarray, text: str, keep: list[Colum
                 least.append(_name(s[:2]))
                 rarest.append(_name(s[order[:2]]))
                 fps.append(fingerprint(hashes))
-            found = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(least, pa.int64()), pa.array(rarest, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            yield pa.record_batch([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "h", "n", "prefix", "least", "rarest", "fp"])
+                sketches.append(sketch(s))
+            found = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(least, pa.int64()), pa.array(rarest, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "h", "n", "prefix", "least", "rarest", "fp", "sketch"])
 
-    added = [T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("rarest", T.LongType()), T.StructField("fp", T.LongType())]
+    added = [T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("least", T.LongType()), T.StructField("rarest", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))]
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *added]))
 
 
@@ -133,6 +146,17 @@ def leaders(entries: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches (h, n, sketch) allow a similarity of 0.8; none that is similar goes."""
+    for s in "ab":
+        pairs = pairs.join(sketches.select(F.col("h").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch")), s)
+    sized = pairs.where("5 * a_n >= 4 * b_n and 5 * b_n >= 4 * a_n")  # so one sketch is twice as wide at most
+    half = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+    a, b = (f"if(size({x}) > size({y}), {half.format(x)}, {x})" for x, y in (("a_sketch", "b_sketch"), ("b_sketch", "a_sketch")))
+    apart = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    return sized.where(f"9 * {apart} <= a_n + b_n").select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that are similar by their whole sets."""
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -163,14 +187,17 @@ def _rooted(found: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, rows: DataFrame, entries: DataFrame, text: str, tables: Tables) -> DataFrame:
     """(node, root) of the components of similar entries; docs and rows (h) have __text_hash; the table of entries is dropped."""
-    near = tables.cut(fingerprint_pairs(entries).unionByName(leaders(entries)).distinct(), "shingle-leaders")
+    sketches = tables.cut(entries.select("h", "n", "sketch"), "shingle-sketches")
+    near = tables.cut(alike(fingerprint_pairs(entries).unionByName(leaders(entries)).distinct(), sketches), "shingle-leaders")
     sets = _read(near, docs, rows, text, tables, "leader-sets")
     first = cut(_verified(near, sets), "leader-pairs")
     tables.drop("shingle-leaders", "leader-sets")
     roots = _rooted(components(first)).withColumnRenamed("node", "h")
     rooted = entries.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    pairs = tables.cut(candidates(rooted), "shingle-pairs")
+    found = tables.cut(candidates(rooted), "shingle-candidates")
     tables.drop("shingle-entries")
+    pairs = tables.cut(alike(found, sketches), "shingle-pairs")
+    tables.drop("shingle-candidates", "shingle-sketches")
     sets = _read(pairs, docs, rows, text, tables, "shingle-sets")
     second = cut(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "first-pairs")
     linked = _rooted(components(first.unionByName(second)))
@@ -190,7 +217,7 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", buc
     hashed = own.withColumn("__text_hash", F.xxhash64(F.col(text)))
     every = tables.cut(entries_of(hashed, rarity(own, text, buckets), text, [id, "__text_hash"]), "shingled")
     rows = cut(every.select(id, "__text_hash", "h"), "shingle-rows")
-    entries = tables.cut(every.groupBy("h").agg(*(F.min(c).alias(c) for c in ("n", "least", "rarest", "fp")), F.first("prefix").alias("prefix")), "shingle-entries")
+    entries = tables.cut(every.groupBy("h").agg(*(F.min(c).alias(c) for c in ("n", "least", "rarest", "fp")), *(F.first(c).alias(c) for c in ("prefix", "sketch"))), "shingle-entries")
     tables.drop("shingled")
     of = rows.join(similar(hashed, rows, entries, text, tables).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     first = F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"), F.col("__text_hash").alias("h"))).alias("c")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -75,3 +76,33 @@ def test_stage_links_fingerprints(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 13]
     assert asked and asked[0] >= 7
+
+
+def test_sketches_leave_whole_sets_to_pairs_that_may_be_similar(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []  # (h, set): sizes on both sides of a sketch's steps, and differences on both sides of the limit
+    for n in (1, 3, 4, 10, 60, 63, 64, 65, 70, 130, 256, 257, 300, 1000):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        for gone, new in ((0, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 4, n // 4), (n // 2, n // 2), (n, n)):
+            rows.append(base[gone:] + [rng.getrandbits(64) for _ in range(new)])
+    rows = [(h, np.unique(np.array(x, np.uint64))) for h, x in enumerate(rows) if x]
+    table = [(h, len(s), shingles.sketch(s).tolist()) for h, s in rows]
+    sketches = spark.createDataFrame(table, "h long, n int, sketch array<long>")
+    every = [(a, b) for a, _ in rows for b, _ in rows if a < b]
+    sets = {h: set(s.tolist()) for h, s in rows}
+    similar = {(a, b) for a, b in every if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    found = {(r.a, r.b) for r in shingles.alike(spark.createDataFrame(every, "a long, b long"), sketches).collect()}
+    assert similar <= found and len(found) < 2 * len(similar)
+
+    # 40 texts with one rare passage in common: each pair has a first shared shingle, and none is similar
+    asked, verified = [], shingles._verified
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(shingles, "_verified", counted)
+    texts = [" ".join(["one rare passage of several words", *(f"u{rng.randrange(10**9)}" for _ in range(80))]) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count() == 40
+    assert sum(asked) == 0
