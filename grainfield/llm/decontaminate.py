@@ -212,6 +212,18 @@ def _judge():
     return run
 
 
+def _after(steps: list):
+    """One step that takes each batch through all of these, in one Python worker: each chained map would hold one of its own,
+    which stays, and is given tasks of later stages, when its stage is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with n_words, items (ids of items with occurring windows), n_hit, n_items, items_sha256, contaminated and spans
     ([start, end) ranges of hit words). Columns of docs with these names are replaced."""
@@ -220,19 +232,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     bench = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-total // part_bytes) or 1
-    sc = docs.sparkSession.sparkContext
+    sc, steps = docs.sparkSession.sparkContext, []
     for k in range(parts):
         rows = [(r.i, r.t) for r in bench.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()]  # about part_bytes
         shared = sc.broadcast(suffixes(rows, window))
         if k and k % PASSES == 0:
-            out = cut(out, "hits")
-        out = out.mapInArrow(_add_hits(shared, window, text), out.schema)
+            out, steps = cut(out.mapInArrow(_after(steps), out.schema), "hits"), []
+        steps.append(_add_hits(shared, window, text))
     kept = [f for f in out.schema.fields if f.name != "hits"]
     more = [("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"), ("spans", "array<array<long>>")]
     judged = T.StructType(kept)
     for name, kind in more:
         judged = judged.add(name, T._parse_datatype_string(kind))
-    return out.mapInArrow(_judge(), judged)
+    return out.mapInArrow(_after([*steps, _judge()]), judged)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

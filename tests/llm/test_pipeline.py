@@ -26,3 +26,11 @@ def test_stages(spark):
         if name == "decontamination":
             assert decontaminate.hits(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
     assert docs.where("decoded is distinct from text").count() == 0
+
+
+def test_decontamination_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", "some words of an item"), ("b", "others")], "item_id string, text string")
+    for part_bytes in (decontaminate.PART_BYTES, 8):  # one part of the benchmark, and several
+        plan = decontaminate.remove(docs, benchmark, part_bytes=part_bytes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
