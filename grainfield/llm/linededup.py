@@ -11,13 +11,13 @@ the sets in words: a bit is the parity of the number of words that fall on it, s
 words not shared, however long the lines; lines of many words have sketches of more bits. What passes is verified on whole
 sets. A line goes if an earlier line, by id, text hash and place, is similar.
 
-Large groups of variants are not paired out: in a first round each entry is held against the one before it and the first
-one among entries with the same least and greatest word hash, or the same two rarest words; only groups of more than GROUP
-entries are salted, as salts part near copies. Beside it, each entry is held against the most alike of the LEADERS first
-entries of a quarter of its prefix words and of its last one: rows grow with the number of postings, not with its square, and
-most near copies of a large group find a leader. Entries found similar to an earlier one are settled and are looked up no
-more; the join finds earlier lines for all others. Of those, the candidate with the most alike sketch is verified first, the
-rest only for entries that this did not settle.
+Large groups of variants are not paired out: entries with a heavy word, one in the prefixes of many, go through a first round.
+Each is held against the one before it and the first one among such entries with the same least and greatest word hash, or the
+same two rarest words; only groups of more than GROUP entries are salted, as salts part near copies. Beside it, each is held
+against the most alike of the LEADERS first entries of a quarter of its heavy words and of its last one: most near copies of a
+large group find a leader. Entries found similar to an earlier one are settled and are looked up no more; the join finds earlier
+lines for all others. Of those, the candidate with the most alike sketch is verified first, the rest only for entries that this
+did not settle.
 
 Places are named by 64-bit hashes while pairs are found and verified, words by 56-bit hashes.
 
@@ -29,6 +29,8 @@ or n_removed are replaced by the operator's; all others, whatever their names, s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,6 +42,9 @@ BUCKETS = 1 << 18
 GROUP = 16_384
 #: So many first entries of a prefix word are candidates of all others before the join.
 LEADERS = 24
+#: Words of the prefixes of more than so many entries (or the root of the number of all entries, if that is more, as common
+#: words grow with the corpus) have leaders; the pairs of all others are left to the join.
+HEAVY = 256
 #: Of these, so many with the most alike sketches are verified.
 ALIKE = 4
 #: Values of a table of fixed size that are gathered at a time.
@@ -49,8 +54,9 @@ SKETCH = ["s1", "s2"]
 #: Sets of more words than this have sketches of 128 bits.
 WIDE = 48
 _MASK = (1 << 56) - 1
-_BLANKS = r"[\t\r\x0b\x0c]"
-_NORMAL = "if({0} rlike '[\\t\\r\\u000b\\u000c]', translate(lower({0}), '\\t\\r\\u000b\\u000c', '    '), lower({0}))"
+#: Blanks other than spaces are looked for as bytes: a pattern would turn every text into a Java string first.
+_BLANK = " or ".join(f"contains({{0}}, '{c}')" for c in (r"\t", r"\r", r"\u000b", r"\u000c"))
+_NORMAL = f"if({_BLANK}, translate(lower({{0}}), '\\t\\r\\u000b\\u000c', '    '), lower({{0}}))"
 
 
 def _hashes(line: str) -> Column:
@@ -97,16 +103,17 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Lines with words, as sets: h and n name the set; s1 and s2 are its sketch, ends names its least and greatest hashes,
     rare its two rarest words, prefix its rarest words."""
-    hashed = lines.where(F.expr("line rlike '[^ \\t\\r\\u000b\\u000c]'")).select(*PLACE, "pk", _hashes("line").alias("hashes"))
+    hashed = lines.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "").select(*PLACE, "pk", _hashes("line").alias("hashes"))
     # hashes and classes are read once, and nothing else but names is computed beside them, so the planner folds all into one
     # expression; else the table, 2 MB, were copied into every row (a test looks at the plan). No class is null, which sorts longs.
     sized = hashed.withColumn("classes", classes.scalar())
-    word = f"coalesce(classes[cast(x & {buckets - 1} as int)], 0L) | (x & {_MASK}L)"
+    word = f"coalesce(classes[x & {buckets - 1}], 0L) | (x & {_MASK}L)"
     ranked = sized.select(*PLACE, "pk", F.expr(f"sort_array(transform(hashes, x -> {word}))").alias("words"))
-    ranked = ranked.withColumn("n", F.size("words"))
+    # low is read twice, so it is formed once
+    ranked = ranked.withColumns({"n": F.size("words"), "low": F.expr(f"transform(words, x -> x & {_MASK}L)")})
     bit = "shiftleft({0}, cast(x & 63 as int))"
     of = lambda one: f"aggregate(words, 0L, (a, x) -> a ^ {bit.format(one)})"
-    low = f"transform(words, x -> x & {_MASK}L)"
+    prefix = "slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1)"
     return ranked.select(
         *PLACE,
         "pk",
@@ -114,9 +121,9 @@ def entries_of(lines: DataFrame, classes: DataFrame, buckets: int = BUCKETS) ->
         "n",
         F.expr(of("1L")).alias("s1"),
         F.expr(f"if(n > {WIDE}, {of('shiftright(x, 6) & 1L')}, 0L)").alias("s2"),
-        F.expr(f"xxhash64(array_min({low}), array_max({low}))").alias("ends"),
+        F.xxhash64(F.array_min("low"), F.array_max("low")).alias("ends"),
         F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("rare"),
-        F.expr("transform(slice(words, 1, n - cast(ceil(0.8D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
+        F.expr(f"transform({prefix}, x -> cast(x & 2147483647 as int))").alias("prefix"),
     )
 
 
@@ -130,11 +137,11 @@ def _possible(a: str, b: str, n1: str, n2: str) -> str:
     return f"5 * {n1} >= 4 * {n2} and 5 * {n2} >= 4 * {n1} and 9 * bit_count({x1}) <= {n1} + {n2} and ({wide})"
 
 
-def _sets(wanted: DataFrame, entries: DataFrame, texts: DataFrame, tables: Tables, name: str, buckets: int) -> DataFrame:
+def _sets(wanted: DataFrame, entries: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
     """Written (pk, s): place and whole set of the wanted entries, whose lines are read again. A table of bounded size marks
     hashes of their documents, so most others are not split into lines."""
     wanted = tables.cut(entries.join(wanted, "pk", "left_semi").select("pk", F.xxhash64("id", "th").alias("doc")), f"{name}-places")
-    size = min(1 << 23, max(buckets, 1 << (16 * wanted.count()).bit_length()))
+    size = min(1 << 23, 1 << max(16, (16 * wanted.count()).bit_length()))
     marked = wanted.select(F.pmod("doc", F.lit(size)).alias("id")).distinct().withColumn("m", F.lit(True))
     marks = tables.cut(_dense(marked, size, F.coalesce("m", F.lit(False))), f"{name}-marks")
     some = texts.withColumn("marks", marks.scalar()).where(F.expr(f"marks[cast(pmod(xxhash64(id, th), {size}L) as int)]")).drop("marks")
@@ -173,9 +180,21 @@ def _neighbours(entries: DataFrame, group: int) -> DataFrame:
 
 
 def _posted(entries: DataFrame) -> DataFrame:
-    """A row for each prefix word of the entries (which have done: 1 if settled); last: it is the last one of the prefix."""
-    posted = entries.select("pk", "id", "n", *SKETCH, "done", F.size("prefix").alias("words"), F.posexplode("prefix").alias("pos", "word"))
-    return posted.select("word", "pk", "id", "n", *SKETCH, "done", "pos", F.expr("pos = words - 1").alias("last"))
+    """A row for each prefix word of the entries (which have done: 1 if settled)."""
+    return entries.select("pk", "id", "n", *SKETCH, "done", F.posexplode("prefix").alias("pos", "word"))
+
+
+def _heavy(entries: DataFrame) -> DataFrame:
+    """Words of the prefixes of many entries: at most one for each HEAVY postings."""
+    most = max(HEAVY, math.isqrt(entries.count()))
+    return entries.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("word")
+
+
+def _crowded(entries: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Entries with a heavy word; heavies: (pos, word) of these."""
+    some = entries.select("pk", F.posexplode("prefix").alias("pos", "word")).join(heavy, "word")
+    words = some.groupBy("pk").agg(F.collect_list(F.struct("pos", "word")).alias("heavies"))
+    return entries.withColumn("words", F.size("prefix")).drop("prefix").join(words, "pk")
 
 
 def _paired(a: DataFrame, b: DataFrame, other: str, first: bool) -> DataFrame:
@@ -195,21 +214,24 @@ def _paired(a: DataFrame, b: DataFrame, other: str, first: bool) -> DataFrame:
     return pairs.select(earlier.alias("a"), later.alias("b"), sure.alias("sure"), F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))).alias("apart"))
 
 
-def _led(entries: DataFrame, leaders: int) -> DataFrame:
+def _led(crowded: DataFrame, leaders: int) -> DataFrame:
     """Round one, for large groups of near copies: pairs (a, b) of an entry with the most alike of the first entries that share
-    one of a quarter of its prefix words, or its last one; no more than `leaders` rows a posting."""
-    some = _posted(entries.withColumn("done", F.lit(0))).where("word % 4 = 0 or last")
+    one of a quarter of its heavy words, or its last word; no more than `leaders` rows a posting."""
+    some = crowded.select("pk", "id", "n", *SKETCH, F.lit(0).alias("done"), "words", F.inline("heavies")).where("word % 4 = 0 or pos = words - 1").drop("words")
     first = some.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("id", "pk"))).where(F.col("place") <= leaders)
     alike = F.slice(F.sort_array(F.collect_set(F.struct("apart", "a"))), 1, ALIKE)
     return _paired(first, some, "<>", False).distinct().groupBy("b").agg(alike.alias("some")).select(F.inline("some"), "b").select("a", "b")
 
 
-def _joined(entries: DataFrame, settled: DataFrame, tables: Tables) -> DataFrame:
+def _joined(entries: DataFrame, settled: DataFrame | None, tables: Tables) -> DataFrame:
     """Round two: pairs that share a prefix word and pass all filters, but those whose later one is settled."""
-    some, others = told_apart(entries, "pk", settled, tables, "settled-marks")
-    flagged = some.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    flagged = entries.withColumn("done", F.lit(0))
+    if settled is not None:
+        some, others = told_apart(entries, "pk", settled, tables, "settled-marks")
+        some = some.join(settled.select("pk", F.lit(1).alias("done")), "pk", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+        flagged = some.unionByName(others.withColumn("done", F.lit(0)))
     # both sides read the same columns, so one exchange serves both
-    posted = _posted(flagged.unionByName(others.withColumn("done", F.lit(0)))).drop("last")
+    posted = _posted(flagged)
     return _paired(posted, posted, "<", True).distinct()
 
 
@@ -223,16 +245,19 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     entries = tables.cut(lines.withColumn("place", place).where("place = 1").drop("place"), "entries")
     lines = tables.cut(lines.select(*PLACE, "pk", "h", "n"), "places")
     tables.drop("rarity", "lines")
-    near = tables.cut(_neighbours(entries, group).unionByName(_led(entries, leaders)).distinct(), "near")
-    sets = _sets(near.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "near-sets", buckets)
-    settled = tables.cut(_verified(near, sets), "settled")
-    tables.drop("near", "near-sets")
+    heavy, settled = tables.cut(_heavy(entries), "heavy"), None
+    if not heavy.isEmpty():
+        crowded = tables.cut(_crowded(entries, heavy), "crowded")
+        near = tables.cut(_neighbours(crowded, group).unionByName(_led(crowded, leaders)).distinct(), "near")
+        sets = _sets(near.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "near-sets")
+        settled = tables.cut(_verified(near, sets), "settled")
+        tables.drop("crowded", "near", "near-sets")
     pairs = tables.cut(_joined(entries, settled, tables), "joined")
-    tables.drop("settled-marks")
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "sets", buckets)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("pk")), entries, texts, tables, "sets")
     best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    done = tables.cut(_verified(best, sets), "best")
-    known = done.unionByName(settled)
+    known = tables.cut(_verified(best, sets), "best")
+    if settled is not None:
+        known = known.unionByName(settled)
     # where the order is not sure, within a document, either place may be the later one: such pairs are all verified
     rest = pairs.where("sure").join(known.select(F.col("pk").alias("b")), "b", "left_anti").unionByName(pairs.where("not sure"))
     later = tables.cut(_verified(rest.select("a", "b"), sets).unionByName(known).distinct(), "similar")
@@ -240,7 +265,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", buck
     firsts = entries.select("h", "n", "pk").join(later.select("pk", F.lit(True).alias("gone")), "pk", "left").withColumnRenamed("pk", "first")
     gone = lines.join(firsts, ["h", "n"]).where((F.col("pk") != F.col("first")) | F.col("gone"))
     gone = cut(gone.groupBy("id", "th").agg(F.array_distinct(F.collect_list("line_no")).alias("gone")), "gone")
-    tables.drop("entries", "places", "settled", "joined", "sets", "best", "similar")
+    tables.drop(*tables.paths)
     return gone
 
 

@@ -482,6 +482,30 @@ def test_near_copies_meet_at_words_that_can_be_the_first_shared(spark):
     assert 3 * len(few) <= 2 * len(all_)
 
 
+def test_round_one_takes_entries_of_heavy_words_only(spark, monkeypatch):
+    """Small groups of near copies are left to the join: nothing is written for round one. One word more often, and it is."""
+    made, cut_ = [], linededup.Tables.cut
+    monkeypatch.setattr(linededup.Tables, "cut", lambda self, df, name: made.append(name) or cut_(self, df, name))
+    for copies, crowded in ((40, False), (linededup.HEAVY + 1, True)):
+        lines = [[*(f"b{j}" for j in range(20)), f"own{k}"] for k in range(copies)]
+        docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)] + [(-1, "a line of its own")], "doc_id long, text string")
+        made.clear()
+        gone = {r.doc_id for r in linededup.dedup(docs).collect() if r.n_removed}
+        assert gone == set(range(1, copies))
+        assert ("near" in made) == ("near-sets" in made) == crowded
+
+
+def test_words_of_lines_are_told_without_patterns(spark):
+    """A pattern (rlike) turns each text into a Java string; blanks are looked for as bytes, and only of blanks are no entries."""
+    rows_ = [(1, "A\tb\rC\x0bd\x0ce\n\t \r\x0b\x0c\n\n a  B c D e\n\u00a0"), (2, None), (3, "")]
+    texts = linededup._texts(spark.createDataFrame(rows_, "doc_id long, text string"), "doc_id", "text")
+    classes = linededup.cut(linededup.rarity(texts), "rarity")
+    entries = linededup.entries_of(linededup._lines(texts), classes)
+    assert "RLIKE" not in (entries._jdf.queryExecution().optimizedPlan().toString() + linededup.rarity(texts)._jdf.queryExecution().optimizedPlan().toString()).upper()
+    found = {r.line_no: r for r in entries.collect()}
+    assert sorted(found) == [0, 3, 4] and [found[k].n for k in (0, 3, 4)] == [5, 5, 1] and found[0].h == found[3].h
+
+
 def test_an_encoder_goes_with_its_model():
     """Without waiting for a collection of garbage, as idle workers collect none."""
     import gc
